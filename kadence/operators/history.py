@@ -44,13 +44,15 @@ def scd2_intervals(
     log: DataFrame,
     *,
     clamp: bool = False,
+    sizes: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Intervals of a state log: an opening lasts until the next row of its key.
 
     ``clamp`` moves a start that lies before the end of the previous interval to that end.
-    ``seq`` is unique per key and orders it; times are taken as given.
+    ``seq`` is unique per key and orders it; times are taken as given. ``sizes`` is an optional
+    cheaper frame with ``id_salarie, seq`` of at least the log's rows, to look for hot keys in.
     """
     rows = with_neighbours(
         log,
@@ -59,6 +61,7 @@ def scd2_intervals(
         ["valid_from"],
         following="next_row",
         preceding="prev_row" if clamp else None,
+        sizes=sizes,
         min_rows=min_rows,
         chunk_rows=chunk_rows,
     )

@@ -2,8 +2,7 @@
 
 A window over a key puts the whole key into one task. Here keys above a size are cut into
 chunks along their order, the window runs per chunk, and only the first and last rows of the
-chunks are compared across chunks. Keys below that size stay in one piece and cost no more
-than a plain window.
+chunks are compared across chunks. Without such keys the plan is a plain window.
 """
 
 from __future__ import annotations
@@ -34,21 +33,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
     return counts.filter(F.col("__rows") > floor)
 
 
-def _chunk_bounds(
+def chunk_bounds(
     df: DataFrame, keys: Sequence[str], position: str, min_rows: int, chunk_rows: int
-) -> DataFrame:
-    """Per hot key: quantiles of its order, and how finely each stretch between them is cut."""
-    hot = hot_keys(df.select(*keys), keys, min_rows)
+) -> DataFrame | None:
+    """Per hot key: quantiles of its order, and how finely each stretch between them is cut.
+
+    None if no key is hot, which one count over the key columns tells. Fewer than
+    ``MAX_HOT_KEYS`` short rows come back to the driver, and are broadcast.
+    """
+    spark = df.sparkSession
+    narrow = df.select(*keys, position)
+    hot = hot_keys(narrow.select(*keys), keys, min_rows)
+    found = hot.collect()
+    if not found:
+        return None
+    hot = spark.createDataFrame(found, hot.schema)
     shares = [i / QUANTILES for i in range(QUANTILES + 1)]
-    return (
-        df.select(*keys, position)
-        .join(F.broadcast(hot), list(keys))
+    bounds = (
+        narrow.join(F.broadcast(hot), list(keys))
         .groupBy(*keys)
         .agg(
             F.percentile_approx(position, shares, 1000).alias("__bounds"),
             F.ceil(F.max("__rows") / F.lit(QUANTILES * float(chunk_rows))).alias("__cuts"),
         )
     )
+    return spark.createDataFrame(bounds.collect(), bounds.schema)
 
 
 def _chunk_number(position: Column, bounds: Column, cuts: Column) -> Column:
@@ -73,42 +82,50 @@ def with_neighbours(
     *,
     following: str | None = None,
     preceding: str | None = None,
+    sizes: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add the next and / or previous row of the same key as struct columns, null at the ends.
 
     ``order`` must be total within a key, and its first column a number: hot keys are cut
-    along it. Rows that tie on the first column always share a chunk.
+    along it. Rows that tie on the first column always share a chunk. ``sizes`` is a cheaper
+    frame with the keys and that column, and at least the rows of ``df``, to find hot keys in.
     """
-    bounds = _chunk_bounds(df, keys, order[0], min_rows, chunk_rows)
+    row = F.struct(*columns)
+    bounds = chunk_bounds(
+        df if sizes is None else sizes, keys, order[0], min_rows, chunk_rows
+    )
+    if bounds is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        added = []
+        if following:
+            added.append(F.lead(row).over(whole).alias(following))
+        if preceding:
+            added.append(F.lag(row).over(whole).alias(preceding))
+        return df.select("*", *added)
 
     def chunked(how: str) -> DataFrame:
         number = _chunk_number(F.col(order[0]), F.col("__bounds"), F.col("__cuts"))
         with_bounds = df.join(F.broadcast(bounds), list(keys), how)
         return with_bounds.withColumn(CHUNK, number).drop("__bounds", "__cuts")
 
-    row = F.struct(*columns)
     within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     rank = F.struct(*order)
-
-    ends, inner, edge = [], [], []
+    ends, inner, edge, out = [], [], [], []
     if following:
         inner.append(F.lead(row).over(within).alias("__next"))
         ends.append(F.min_by(row, rank).alias("__first"))
         edge.append(F.lead("__first").over(across).alias("__next_chunk"))
+        out.append(F.coalesce("__next", "__next_chunk").alias(following))
     if preceding:
         inner.append(F.lag(row).over(within).alias("__prev"))
         ends.append(F.max_by(row, rank).alias("__last"))
         edge.append(F.lag("__last").over(across).alias("__prev_chunk"))
+        out.append(F.coalesce("__prev", "__prev_chunk").alias(preceding))
 
-    # Inner: without hot keys this side is known to be empty at run time and is never read.
+    # Only hot keys have edges between chunks.
     edges = chunked("inner").groupBy(*keys, CHUNK).agg(*ends).select(*keys, CHUNK, *edge)
     joined = chunked("left").select("*", *inner).join(edges, [*keys, CHUNK], "left")
-    added = []
-    if following:
-        added.append(F.coalesce("__next", "__next_chunk").alias(following))
-    if preceding:
-        added.append(F.coalesce("__prev", "__prev_chunk").alias(preceding))
-    return joined.select(*df.columns, *added)
+    return joined.select(*df.columns, *out)

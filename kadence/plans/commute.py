@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kadence.functions.geodesy import linear_distance
 from kadence.functions.scalars import commute_mode, is_bonus_eligible, mode_limit
+from kadence.operators.changes import has_relevant_change
 from kadence.operators.eligibility import distance_outcome
 from kadence.operators.places import NO_CANDIDATE, address_key, best_candidates, nearest_node
 from kadence.operators.roads import distances_to
@@ -161,6 +162,7 @@ def evaluated_images(
     stacked into one column, so that the evaluation runs once.
     """
     key = ["partition", "offset"]
+    changes = changes.filter((F.col("route") != "updated") | has_relevant_change())
     sides = F.explode(
         F.array_compact(
             F.array(

@@ -100,7 +100,7 @@ def judged(v: Views) -> DataFrame:
 
 
 def intervals(v: Views) -> DataFrame:
-    return H.scd2_intervals(H.state_log(judged(v)))
+    return H.scd2_intervals(H.state_log(judged(v)), sizes=v.fx_state)
 
 
 # --- shared SQL ---------------------------------------------------------------------------
@@ -131,7 +131,7 @@ def sql_haversine(a: str, b: str, c: str, d: str) -> str:
 
 def sql_wgs84(source: str) -> str:
     """Geodesic metres of ``source(id, lat, lon)`` to the site, unrolled step by step."""
-    f, a, b = repr(WGS84_F), repr(WGS84_A), repr(WGS84_B)
+    f, a, b = (f"{x!r}e0" for x in (WGS84_F, WGS84_A, WGS84_B))
     angles = """c2 * sin(lam) as t1, c1 * s2 - s1 * c2 * cos(lam) as t2,
         s1 * s2 + c1 * c2 * cos(lam) as cs"""
     sql = f"""select id, lat, lon, sin(u1) as s1, cos(u1) as c1, sin(u2) as s2, cos(u2) as c2,
@@ -149,7 +149,7 @@ def sql_wgs84(source: str) -> str:
             select *, case when ss = 0 then 0e0 else c1 * c2 * sin(lam) / ss end as sa,
                 atan2(ss, cs) as sigma from (
             select *, sqrt(t1 * t1 + t2 * t2) as ss from (
-            select *, {angles} from ({sql}) as q0) as q1) as q2) as q3) as q4) as q5) as q6"""
+            select {keep}, lam, {angles} from ({sql}) as q0) as q1) as q2) as q3) as q4) as q5) as q6"""
     return f"""select id, lat, lon, {b} * (1 + usq / 16384 * (4096 + usq * (-768 + usq *
             (320 - 175 * usq)))) * (sigma - bb * ss * (c2m + bb / 4 * (cs * (2 * c2m * c2m - 1)
             - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) as metres from (
@@ -237,7 +237,7 @@ SHARED = {
 }
 # A keyed recursion keeps one label per node.
 SHARED_ROAD = {
-    "sh_road(network, node_id, road_m) using key (network, node_id)": """
+    "sh_road": """
         select network, node_id, 0e0 as road_m from sh_target
         union all
         select c.network, c.node_id, c.road_m from (
@@ -277,18 +277,21 @@ def _snapshots(v):
 
 @query(
     "cdc_snapshot_diff",
-    """with o as (select * from fx_employee where salaire_brut < 65000),
-    n as (select id_salarie, bu, case when bu = 'BUILDING' then salaire_brut + 100
-            else salaire_brut end as salaire_brut,
-            case when prenom = 'P7' then null else moyen_deplacement end as moyen_deplacement
-        from fx_employee where salaire_brut >= 27000)
-    select * from (select coalesce(o.id_salarie, n.id_salarie) as id_salarie,
+    """select * from (select coalesce(o.id_salarie, n.id_salarie) as id_salarie,
         case when o.id_salarie is null then 'c' when n.id_salarie is null then 'd'
             when o.bu is distinct from n.bu or o.salaire_brut is distinct from n.salaire_brut
             or o.moyen_deplacement is distinct from n.moyen_deplacement then 'u' end as op,
         o.salaire_brut as avant, n.salaire_brut as apres, o.moyen_deplacement as mode_avant,
         n.moyen_deplacement as mode_apres
-        from o full outer join n on o.id_salarie = n.id_salarie) as d where op is not null""",
+        from sh_old as o full outer join sh_new as n on o.id_salarie = n.id_salarie) as d
+    where op is not null""",
+    {
+        "sh_old": "select * from fx_employee where salaire_brut < 65000",
+        "sh_new": """select id_salarie, bu, case when bu = 'BUILDING' then salaire_brut + 100
+                else salaire_brut end as salaire_brut, case when prenom = 'P7' then null
+                else moyen_deplacement end as moyen_deplacement
+            from fx_employee where salaire_brut >= 27000""",
+    },
 )
 def _(v):
     old, new = _snapshots(v)
@@ -483,7 +486,7 @@ def _outcome_sql(source: str) -> str:
             as geo_error,
         case when distance_m >= 4000 then 43.57e0 end as lat, 3.9e0 as lon,
         distance_m * 8e-1 as linear_m,
-        case when distance_m < 26000 then distance_m * 1e0 end as road_m,
+        case when distance_m < 26000 then distance_m + 3e-1 end as road_m,
         case when status = 'O' then 'No path between 1 and 2.' end as road_error
         from fx_state) as x'''
         )
@@ -495,7 +498,7 @@ def _(v):
             as geo_error,
         case when distance_m >= 4000 then 43.57e0 end as lat, 3.9e0 as lon,
         distance_m * 8e-1 as linear_m,
-        case when distance_m < 26000 then distance_m * 1e0 end as road_m,
+        case when distance_m < 26000 then distance_m + 3e-1 end as road_m,
         case when status = 'O' then 'No path between 1 and 2.' end as road_error,
         adresse as adresse_domicile, moyen as moyen_deplacement
         from {fx_state}""").drop("distance_m")

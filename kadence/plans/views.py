@@ -123,12 +123,12 @@ def view_sql(d: Dialect) -> dict[str, str]:
             select network, u, v, length from (
                 select case when l_linestatus = 'O' then 'walk' else 'drive' end as network,
                     2 * l_suppkey as u, 2 * l_partkey + 1 as v,
-                    1500 + l_quantity * 60 + l_linenumber as length
+                    1500 + l_quantity * 60 + l_extendedprice / 1e6 as length
                 from {lineitem} where l_quantity > 30 and l_returnflag <> 'A'
                 union all
                 select case when l_linestatus = 'O' then 'walk' else 'drive' end as network,
                     2 * l_partkey + 1 as u, 2 * l_suppkey as v,
-                    1000 + l_quantity * 50 + l_linenumber as length
+                    1000 + l_quantity * 50 + l_extendedprice / 1e6 as length
                 from {lineitem} where l_quantity > 40 and l_returnflag <> 'N') as roads""",
         "fx_activity": f"""
             select event_id as id_evenement_sport, user_id as salarie_id,
@@ -266,6 +266,10 @@ def as_topic(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"part_no": "partition", "pos": "offset"})
 
 
+# Heads of keyed recursions: one row is kept per key.
+HEADS = {"sh_road": "sh_road(network, node_id, road_m) using key (network, node_id)"}
+
+
 def duckdb_views(extra: dict[str, str] | None = None) -> dict[str, str]:
     """All view definitions for DuckDB, with plain names."""
     sql = view_sql(DUCKDB)
@@ -288,5 +292,5 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not needed:
         return sql
-    parts = ",\n".join(f"{n} as ({views[n]})" for n in views if n in needed)
+    parts = ",\n".join(f"{HEADS.get(n, n)} as ({views[n]})" for n in views if n in needed)
     return f"with recursive {parts}\n{sql}"
