@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,16 @@ def geocode_join(df: DataFrame, addresses: DataFrame, address: str = "adresse_do
 
 
 # Nearest node. Points and nodes lie on the unit sphere, in cubes of side 2**-level. A search
-# goes from coarse to fine cubes: a point keeps the cubes that may hold its nearest node, judged
-# by the least and greatest distance to each cube, and looks only into those. No point meets all
-# nodes of a cell, however many a cell holds, and the answer is exact.
+# goes from coarse to fine cubes: a point keeps the cubes that lie no farther than a node it has seen (each
+# cube shows one of its nodes), and looks only into those. No point meets all nodes of a cell,
+# however many a cell holds, and the answer is exact.
 
 MAX_LEVEL = 20  # cubes of 6 m; three indices of 21 bits fit in one number
 LEAF_NODES = 16
 FAN_OUT = 16
 SMALL_CUBES = 200_000
-SLACK = 1e-12
+AXES = ("x", "y", "z")
+SLACK = 1e-14  # in squared radii: half a metre, well above rounding
 
 
 def _on_sphere(lat: Column, lon: Column) -> dict[str, Column]:
@@ -59,7 +62,7 @@ def _on_sphere(lat: Column, lon: Column) -> dict[str, Column]:
 def _cube(level: Column) -> Column:
     """Number of the cube around ``x, y, z`` on a level."""
     packed = F.lit(0).cast("bigint")
-    for axis in ("x", "y", "z"):
+    for axis in AXES:
         finest = F.floor((F.col(axis) + F.lit(1.0)) * F.lit(float(2**MAX_LEVEL)))
         # 1.0 itself belongs to the last cube.
         index = F.least(finest, F.lit(2 ** (MAX_LEVEL + 1) - 1).cast("bigint"))
@@ -69,22 +72,35 @@ def _cube(level: Column) -> Column:
     return packed
 
 
-def _reach(cube: Column, level: int) -> tuple[Column, Column]:
-    """Least and greatest squared chord from ``x, y, z`` to a cube."""
-    side = 2.0**-level
+def _corner(cube: Column, level: int) -> list[Column]:
+    """Low corner of a cube, as ``low_x, low_y, low_z``."""
     bits = MAX_LEVEL + 1
-    least, greatest = F.lit(0.0), F.lit(0.0)
-    for shift, axis in ((2 * bits, "x"), (bits, "y"), (0, "z")):
-        index = F.call_function("shiftright", cube, F.lit(shift)).bitwiseAND(
-            F.lit(2**bits - 1).cast("bigint")
-        )
-        low = index * F.lit(side) - F.lit(1.0)
-        high = low + F.lit(side)
-        here = F.col(axis)
-        gap = F.greatest(low - here, here - high, F.lit(0.0))
-        far = F.greatest(F.abs(here - low), F.abs(here - high))
-        least, greatest = least + gap * gap, greatest + far * far
-    return least, greatest
+    mask = F.lit(2**bits - 1).cast("bigint")
+    indices = [F.call_function("shiftright", cube, F.lit(s)).bitwiseAND(mask) for s in (2 * bits, bits, 0)]
+    return [
+        (i * F.lit(2.0**-level) - F.lit(1.0)).alias(f"low_{a}")
+        for i, a in zip(indices, AXES, strict=True)
+    ]
+
+
+def _weigh(level: int) -> Callable[[Column], Column]:
+    """A child cube with the squared chord from ``x, y, z`` to its nearest part, 0 inside."""
+
+    def weigh(child: Column) -> Column:
+        squared = F.lit(0.0)
+        for axis in AXES:
+            below = child[f"low_{axis}"] - F.col(axis)
+            gap = F.greatest(below, -below - F.lit(2.0**-level), F.lit(0.0))
+            squared = squared + gap * gap
+        return F.struct(child["child"].alias("cube"), squared.alias("least"))
+
+    return weigh
+
+
+def _chord(node: Column) -> Column:
+    """Squared chord from ``x, y, z`` to a node."""
+    parts = [(F.col(a) - node[a]) * (F.col(a) - node[a]) for a in AXES]
+    return parts[0] + parts[1] + parts[2]
 
 
 def _levels(spots: DataFrame, group: str) -> list[tuple[int, int]]:
@@ -126,7 +142,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, group: str = "network") ->
     ``points`` has ``group, lat, lon``; equal points are searched once. Distance is along the
     sphere, the lowest node id wins a tie. Points of a group without nodes are absent.
     """
-    here = [group, "lat", "lon", "x", "y", "z"]
+    here = [group, "lat", "lon", "x", "y", "z", "reach"]
     sought = (
         points.select(group, "lat", "lon")
         .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -146,18 +162,37 @@ def nearest_node(points: DataFrame, nodes: DataFrame, group: str = "network") ->
 
     first, count = steps[0]
     roots = spots.select(group, cubes_of(first, "cube")).distinct()
-    search = sought.join(_sized(roots, count), group)
+    search = sought.withColumn("reach", F.lit(4.0)).join(_sized(roots, count), group)
     for (coarse, _), (fine, count) in zip(steps, steps[1:], strict=False):
-        children = spots.select(group, cubes_of(coarse, "cube"), cubes_of(fine, "child")).distinct()
-        opened = search.join(_sized(children, count), [group, "cube"])
-        least, greatest = _reach(F.col("child"), fine)
-        # A point's cubes are few: those the search could not rule out, times the fan-out.
-        kept = opened.groupBy(*here).agg(
-            F.min(greatest).alias("reach"),
-            F.collect_list(F.struct(F.col("child").alias("cube"), least.alias("least"))).alias("cubes"),
+        # The cubes within a cube, each with one of its nodes: a few dozen at most.
+        member = F.struct(*AXES)
+        inside = (
+            spots.groupBy(group, cubes_of(coarse, "cube"), cubes_of(fine, "child"))
+            .agg(F.min(member).alias("member"))
+            .groupBy(group, "cube")
+            .agg(
+                F.collect_list(
+                    F.struct("child", "member", *_corner(F.col("child"), fine))
+                ).alias("inside")
+            )
+        )
+        # No nearest node is farther than any node already seen.
+        seen = F.array_min(F.transform("inside", lambda c: _chord(c["member"])))
+        opened = search.join(_sized(inside, count), [group, "cube"]).withColumn(
+            "reach", F.least("reach", seen)
+        )
+        weighed = F.transform("inside", _weigh(fine))
+        possible = F.filter(weighed, lambda c: c["least"] <= F.col("reach") + F.lit(SLACK))
+        kept = (
+            opened.select(*here, possible.alias("cubes"))
+            .groupBy(group, "lat", "lon")
+            .agg(
+                *(F.min(c).alias(c) for c in (*AXES, "reach")),
+                F.flatten(F.collect_list("cubes")).alias("cubes"),
+            )
         )
-        possible = F.filter("cubes", lambda c: c["least"] <= F.col("reach") + F.lit(SLACK))
-        search = kept.select(*here, F.explode(possible).alias("c")).select(*here, "c.cube")
+        last = F.filter("cubes", lambda c: c["least"] <= F.col("reach") + F.lit(SLACK))
+        search = kept.select(*here, F.explode(last).alias("c")).select(*here, "c.cube")
 
     leaves = spots.select(
         group,

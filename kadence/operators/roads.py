@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kadence.workspace import work_dir
 
-HOPS = 3
+HOPS = 2
 PIECES = 32
 HUB_EDGES = 100_000
 
@@ -20,23 +20,33 @@ def _reversed_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def _spread_hubs(incoming: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame]:
-    """(edges with a piece number, hubs): the edges of a hub are cut into pieces.
+def _hubs(incoming: DataFrame, hub_edges: int) -> DataFrame:
+    counts = incoming.groupBy("network", "node").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > hub_edges).select("network", "node", F.lit(True).alias("hub"))
 
-    A node with a large part of all edges would make one task of each round; its edges go to
-    different pieces by their other end, and the frontier visits every piece.
+
+def _in_pieces(incoming: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Edges with a piece number: those of a hub are cut into pieces by their other end.
+
+    A node with a large part of all edges would make one task of each round. Its edges spread
+    over the pieces, and the frontier visits every piece.
     """
-    hubs = (
-        incoming.groupBy("network", "node")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > hub_edges)
-        .select("network", "node", F.lit(True).alias("hub"))
-    )
-    piece = F.when(
-        F.col("hub"), F.pmod(F.xxhash64("prev"), F.lit(PIECES).cast("bigint")).cast("int")
-    ).otherwise(F.lit(0))
+    if hubs is None:
+        return incoming.withColumn("piece", F.lit(0))
+    cut = F.pmod(F.xxhash64("prev"), F.lit(PIECES).cast("bigint")).cast("int")
     marked = incoming.join(hubs, ["network", "node"], "left")
-    return marked.withColumn("piece", piece).drop("hub"), hubs
+    return marked.withColumn("piece", F.when(F.col("hub"), cut).otherwise(F.lit(0))).drop("hub")
+
+
+def _sent(labels: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Labels with the pieces of edges they go to."""
+    if hubs is None:
+        return labels.withColumn("piece", F.lit(0))
+    all_pieces = F.sequence(F.lit(0), F.lit(PIECES - 1))
+    pieces = F.when(F.col("hub"), all_pieces).otherwise(F.array(F.lit(0)))
+    return labels.join(hubs, ["network", "node"], "left").select(
+        "network", "node", "dist", F.explode(pieces).alias("piece")
+    )
 
 
 def distances_to(
@@ -60,33 +70,25 @@ def distances_to(
     """
     spark = edges.sparkSession
     folder = work_dir(spark, "roads")
-    incoming, hubs = _spread_hubs(_reversed_edges(edges), hub_edges)
-    incoming.write.parquet(f"{folder}/edges")
-    hubs.write.parquet(f"{folder}/hubs")
-    hubs = spark.read.parquet(f"{folder}/hubs")
+    _reversed_edges(edges).write.parquet(f"{folder}/edges")
+    stored_edges = spark.read.parquet(f"{folder}/edges")
+    hubs = _hubs(stored_edges, hub_edges)
+    if hubs.isEmpty():
+        hubs = None
     # Shuffled once and kept, so that a round only moves labels. A lost block is read again
     # from the written table.
     incoming = (
-        spark.read.parquet(f"{folder}/edges")
+        _in_pieces(stored_edges, hubs)
         .repartition(
             int(spark.conf.get("spark.sql.shuffle.partitions")), "network", "node", "piece"
         )
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    any_hub = not hubs.isEmpty()
 
     def relax(labels: DataFrame) -> DataFrame:
-        if any_hub:
-            pieces = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-            sent = labels.join(hubs, ["network", "node"], "left").select(
-                "network", "node", "dist", F.explode(pieces).alias("piece")
-            )
-        else:
-            sent = labels.withColumn("piece", F.lit(0))
         return (
-            sent.join(incoming, ["network", "node", "piece"])
+            _sent(labels, hubs)
+            .join(incoming, ["network", "node", "piece"])
             .groupBy("network", F.col("prev").alias("node"))
             .agg(F.min(F.col("dist") + F.col("length")).alias("dist"))
         )

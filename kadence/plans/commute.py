@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kadence.functions.geodesy import linear_distance
+from kadence.functions.geodesy import haversine, linear_distance
 from kadence.functions.scalars import commute_mode, is_bonus_eligible, mode_limit
 from kadence.operators.changes import has_relevant_change
 from kadence.operators.eligibility import distance_outcome
@@ -35,11 +35,10 @@ def within_limit(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def site_nodes(nodes: DataFrame, site: Site) -> DataFrame:
-    """``network, node_id`` nearest to the workplace."""
-    points = with_site(nodes.select("network").distinct(), site).select(
-        "network", F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon")
-    )
-    return nearest_node(points, nodes).select("network", "node_id")
+    """``network, node_id`` nearest to the workplace: one pass, as the point is a literal."""
+    metres = haversine(F.col("lat"), F.col("lon"), F.lit(site.lat), F.lit(site.lon))
+    best = F.min(F.struct(metres.alias("snap_m"), "node_id"))
+    return nodes.groupBy("network").agg(best.alias("best")).select("network", "best.node_id")
 
 
 def address_distances(

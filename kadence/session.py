@@ -22,6 +22,8 @@ def local_session(cores: str = "8", app: str = "kadence", **extra: str) -> Spark
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.ui.showConsoleProgress", "false")
+        # The default of 1 MB leaves test tables in a single task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for name, value in {**SETTINGS, **extra}.items():
         builder = builder.config(name, value)
