@@ -64,37 +64,46 @@ def dedupe_redelivered_stream(df: DataFrame, event_time: str, within: str) -> Da
     )
 
 
-def _decoded(df: DataFrame, image: T.StructType) -> DataFrame:
+PARSED = "_parsed"
+
+
+def decode(df: DataFrame, image: T.StructType) -> DataFrame:
+    """Messages with their parsed envelope, to be split into changes and malformed ones."""
     schema = envelope(image).add("_corrupt", T.StringType())
-    parsed = F.from_json(
-        "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    )
-    return df.withColumn("_parsed", parsed)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return df.withColumn(PARSED, F.from_json("value", schema, options))
 
 
-def split_malformed(df: DataFrame, image: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(decodable messages, messages that are no JSON of the expected types)."""
-    parsed = _decoded(drop_tombstones(df), image)
-    corrupt = F.col("_parsed._corrupt").isNotNull()
-    return (
-        parsed.filter(~corrupt).drop("_parsed"),
-        parsed.filter(corrupt).drop("_parsed"),
-    )
+def malformed_of(decoded: DataFrame) -> DataFrame:
+    """Messages that are no JSON of the expected types."""
+    return decoded.filter(F.col(f"{PARSED}._corrupt").isNotNull()).drop(PARSED)
 
 
-def unwrap_envelope(df: DataFrame, image: T.StructType) -> DataFrame:
-    """``op``, ``before`` and ``after`` beside the topic position; undecodable messages go.
+def changes_of(decoded: DataFrame) -> DataFrame:
+    """``op``, ``before`` and ``after`` beside the topic position.
 
-    JSON without a payload yields nulls in all three and is skipped by every route.
+    Tombstones and malformed messages go. JSON without a payload yields nulls in all three and
+    is skipped by every route.
     """
-    position = [c for c in df.columns if c != "value"]
-    return (
-        _decoded(drop_tombstones(df), image)
-        .filter(F.col("_parsed._corrupt").isNull())
-        .select(*position, "_parsed.payload.op", "_parsed.payload.before", "_parsed.payload.after")
+    position = [c for c in decoded.columns if c not in ("value", PARSED)]
+    readable = F.col("value").isNotNull() & F.col(f"{PARSED}._corrupt").isNull()
+    return decoded.filter(readable).select(
+        *position, *(f"{PARSED}.payload.{c}" for c in ("op", "before", "after"))
     )
 
 
+def split_malformed(df: DataFrame, image: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(decodable messages, malformed messages); tombstones are in neither."""
+    decoded = decode(drop_tombstones(df), image)
+    good = decoded.filter(F.col(f"{PARSED}._corrupt").isNull()).drop(PARSED)
+    return good, malformed_of(decoded)
+
+
+def unwrap_envelope(df: DataFrame, image: T.StructType) -> DataFrame:
+    """Decoded changes of a topic."""
+    return changes_of(decode(df, image))
+
+
 def state_route(op: Column, before: Column, after: Column) -> Column:
     """``created``, ``updated`` or ``deleted``; null for a change that counts for nothing."""
     return (

@@ -58,21 +58,18 @@ def guarded(root: str, work: Callable[[DataFrame, BatchWriter], None]):
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         writer = BatchWriter(root, epoch_id)
-        kept = batch.persist()
         try:
-            if kept.isEmpty():
+            if batch.isEmpty():
                 return
-            work(kept, writer)
-            writer.write_counts(kept)
+            work(batch, writer)
+            writer.write_counts(batch)
         except Exception as error:
             log.exception("batch %s failed", epoch_id)
             try:
-                writer.take_back(kept)
-                dead_letter(kept, f"{root}/dead_letter", epoch_id, str(error))
+                writer.take_back(batch)
+                dead_letter(batch, f"{root}/dead_letter", epoch_id, str(error))
             except Exception:
                 log.exception("batch %s is lost", epoch_id)
-        finally:
-            kept.unpersist()
 
     return process
 

@@ -9,11 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kadence.operators.changes import (
     batch_offset_ranges,
+    changes_of,
+    decode,
     dedupe_redelivered,
     dedupe_redelivered_stream,
+    malformed_of,
     route_fact_inserts,
-    split_malformed,
-    unwrap_envelope,
 )
 from kadence.operators.gold import sort_gold, wellbeing_from_counts
 from kadence.operators.notify import activity_measures, build_messages, message_errors
@@ -33,10 +34,9 @@ PARTIAL_COUNTS = T.StructType(
 FACT_COLUMNS = ACTIVITY_IMAGE.fieldNames()
 
 
-def activity_rows(batch: DataFrame) -> DataFrame:
-    """Inserted activities of a batch of messages, with their measures."""
-    changes = unwrap_envelope(dedupe_redelivered(batch), ACTIVITY_IMAGE)
-    return activity_measures(route_fact_inserts(changes).select("after.*"))
+def activity_rows(decoded: DataFrame) -> DataFrame:
+    """Inserted activities of decoded messages, with their measures."""
+    return activity_measures(route_fact_inserts(changes_of(decoded)).select("after.*"))
 
 
 def run_fact_stream(
@@ -63,16 +63,20 @@ def run_fact_stream(
 
     def work(batch: DataFrame, writer: BatchWriter) -> None:
         time = F.current_timestamp() if at is None else at
-        _, malformed = split_malformed(dedupe_redelivered(batch), ACTIVITY_IMAGE)
-        writer.write("malformed", malformed.select("value", "topic", "partition", "offset"))
-        rows = activity_rows(batch).persist()
+        decoded = decode(dedupe_redelivered(batch), ACTIVITY_IMAGE).persist()
         try:
+            bad = malformed_of(decoded)
+            writer.write("malformed", bad.select("value", "topic", "partition", "offset"))
+            rows = activity_rows(decoded)
             writer.write("facts", rows.select(*FACT_COLUMNS))
             messages = build_messages(rows, employees, templates)
-            writer.write("notifications", messages.withColumn("created_at", time))
+            notification = messages.withColumn("created_at", time)
+            writer.write("notifications", notification)
             errors = message_errors(rows, employees, templates, time)
             writer.write("notification_errors", errors)
-            batch_id = batch_offset_ranges(batch, F.unix_millis(F.current_timestamp())).first()[0]
+            batch_id = batch_offset_ranges(
+                decoded, F.unix_millis(F.current_timestamp())
+            ).first()["batch_id"]
             suite = shipped_suites()["notification_errors"]
             writer.write("quality", failed_rows(errors, suite, batch_id, "notification_errors"))
             counts = rows.groupBy("salarie_id", "annee").agg(
@@ -80,7 +84,7 @@ def run_fact_stream(
             )
             writer.write("activity_counts", counts)
         finally:
-            rows.unpersist()
+            decoded.unpersist()
         if writer.epoch_id % refresh_every == 0:
             try:
                 refresh_wellbeing_table(batch.sparkSession, root, rules)

@@ -10,13 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from kadence.operators.changes import (
     LAKE_FIELDS,
     batch_offset_ranges,
+    changes_of,
+    decode,
     dedupe_redelivered,
     dedupe_redelivered_stream,
     drop_pii,
+    malformed_of,
     route_state_changes,
-    split_malformed,
     to_bronze,
-    unwrap_envelope,
 )
 from kadence.operators.gold import annual_bonus, sort_gold
 from kadence.operators.history import scd2_intervals, state_log
@@ -27,6 +28,8 @@ from kadence.rules import Rules
 from kadence.sinks.tables import is_non_empty, overwrite_table, read_batches
 from kadence.streaming.batches import BatchWriter, gold_error_row, guarded
 
+POSITIONED = ("value", "topic", "partition", "offset")
+
 STATE_LOG = T.StructType(
     [
         T.StructField("id_salarie", T.LongType()),
@@ -82,23 +85,25 @@ def run_state_stream(
 
     def work(batch: DataFrame, writer: BatchWriter) -> None:
         time = F.current_timestamp() if at is None else at
-        messages = dedupe_redelivered(batch)
-        _, malformed = split_malformed(messages, image)
-        writer.write(
-            "malformed", malformed.select("value", "topic", "partition", "offset")
-        )
-        changes = unwrap_envelope(messages, image)
-        lake = changes if lake_fields is None else drop_pii(changes, lake_fields)
-        writer.write("bronze", to_bronze(lake, time))
-
-        routed = route_state_changes(changes)
-        judged = evaluated_images(
-            routed, evaluate, rules, log_all=log_all_incoherences
-        ).persist()
+        # Decoded once; five tables are cut from it.
+        decoded = decode(dedupe_redelivered(batch), image).persist()
+        judged = None
         try:
-            _write_layers(batch, judged, writer, time, initial_valid_from, gate)
+            writer.write("malformed", malformed_of(decoded).select(*POSITIONED))
+            changes = changes_of(decoded)
+            lake = changes if lake_fields is None else drop_pii(changes, lake_fields)
+            writer.write("bronze", to_bronze(lake, time))
+            batch_id = batch_offset_ranges(
+                decoded, F.unix_millis(F.current_timestamp())
+            ).first()["batch_id"]
+            judged = evaluated_images(
+                route_state_changes(changes), evaluate, rules, log_all=log_all_incoherences
+            ).persist()
+            _write_layers(judged, writer, batch_id, time, initial_valid_from, gate)
         finally:
-            judged.unpersist()
+            decoded.unpersist()
+            if judged is not None:
+                judged.unpersist()
         if incomes is not None and as_of_year is not None:
             _refresh_bonus(batch, root, writer.epoch_id, incomes, rules, as_of_year)
 
@@ -111,9 +116,9 @@ def run_state_stream(
 
 
 def _write_layers(
-    batch: DataFrame,
     judged: DataFrame,
     writer: BatchWriter,
+    batch_id: str,
     time: Column,
     initial_valid_from: Column | None,
     gate: bool,
@@ -141,7 +146,6 @@ def _write_layers(
         F.col("valid_from").alias("date_debut"),
         F.lit(None).cast("int").alias("duree"),
     )
-    batch_id = batch_offset_ranges(batch, F.unix_millis(F.current_timestamp())).first()["batch_id"]
     failures = [
         failed_rows(opened, suites["silver_new"], batch_id, "silver_new"),
         failed_rows(incoherences, suites["incoherences"], batch_id, "incoherences"),
