@@ -50,11 +50,12 @@ def refresh_wellbeing(
 ) -> DataFrame:
     """Gold table with the touched pairs recomputed and all other rows kept.
 
-    Activities are counted first and matched after: only partial counts are shuffled, so an
-    employee with a large part of all activities stays cheap.
+    ``touched`` is distinct. Activities are counted first and matched after, so that only
+    partial counts are shuffled and an employee with a large part of all activities stays
+    cheap. The match is an inner join: a semi join would be moved below the counting.
     """
     keys = ["salarie_id", "annee"]
-    counts = activity_counts(activities).join(touched, keys, "left_semi")
+    counts = activity_counts(activities).join(touched, keys)
     fresh = wellbeing_from_counts(counts, rules)
     return gold.join(touched, keys, "left_anti").unionByName(fresh)
 
@@ -82,6 +83,11 @@ def scan_incomes(employees: DataFrame) -> DataFrame:
     return employees.select("id_salarie", "salaire_brut")
 
 
+def enrich_income(gold: DataFrame, incomes: DataFrame) -> DataFrame:
+    """Gross salary beside each row, null where there is none."""
+    return gold.join(incomes, "id_salarie", "left")
+
+
 def annual_bonus(
     silver: DataFrame, incomes: DataFrame, rules: Rules, as_of_year: int
 ) -> DataFrame:
@@ -89,7 +95,7 @@ def annual_bonus(
 
     Incomes meet the already summed rows, a few per employee, so no key of that join is hot.
     """
-    summed = eligible_days(silver, as_of_year).join(incomes, "id_salarie", "left")
+    summed = enrich_income(eligible_days(silver, as_of_year), incomes)
     ratio = percentage(F.col("duree"), days_in_year(F.col("annee")))
     return summed.withColumn("ratio_jours", ratio).select(
         "id_salarie",

@@ -14,6 +14,10 @@ from kadence.functions.scalars import whole_days
 from kadence.operators.skew import CHUNK_ROWS, HOT_ROWS, with_neighbours
 
 
+# Fixed value: when the states of newly seen employees begin, for ``initial_valid_from``.
+CREATED_FROM = "2026-01-01 00:00:00"
+
+
 def state_log(
     routed: DataFrame,
     *,

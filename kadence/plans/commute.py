@@ -17,7 +17,7 @@ from kadence.rules import Rules, Site
 
 
 def with_site(df: DataFrame, site: Site) -> DataFrame:
-    """The workplace beside every row, as literals."""
+    """The workplace beside every row, as literals: no join is needed."""
     return df.withColumns({"site_lat": F.lit(site.lat), "site_lon": F.lit(site.lon)})
 
 

@@ -35,6 +35,7 @@ IMAGE = T.StructType(
 class Dialect:
     each: Callable[[str], str]  # one row per literal of a list
     micros: Callable[[str], str]  # timestamp without zone -> microseconds
+    stamp: Callable[[str], str]  # timestamp of a table -> timestamp of the session
     instant: Callable[[str], str]  # microseconds -> timestamp
     days: Callable[[str], str]  # timestamp -> days since 1970-01-01
 
@@ -42,12 +43,14 @@ class Dialect:
 SPARK = Dialect(
     each=lambda items: f"explode(array({items}))",
     micros=lambda c: f"unix_micros(cast({c} as timestamp))",
+    stamp=lambda c: f"cast({c} as timestamp)",
     instant=lambda c: f"timestamp_micros({c})",
     days=lambda c: f"cast(unix_date(cast({c} as date)) as bigint)",
 )
 DUCKDB = Dialect(
     each=lambda items: f"unnest([{items}])",
     micros=lambda c: f"epoch_us({c})",
+    stamp=lambda c: c,
     instant=lambda c: f"make_timestamp({c})",
     days=lambda c: f"date_diff('day', date '1970-01-01', cast({c} as date))",
 )
@@ -133,7 +136,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
         "fx_activity": f"""
             select event_id as id_evenement_sport, user_id as salarie_id,
                 {d.instant(f"{d.micros('ts')} - k * 60000000")} as date_debut_activite,
-                {d.instant(d.micros("ts"))} as date_fin_activite,
+                {d.stamp("ts")} as date_fin_activite,
                 case event_type when 'click' then 'Tennis' when 'view' then 'Randonnée'
                     when 'purchase' then 'Runing' when 'signup' then 'Natation'
                     else 'Curling' end as sport_type,
@@ -150,7 +153,7 @@ def view_sql(d: Dialect) -> dict[str, str]:
         "fx_state": f"""
             select o_custkey as id_salarie,
                 {d.days("o_orderdate")} * 1000000000000 + o_orderkey as seq,
-                {d.instant(d.micros("o_orderdate"))} as ts, o_orderstatus as status,
+                {d.stamp("o_orderdate")} as ts, o_orderstatus as status,
                 case when o_totalprice < 10000 then null
                     when o_orderpriority = '1-URGENT' then 'Marche/running'
                     when o_orderpriority = '2-HIGH' then 'Vélo/Trottinette/Autres'

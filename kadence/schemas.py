@@ -62,6 +62,16 @@ ACTIVITY = T.StructType(
     ]
 )
 
+SILVER = T.StructType(
+    [
+        T.StructField("id_salarie", T.LongType()),
+        T.StructField("est_eligible_prime_annuel", T.BooleanType()),
+        T.StructField("date_debut", T.TimestampType()),
+        T.StructField("date_fin", T.TimestampType()),
+        T.StructField("duree", T.IntegerType()),
+    ]
+)
+
 # What a change topic delivers: the broker's own columns.
 TOPIC = T.StructType(
     [

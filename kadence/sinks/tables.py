@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 EPOCH = "epoch_id"
@@ -115,7 +114,6 @@ NOTIFICATIONS = T.StructType(
 )
 
 
-def notification_table(messages: DataFrame, path: str, epoch_id: int, at=None) -> None:
-    """Keep built messages; a delivery job reads them from here."""
-    stamped = messages.withColumn("created_at", F.current_timestamp() if at is None else at)
-    append_batch(stamped.select(*NOTIFICATIONS.fieldNames()), path, epoch_id)
+def notification_table(messages: DataFrame, at: Column) -> DataFrame:
+    """Built messages as they are kept; a delivery job reads them from the table."""
+    return messages.withColumn("created_at", at).select(*NOTIFICATIONS.fieldNames())

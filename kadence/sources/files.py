@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadence.rules import Rules
-from kadence.schemas import EMPLOYEE_CSV, ROAD_EDGES, ROAD_NODES, RULE_FILE
+from kadence.schemas import (
+    ACTIVITY,
+    EMPLOYEE_CSV,
+    ROAD_EDGES,
+    ROAD_NODES,
+    RULE_FILE,
+    SILVER,
+)
 
 
 def read_employee_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Employee file with a header line, quoted addresses and an optional byte-order mark."""
+    """Employee file with a header line, quoted addresses (quotes doubled inside) and an optional
+    byte-order mark."""
     return (
         spark.read.schema(EMPLOYEE_CSV)
         .option("header", True)
         .option("enforceSchema", True)
+        .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -43,6 +52,16 @@ def read_road_graph(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFr
     )
 
 
+def scan_activities(spark: SparkSession, path: str) -> DataFrame:
+    """The fact table; a query that counts reads three of its columns."""
+    return spark.read.schema(ACTIVITY).parquet(path)
+
+
+def scan_silver(spark: SparkSession, path: str) -> DataFrame:
+    """A stored interval table."""
+    return spark.read.schema(SILVER).parquet(path)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, properties: dict[str, str], **partitioning
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +21,12 @@ from kadence.operators.notify import activity_measures, build_messages, message_
 from kadence.operators.quality import failed_rows, shipped_suites
 from kadence.rules import Rules
 from kadence.schemas import ACTIVITY_IMAGE
-from kadence.sinks.tables import is_non_empty, overwrite_table, read_batches
+from kadence.sinks.tables import (
+    is_non_empty,
+    notification_table,
+    overwrite_table,
+    read_batches,
+)
 from kadence.streaming.batches import BatchWriter, gold_error_row, guarded
 
 PARTIAL_COUNTS = T.StructType(
@@ -70,8 +75,7 @@ def run_fact_stream(
             rows = activity_rows(decoded)
             writer.write("facts", rows.select(*FACT_COLUMNS))
             messages = build_messages(rows, employees, templates)
-            notification = messages.withColumn("created_at", time)
-            writer.write("notifications", notification)
+            writer.write("notifications", notification_table(messages, time))
             errors = message_errors(rows, employees, templates, time)
             writer.write("notification_errors", errors)
             batch_id = batch_offset_ranges(
@@ -99,14 +103,14 @@ def run_fact_stream(
     return query.foreachBatch(guarded(root, work)).start()
 
 
-def stored_wellbeing(spark, root: str, rules: Rules) -> DataFrame:
+def stored_wellbeing(spark: SparkSession, root: str, rules: Rules) -> DataFrame:
     """Wellbeing days from the counts of all batches."""
     parts = read_batches(spark, f"{root}/activity_counts", PARTIAL_COUNTS)
     counts = parts.groupBy("salarie_id", "annee").agg(F.sum("nb_activites").alias("nb_activites"))
     return wellbeing_from_counts(counts, rules)
 
 
-def refresh_wellbeing_table(spark, root: str, rules: Rules) -> None:
+def refresh_wellbeing_table(spark: SparkSession, root: str, rules: Rules) -> None:
     parts = read_batches(spark, f"{root}/activity_counts", PARTIAL_COUNTS)
     if is_non_empty(parts):
         gold = sort_gold(stored_wellbeing(spark, root, rules), "salarie_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -79,7 +81,8 @@ def run_state_stream(
     ``at`` is the time of a change, by default the time of its batch. ``evaluate`` adds
     ``distance_m, reason`` to images. ``lake_fields=None`` keeps full images in bronze. With
     ``gate`` rows that fail their suite stay out of the log, by default they are only reported.
-    With ``incomes`` and ``as_of_year`` the bonus product is refreshed after each batch.
+    With ``incomes`` the bonus product is refreshed after each batch, for ``as_of_year`` or the
+    current year.
     ``dedupe_on`` (time column, span) drops messages that come again in a later batch.
     """
 
@@ -104,8 +107,9 @@ def run_state_stream(
             decoded.unpersist()
             if judged is not None:
                 judged.unpersist()
-        if incomes is not None and as_of_year is not None:
-            _refresh_bonus(batch, root, writer.epoch_id, incomes, rules, as_of_year)
+        if incomes is not None:
+            year = as_of_year or datetime.now(UTC).year
+            _refresh_bonus(batch, root, writer.epoch_id, incomes, rules, year)
 
     if dedupe_on:
         stream = dedupe_redelivered_stream(stream, *dedupe_on)
@@ -187,16 +191,16 @@ def _refresh_bonus(
         gold_error_row(batch, root, epoch_id, f"epoch {epoch_id}", str(error))
 
 
-def stored_log(spark, root: str) -> DataFrame:
+def stored_log(spark: SparkSession, root: str) -> DataFrame:
     """The state log; a change that was delivered in two batches counts once."""
     log = read_batches(spark, f"{root}/state_log", STATE_LOG)
     return log.dropDuplicates(["id_salarie", "seq"])
 
 
-def stored_intervals(spark, root: str, **options) -> DataFrame:
+def stored_intervals(spark: SparkSession, root: str, **options) -> DataFrame:
     """History so far, as intervals."""
     return scd2_intervals(stored_log(spark, root), **options)
 
 
-def stored_registry(spark, root: str) -> DataFrame:
+def stored_registry(spark: SparkSession, root: str) -> DataFrame:
     return registry_from_log(read_batches(spark, f"{root}/registry_log", REGISTRY_LOG))
