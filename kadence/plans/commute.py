@@ -102,9 +102,7 @@ def commute_distance(
     )
     wanted = asked.filter(F.col("address_key").isNotNull() & F.col("network").isNotNull())
     known = address_distances(wanted, addresses, nodes, edges, site, rules, method)
-    return with_outcome(asked.join(known, ["address_key", "network"], "left"), rules).select(
-        *people.columns, "distance_m", "reason"
-    )
+    return _verdict(asked.join(known, ["address_key", "network"], "left"), people, rules)
 
 
 def with_outcome(df: DataFrame, rules: Rules) -> DataFrame:
@@ -120,7 +118,16 @@ def with_outcome(df: DataFrame, rules: Rules) -> DataFrame:
         road_error=F.col("road_error"),
         rules=rules,
     )
-    return df.withColumn("outcome", outcome).select("*", "outcome.*").drop("outcome")
+    return (
+        df.withColumn("outcome", outcome)
+        .withColumns({"distance_m": F.col("outcome.distance_m"), "reason": F.col("outcome.reason")})
+        .drop("outcome")
+    )
+
+
+def _verdict(rows: DataFrame, people: DataFrame, rules: Rules) -> DataFrame:
+    given = [c for c in people.columns if c not in ("distance_m", "reason")]
+    return with_outcome(rows, rules).select(*given, "distance_m", "reason")
 
 
 Evaluate = Callable[[DataFrame], DataFrame]
@@ -147,7 +154,7 @@ def evaluator(known: DataFrame, rules: Rules) -> Evaluate:
         rows = rows.withColumn(
             "geo_error", F.when(missing, F.lit(NO_CANDIDATE)).otherwise(F.col("geo_error"))
         )
-        return with_outcome(rows, rules).select(*people.columns, "distance_m", "reason")
+        return _verdict(rows, people, rules)
 
     return evaluate
 

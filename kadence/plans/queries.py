@@ -958,6 +958,46 @@ def _(v):
     return found.select("id_salarie", F.bround("distance_m", 3).alias("distance_m"), "reason")
 
 
+COMMUTE_OK = f"""
+    select distinct m.address_key, m.network from (
+        select w.id as address_key, w.lat, w.lon, w.metres, unnest(['walk', 'drive']) as network
+        from ({sql_wgs84("select address_key as id, lat, lon from sh_best")}) as w) as m
+    join ({NEAREST_SQL}) as n on n.network = m.network and n.lat = m.lat and n.lon = m.lon
+    join sh_road as r on r.network = n.network and r.node_id = n.node_id
+    where metres <= {sql_limit("m.network")} and road_m <= {sql_limit("m.network")}"""
+
+
+def _commute_flag(side: str) -> str:
+    return f"""case when {side}_there then coalesce((select true from sh_commute_ok as k
+        where k.address_key = {sql_key(f"{side}_adresse")}
+            and k.network = {sql_mode(f"{side}_moyen")}), false) end"""
+
+
+@query(
+    "commute_history",
+    f"""select id_salarie, after as est_eligible_prime_annuel, ts as date_debut, date_fin,
+        cast(date_sub('day', ts, date_fin) as int) as duree
+    from (select *, lead(ts) over (partition by id_salarie order by seq) as date_fin from (
+        select id_salarie, ts, seq, route, {_commute_flag("b")} as before,
+            {_commute_flag("a")} as after from sh_judged) as j
+        where route <> 'updated' or before is distinct from after) as l
+    where route <> 'deleted'""",
+    {**SHARED_ROAD, "sh_commute_ok": COMMUTE_OK},
+)
+def _(v):
+    """Employee changes to history, with distances from addresses and roads."""
+    routed = C.route_state_changes(
+        changes(v).withColumns({"partition": F.lit(0), "offset": F.col("seq")})
+    )
+    wanted = v.fx_address.select(
+        P.address_key(F.col("adresse")).alias("address_key"),
+        F.explode(F.array(F.lit("walk"), F.lit("drive"))).alias("network"),
+    )
+    known = W.address_distances(wanted, v.fx_address, v.fx_node, v.fx_edge, SITE, RULES)
+    evaluated = W.evaluated_images(routed, W.evaluator(known, RULES), RULES)
+    return H.scd2_intervals(H.state_log(evaluated), sizes=v.fx_state)
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
