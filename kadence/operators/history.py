@@ -61,7 +61,7 @@ def scd2_intervals(
     rows = with_neighbours(
         log,
         ["id_salarie"],
-        ["seq"],
+        "seq",
         ["valid_from"],
         following="next_row",
         preceding="prev_row" if clamp else None,

@@ -1,83 +1,115 @@
 """Neighbouring rows within a key, when one key may hold a large part of all rows.
 
 A window over a key puts the whole key into one task. Here keys above a size are cut into
-chunks along their order, the window runs per chunk, and only the first and last rows of the
-chunks are compared across chunks. Without such keys the plan is a plain window.
+chunks along their order, and the window runs per chunk. The first row of a chunk also visits
+the chunk before, and the last row the chunk after, so that no row misses its neighbour. Keys
+below that size stay in one piece; without larger ones the plan is a plain window.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
 MAX_HOT_KEYS = 1_000
-QUANTILES = 64
+MAX_CHUNKS = 20_000
+CELLS = 256
 
 CHUNK = "__chunk"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], position: str, min_rows: int = HOT_ROWS
+) -> DataFrame:
     """Keys with more than ``min_rows`` rows and more than a thousandth of the table.
 
-    The second condition bounds the result: fewer than ``MAX_HOT_KEYS`` keys can pass it,
-    however large the table is, so the result may be broadcast. Counts are combined before
-    the shuffle, and only the key columns are read.
+    With their number of rows, that of the table, and the range of their position. The second
+    condition bounds the result: fewer than ``MAX_HOT_KEYS`` keys can pass it, however large
+    the table is. Counts are combined before the shuffle, and only these columns are read.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    floor = F.greatest(F.lit(min_rows).cast("double"), total.scalar() / F.lit(MAX_HOT_KEYS))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return counts.filter(F.col("__rows") > floor)
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.min(position).alias("__low"),
+        F.max(position).alias("__high"),
+    )
+    floor = F.greatest(F.lit(min_rows).cast("double"), total / F.lit(MAX_HOT_KEYS))
+    return counts.filter(F.col("__rows") > floor).withColumn("__total", total)
+
+
+def _cell() -> Column:
+    """Place of a row in the range of its key, from 0 to ``CELLS``."""
+    offset = (F.col("__position") - F.col("__low")).cast("double")
+    return offset / (F.col("__high") - F.col("__low") + F.lit(1)) * F.lit(float(CELLS))
 
 
-def chunk_bounds(
+def chunk_cuts(
     df: DataFrame, keys: Sequence[str], position: str, min_rows: int, chunk_rows: int
 ) -> DataFrame | None:
-    """Per hot key: quantiles of its order, and how finely each stretch between them is cut.
+    """Per hot key: how its range is cut into chunks of even size. None if no key is hot.
 
-    None if no key is hot, which one count over the key columns tells. Fewer than
-    ``MAX_HOT_KEYS`` short rows come back to the driver, and are broadcast.
+    The range is counted in ``CELLS`` cells; each becomes as many chunks as its rows need.
+    Fewer than ``MAX_HOT_KEYS`` keys and ``CELLS`` counts per key come back to the driver.
     """
     spark = df.sparkSession
-    narrow = df.select(*keys, position)
-    hot = hot_keys(narrow.select(*keys), keys, min_rows)
-    found = hot.collect()
-    if not found:
+    narrow = df.select(*keys, F.col(position).cast("bigint").alias("__position"))
+    found = hot_keys(narrow, keys, "__position", min_rows)
+    hot = found.collect()
+    if not hot:
         return None
-    hot = spark.createDataFrame(found, hot.schema)
-    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
-    bounds = (
-        narrow.join(F.broadcast(hot), list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(position, shares, 1000).alias("__bounds"),
-            F.ceil(F.max("__rows") / F.lit(QUANTILES * float(chunk_rows))).alias("__cuts"),
-        )
+    size = max(chunk_rows, hot[0]["__total"] // MAX_CHUNKS)
+    ranges = spark.createDataFrame(hot, found.schema).select(*keys, "__low", "__high")
+    cells = (
+        narrow.join(F.broadcast(ranges), list(keys))
+        .groupBy(*keys, F.floor(_cell()).alias("cell"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return spark.createDataFrame(bounds.collect(), bounds.schema)
-
-
-def _chunk_number(position: Column, bounds: Column, cuts: Column) -> Column:
-    """0 for a key in one piece; else a number that grows with the position, from 1."""
-    below = F.size(F.filter(F.slice(bounds, 2, QUANTILES - 1), lambda b: b <= position))
-    low = F.element_at(bounds, below + F.lit(1))
-    high = F.element_at(bounds, below + F.lit(2))
-    share = F.when(high > low, (position - low) / (high - low).cast("double")).otherwise(F.lit(0.0))
+    cuts = defaultdict(lambda: [1] * CELLS)
+    for row in cells.collect():
+        cuts[tuple(row[k] for k in keys)][row["cell"]] = -(-row["n"] // size)
+    rows = []
+    for row in hot:
+        key = tuple(row[k] for k in keys)
+        first = [1]
+        for pieces in cuts[key][:-1]:
+            first.append(first[-1] + pieces)
+        rows.append((*key, row["__low"], row["__high"], first, cuts[key]))
+    numbers = T.ArrayType(T.LongType())
+    schema = ranges.schema.add("__first", numbers).add("__cuts", numbers)
+    return spark.createDataFrame(rows, schema)
+
+
+def _chunked(
+    df: DataFrame, keys: Sequence[str], position: str, cuts: DataFrame, how: str
+) -> DataFrame:
+    """Rows with a chunk number that grows with the position, from 1; 0 for a key in one piece."""
+    cell = F.floor(F.col("__at")).cast("int") + F.lit(1)
+    pieces = F.element_at("__cuts", cell)
     inner = F.least(
-        F.greatest(F.floor(share * cuts), F.lit(0).cast("bigint")), cuts - F.lit(1).cast("bigint")
+        F.floor((F.col("__at") - F.floor("__at")) * pieces), pieces - F.lit(1).cast("bigint")
     )
-    return F.when(bounds.isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.lit(1).cast("bigint") + below * cuts + inner
+    number = F.when(F.col("__low").isNull(), F.lit(0).cast("bigint")).otherwise(
+        F.element_at("__first", cell) + inner
+    )
+    return (
+        df.withColumn("__position", F.col(position).cast("bigint"))
+        .join(F.broadcast(cuts), list(keys), how)
+        .withColumn("__at", _cell())
+        .withColumn(CHUNK, number)
+        .drop("__low", "__high", "__first", "__cuts", "__at")
     )
 
 
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    position: str,
     columns: Sequence[str],
     *,
     following: str | None = None,
@@ -88,44 +120,45 @@ def with_neighbours(
 ) -> DataFrame:
     """Add the next and / or previous row of the same key as struct columns, null at the ends.
 
-    ``order`` must be total within a key, and its first column a number: hot keys are cut
-    along it. Rows that tie on the first column always share a chunk. ``sizes`` is a cheaper
-    frame with the keys and that column, and at least the rows of ``df``, to find hot keys in.
+    ``position`` is a whole number, unique per key. ``sizes`` is a cheaper frame with the keys
+    and the position, and at least the rows of ``df``, to find hot keys in.
     """
     row = F.struct(*columns)
-    bounds = chunk_bounds(
-        df if sizes is None else sizes, keys, order[0], min_rows, chunk_rows
-    )
-    if bounds is None:
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        added = []
+
+    def neighbours(window) -> list[Column]:
+        found = []
         if following:
-            added.append(F.lead(row).over(whole).alias(following))
+            found.append(F.lead(row).over(window).alias(following))
         if preceding:
-            added.append(F.lag(row).over(whole).alias(preceding))
-        return df.select("*", *added)
-
-    def chunked(how: str) -> DataFrame:
-        number = _chunk_number(F.col(order[0]), F.col("__bounds"), F.col("__cuts"))
-        with_bounds = df.join(F.broadcast(bounds), list(keys), how)
-        return with_bounds.withColumn(CHUNK, number).drop("__bounds", "__cuts")
-
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    rank = F.struct(*order)
-    ends, inner, edge, out = [], [], [], []
+            found.append(F.lag(row).over(window).alias(preceding))
+        return found
+
+    cuts = chunk_cuts(df if sizes is None else sizes, keys, position, min_rows, chunk_rows)
+    if cuts is None:
+        return df.select("*", *neighbours(Window.partitionBy(*keys).orderBy(position)))
+
+    along = Window.partitionBy(*keys).orderBy(CHUNK)
+    ends = (
+        _chunked(df.select(*keys, position), keys, position, cuts, "inner")
+        .groupBy(*keys, CHUNK)
+        .agg(F.min("__position").alias("__head"), F.max("__position").alias("__tail"))
+        .withColumn("__before", F.lag(CHUNK).over(along))
+        .withColumn("__after", F.lead(CHUNK).over(along))
+    )
+    visits = [F.col(CHUNK)]
     if following:
-        inner.append(F.lead(row).over(within).alias("__next"))
-        ends.append(F.min_by(row, rank).alias("__first"))
-        edge.append(F.lead("__first").over(across).alias("__next_chunk"))
-        out.append(F.coalesce("__next", "__next_chunk").alias(following))
+        visits.append(F.when(F.col("__position") == F.col("__head"), F.col("__before")))
     if preceding:
-        inner.append(F.lag(row).over(within).alias("__prev"))
-        ends.append(F.max_by(row, rank).alias("__last"))
-        edge.append(F.lag("__last").over(across).alias("__prev_chunk"))
-        out.append(F.coalesce("__prev", "__prev_chunk").alias(preceding))
-
-    # Only hot keys have edges between chunks.
-    edges = chunked("inner").groupBy(*keys, CHUNK).agg(*ends).select(*keys, CHUNK, *edge)
-    joined = chunked("left").select("*", *inner).join(edges, [*keys, CHUNK], "left")
-    return joined.select(*df.columns, *out)
+        visits.append(F.when(F.col("__position") == F.col("__tail"), F.col("__after")))
+    # At most MAX_CHUNKS chunks, and CELLS for each of MAX_HOT_KEYS keys.
+    visiting = (
+        _chunked(df, keys, position, cuts, "left")
+        .join(F.broadcast(ends), [*keys, CHUNK], "left")
+        .select(*df.columns, CHUNK, F.explode(F.array_compact(F.array(*visits))).alias("__visited"))
+    )
+    within = Window.partitionBy(*keys, "__visited").orderBy(position)
+    return (
+        visiting.select("*", *neighbours(within))
+        .filter(F.col("__visited") == F.col(CHUNK))
+        .drop(CHUNK, "__visited")
+    )

@@ -251,7 +251,7 @@ class Views:
     def _change(self) -> DataFrame:
         images = ["seq", "adresse", "moyen", "distance_m"]
         rows = with_neighbours(
-            self.fx_state, ["id_salarie"], ["seq"], images, following="n", preceding="b"
+            self.fx_state, ["id_salarie"], "seq", images, following="n", preceding="b"
         )
         flat = rows.select(
             *self.fx_state.columns,

@@ -113,7 +113,7 @@ def test_chunked_neighbours_equal_a_plain_window(spark, min_rows, chunk_rows):
     data = [(d[0], d[5], d[1]) for d in random_changes(7)]
     df = spark.createDataFrame(data, "k int, seq bigint, v string")
     got = with_neighbours(
-        df, ["k"], ["seq"], ["seq", "v"],
+        df, ["k"], "seq", ["seq", "v"],
         following="nx", preceding="pv", min_rows=min_rows, chunk_rows=chunk_rows,
     )
     w = Window.partitionBy("k").orderBy("seq")
@@ -128,9 +128,9 @@ def test_hot_key_is_spread_over_many_tasks(spark):
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
         F.col("id").alias("seq"),
     )
-    assert rows(hot_keys(df.select("k"), ["k"], 100), "k") == [(0,)]
+    assert rows(hot_keys(df, ["k"], "seq", 100), "k") == [(0,)]
     got = with_neighbours(
-        df, ["k"], ["seq"], ["seq"], following="nx", min_rows=100, chunk_rows=10
+        df, ["k"], "seq", ["seq"], following="nx", min_rows=100, chunk_rows=10
     )
     assert got.filter("k = 0").agg(F.count("nx")).first()[0] == 6666
     plan = got._jdf.queryExecution().executedPlan().toString()
