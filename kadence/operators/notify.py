@@ -80,9 +80,9 @@ def _enriched(activities: DataFrame, employees: DataFrame, templates: DataFrame)
 def build_messages(activities: DataFrame, employees: DataFrame, templates: DataFrame) -> DataFrame:
     """One notification per activity of a known employee in a known sport."""
     rows = _enriched(activities, employees, templates)
-    return rows.filter(F.col("connu") & F.col("phrases").isNotNull()).select(
-        "id_evenement_sport", "salarie_id", message_text(F.col("id_evenement_sport")).alias("message")
-    )
+    message = message_text(F.col("id_evenement_sport")).alias("message")
+    sendable = rows.filter(F.col("connu") & F.col("phrases").isNotNull())
+    return sendable.select("id_evenement_sport", "salarie_id", message)
 
 
 def message_errors(

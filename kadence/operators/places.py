@@ -20,12 +20,15 @@ def address_key(address: Column) -> Column:
 
 def best_candidates(addresses: DataFrame) -> DataFrame:
     """``address_key, lat, lon`` of the highest scored candidate; combines before the shuffle."""
-    keyed = addresses.select(address_key(F.col("adresse")).alias("address_key"), "lat", "lon", "score")
+    key = address_key(F.col("adresse")).alias("address_key")
+    keyed = addresses.select(key, "lat", "lon", "score")
     best = F.max_by(F.struct("lat", "lon"), F.struct("score", "lat", "lon"))
     return keyed.groupBy("address_key").agg(best.alias("best")).select("address_key", "best.*")
 
 
-def geocode_join(df: DataFrame, addresses: DataFrame, address: str = "adresse_domicile") -> DataFrame:
+def geocode_join(
+    df: DataFrame, addresses: DataFrame, address: str = "adresse_domicile"
+) -> DataFrame:
     """Rows with ``lat, lon, geo_error``; an address without a candidate has the error."""
     found = best_candidates(addresses).withColumn("__found", F.lit(True))
     missed = F.col("__found").isNull() & F.col(address).isNotNull()
@@ -37,9 +40,9 @@ def geocode_join(df: DataFrame, addresses: DataFrame, address: str = "adresse_do
     )
 
 
-# Nearest node. Points and nodes lie on the unit sphere, in cubes of side 2**-level. A search
-# goes from coarse to fine cubes: a point keeps the cubes that lie no farther than a node it has seen (each
-# cube shows one of its nodes), and looks only into those. No point meets all nodes of a cell,
+# Nearest node. Points and nodes lie on the unit sphere, in cubes of side 2**-level. A search goes
+# from coarse to fine cubes: a point keeps the cubes that lie no farther than a node it has seen
+# (each cube shows one of its nodes), and looks only into those. No point meets all nodes of a cell,
 # however many a cell holds, and the answer is exact.
 
 MAX_LEVEL = 20  # cubes of 6 m; three indices of 21 bits fit in one number
@@ -76,7 +79,8 @@ def _corner(cube: Column, level: int) -> list[Column]:
     """Low corner of a cube, as ``low_x, low_y, low_z``."""
     bits = MAX_LEVEL + 1
     mask = F.lit(2**bits - 1).cast("bigint")
-    indices = [F.call_function("shiftright", cube, F.lit(s)).bitwiseAND(mask) for s in (2 * bits, bits, 0)]
+    shifts = (2 * bits, bits, 0)
+    indices = [F.call_function("shiftright", cube, F.lit(s)).bitwiseAND(mask) for s in shifts]
     return [
         (i * F.lit(2.0**-level) - F.lit(1.0)).alias(f"low_{a}")
         for i, a in zip(indices, AXES, strict=True)
@@ -103,29 +107,45 @@ def _chord(node: Column) -> Column:
     return parts[0] + parts[1] + parts[2]
 
 
-def _levels(spots: DataFrame, group: str) -> list[tuple[int, int]]:
-    """``(level, cubes)`` per search step: each has about ``FAN_OUT`` times the cubes of the last.
-
-    One grouping of the nodes over all levels; a row per level comes back. The last step is the
-    first level whose fullest cube has few nodes.
-    """
+def _counted(spots: DataFrame, group: str, levels: list[int]) -> dict[int, tuple[int, int]]:
+    """Per level the number of cubes, and the nodes of the fullest one."""
     cubes = (
-        spots.select(group, "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))).alias("level"))
+        spots.select(group, *AXES, F.explode(F.array(*map(F.lit, levels))).alias("level"))
         .groupBy("level", group, _cube(F.col("level")).alias("cube"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sizes = cubes.groupBy("level").agg(F.count(F.lit(1)).alias("cubes"), F.max("n").alias("fullest"))
-    found = {r["level"]: r for r in sizes.collect()}
-    if not found:
-        return [(0, 0)]
-    leaf = min((i for i, r in found.items() if r["fullest"] <= LEAF_NODES), default=MAX_LEVEL)
-    steps = [(0, found[0]["cubes"])]
-    for level in range(1, leaf):
-        if found[level + 1]["cubes"] > FAN_OUT * steps[-1][1]:
-            steps.append((level, found[level]["cubes"]))
-    if leaf > 0:
-        steps.append((leaf, found[leaf]["cubes"]))
-    return steps
+    sizes = cubes.groupBy("level").agg(
+        F.count(F.lit(1)).alias("cubes"), F.max("n").alias("fullest")
+    )
+    return {r["level"]: (r["cubes"], r["fullest"]) for r in sizes.collect()}
+
+
+def _levels(spots: DataFrame, group: str) -> list[tuple[int, int]]:
+    """``(level, cubes)`` per search step: each has about ``FAN_OUT`` times the cubes of the last.
+
+    Sketches of every second level, from one pass without a shuffle, propose the steps; only
+    those are counted. The last step is refined until its fullest cube has few nodes.
+    """
+    every = range(0, MAX_LEVEL + 1, 2)
+    sketches = spots.agg(
+        F.count(F.lit(1)).alias("nodes"),
+        *(
+            F.approx_count_distinct(F.xxhash64(F.col(group), _cube(F.lit(i)))).alias(f"c{i}")
+            for i in every
+        ),
+    ).first()
+    about = {i: sketches[f"c{i}"] for i in every}
+    leaf = next((i for i in every if about[i] * 4 >= sketches["nodes"]), MAX_LEVEL)
+    steps = [0]
+    for level in range(2, leaf, 2):
+        if about[level + 2] > FAN_OUT * about[steps[-1]]:
+            steps.append(level)
+    counted = _counted(spots, group, [*steps, leaf])
+    while leaf < MAX_LEVEL and counted.get(leaf, (0, 0))[1] > LEAF_NODES:
+        steps.append(leaf)
+        leaf += 2
+        counted |= _counted(spots, group, [leaf])
+    return [(i, counted.get(i, (0, 0))[0]) for i in dict.fromkeys([*steps, leaf])]
 
 
 def _sized(cubes: DataFrame, count: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kadence.workspace import work_dir
@@ -120,8 +120,10 @@ def distances_to(
         if max_rounds is not None and done >= max_rounds:
             raise RuntimeError(f"labels still improve after {done} rounds")
         done += 1
-        improved.write.parquet(f"{folder}/labels/round={done}")
-        if labels().filter(F.col("round") == done).isEmpty():
+        seen = Observation()
+        counted = improved.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.parquet(f"{folder}/labels/round={done}")
+        if seen.get["rows"] == 0:
             break
     incoming.unpersist()
     return (

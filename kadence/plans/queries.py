@@ -22,6 +22,7 @@ from kadence.operators import registry as R
 from kadence.plans import commute as W
 from kadence.plans.views import IMAGE, Views, as_topic, with_views
 from kadence.rules import Rules, Site
+from kadence.schemas import ACTIVITY_IMAGE
 from kadence.session import pin_utc
 from kadence.sources.streams import FileTopic, read_change_stream
 from kadence.streaming import facts, state
@@ -170,7 +171,7 @@ def sql_list(values: list[str]) -> str:
     return "[" + ", ".join(sql_text(x) for x in values) + "]"
 
 
-SITE_SQL = f"{SITE.lat}e0, {SITE.lon}e0"
+SITE_POINT = (f"{SITE.lat}e0", f"{SITE.lon}e0")
 
 SHARED = {
     # Changes that count, with eligibility on both sides.
@@ -230,7 +231,8 @@ SHARED = {
         left join fx_employee as e on e.id_salarie = d.id_salarie""",
     # Roads walked back from the node nearest to the site, per network.
     "sh_target": f"""
-        select network, arg_min(node_id, struct_pack(d := {sql_haversine("lat", "lon", f"{SITE.lat}e0", f"{SITE.lon}e0")}, n := node_id)) as node_id
+        select network, arg_min(node_id, struct_pack(
+            d := {sql_haversine("lat", "lon", *SITE_POINT)}, n := node_id)) as node_id
         from fx_node group by 1""",
     "sh_roads": """
         select network, u, v, min(length) as length from fx_edge group by 1, 2, 3""",
@@ -369,8 +371,6 @@ def _(v):
     where not (sport_type = 'Natation' and k < 50)""",
 )
 def _(v):
-    from kadence.schemas import ACTIVITY_IMAGE
-
     facts_only = C.route_fact_inserts(C.unwrap_envelope(as_topic(v.fx_fact_topic), ACTIVITY_IMAGE))
     return facts_only.select("after.*").select(
         "id_evenement_sport", "salarie_id", "sport_type", "distance_m"
@@ -864,7 +864,7 @@ def _(v):
 @query(
     "linear_distance",
     f"""select score, round(case when lat is not null then
-        {sql_haversine("lat", "lon", f"{SITE.lat}e0", f"{SITE.lon}e0")} end, 3) as metres
+        {sql_haversine("lat", "lon", *SITE_POINT)} end, 3) as metres
     from fx_address""",
 )
 def _(v):

@@ -72,6 +72,7 @@ def run_state_stream(
     gate: bool = False,
     incomes: DataFrame | None = None,
     as_of_year: int | None = None,
+    refresh_every: int = 1,
     dedupe_on: tuple[str, str] | None = None,
     trigger: dict | None = None,
     name: str = "state_changes",
@@ -81,8 +82,8 @@ def run_state_stream(
     ``at`` is the time of a change, by default the time of its batch. ``evaluate`` adds
     ``distance_m, reason`` to images. ``lake_fields=None`` keeps full images in bronze. With
     ``gate`` rows that fail their suite stay out of the log, by default they are only reported.
-    With ``incomes`` the bonus product is refreshed after each batch, for ``as_of_year`` or the
-    current year.
+    With ``incomes`` the bonus product is refreshed every ``refresh_every`` batches, for
+    ``as_of_year`` or the current year.
     ``dedupe_on`` (time column, span) drops messages that come again in a later batch.
     """
 
@@ -107,7 +108,7 @@ def run_state_stream(
             decoded.unpersist()
             if judged is not None:
                 judged.unpersist()
-        if incomes is not None:
+        if incomes is not None and writer.epoch_id % refresh_every == 0:
             year = as_of_year or datetime.now(UTC).year
             _refresh_bonus(batch, root, writer.epoch_id, incomes, rules, year)
 
@@ -138,10 +139,9 @@ def _write_layers(
     incoherences = keyed.filter(F.col("reason").isNotNull()).select(
         "id_salarie", F.col("reason").alias("raison_incoherence"), F.col("ts").alias("timestamp")
     )
+    event = F.when(F.col("route") == "created", F.lit("insert")).otherwise(F.lit("delete"))
     registry = keyed.filter(F.col("route").isin("created", "deleted")).select(
-        "id_salarie",
-        F.when(F.col("route") == "created", F.lit("insert")).otherwise(F.lit("delete")).alias("event"),
-        F.col("ts").alias("at"),
+        "id_salarie", event.alias("event"), F.col("ts").alias("at")
     )
     suites = shipped_suites()
     opened = log.filter(F.col("kind") == "open").select(
