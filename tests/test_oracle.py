@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from kadence.plans.queries import ORACLES, QUERIES
 
 TYPES = {
     "bigint": "BIGINT",
@@ -29,15 +30,15 @@ def duck(sf_dir):
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_agrees(spark, duck, sf_dir, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     names = sorted(df.columns)
     mine = sorted(repr(tuple(r[n] for n in names)) for r in df.collect())
-    result = duck.execute(oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     theirs_types = {d[0]: str(d[1]) for d in result.description}
     order = [d[0] for d in result.description]
     theirs = sorted(repr(tuple(r[order.index(n)] for n in names)) for r in result.fetchall())
