@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_duplicates
 from .language import identify, learn_profiles
 from .mixing import mix_to_targets
+from .ngram_join import jaccard_groups
 from .packing import pack_documents
 from .substring_dedup import drop_repeated_passages
 from .suffix_dedup import drop_earlier_copies
@@ -54,6 +55,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language": op7_language,
+    "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }

@@ -83,17 +83,21 @@ def _numbers(rule: Rule, of: Stretches, order: np.ndarray, starts: np.ndarray) -
     return np.diff(np.append(starts, len(order)))
 
 
-def repeated_windows(
-    docs: DataFrame, rule: Rule, schema: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """``rule.finish`` over all documents; a null text counts as empty, a null id as the last one."""
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (block, id, text as bytes) and the number of blocks, which follows the size of the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    blocks = docs.select(
-        F.pmod(F.xxhash64(ids, F.octet_length(text)), F.lit(n)).cast("long").alias("block"), ids.alias("id"), text.cast("binary").alias("text")
-    )
+    block = F.pmod(F.xxhash64(ids, F.octet_length(text)), F.lit(n)).cast("long")
+    return docs.select(block.alias("block"), ids.alias("id"), text.cast("binary").alias("text")), n
+
+
+def repeated_windows(
+    docs: DataFrame, rule: Rule, schema: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``rule.finish`` over all documents; a null text counts as empty, a null id as the last one."""
+    blocks, n = text_blocks(docs, id_col, text_col, block_bytes)
 
     def load(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
         return pdf["id"].to_numpy(np.int64), pdf["text"].tolist()
