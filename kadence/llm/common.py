@@ -58,7 +58,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_rank(df: DataFrame, keys: list[str], order: str, rows_per_task: int = 4096) -> DataFrame:
+def with_rank(df: DataFrame, keys: list[str], order: str, rows_per_task: int = 512) -> DataFrame:
     """Add ``rank``: 0, 1, ... within equal ``keys``; hot keys are numbered in many tasks.
 
     A key is cut into cells of about ``rows_per_task`` rows by a hash of ``order``. Cells are

@@ -42,8 +42,9 @@ def exact_duplicates(
 
     lengths = docs.select(size).groupBy("size").agg(F.count("*").alias("n"))
     lengths = lengths.where("n > 1").select("size")
-    heads = docs.select(size, head).join(lengths, "size", "left_semi")
-    heads = heads.groupBy("size", "head").agg(F.count("*").alias("n"))
+    # Counted before lengths are looked up, so a hot group is one row by then.
+    heads = docs.select(size, head).groupBy("size", "head").agg(F.count("*").alias("n"))
+    heads = heads.join(lengths, "size", "left_semi")
     heads = heads.where("n > 1").select("size", "head", F.lit(True).alias("shared"))
 
     if digests == "surviving" and heads.count() <= MAX_KEYS:
