@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +12,32 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, stored in the folder of ``spark.checkpoint.dir`` that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return chosen.get() if chosen.isDefined() else tempfile.mkdtemp(prefix="kadence-")
 
-    Only a local session without that setting gets a folder of its own.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, checkpointed in the shared folder; Spark drops them when they are not needed."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            root = tempfile.mkdtemp(prefix="kadence-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, as a table written in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class Memo(dict):
     """Answers for recent keys, in two generations of at most ``size``; the older one is dropped."""
 

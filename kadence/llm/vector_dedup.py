@@ -52,6 +52,28 @@ class SmallWorld:
             size = min(256, max(32, done // 4))
             self._insert(order[done : done + size], beam)
             done += size
+        self._reach_all()
+
+    def _reach_all(self) -> None:
+        """Pruning may leave a node that no other leads to: its nearest node with room gets a link."""
+        n = len(self.vectors)
+        links = self.links[0] = np.concatenate((self.links[0], np.full((n, 8), -1, np.int32)), axis=1)
+        reached, wave = np.zeros(n, bool), np.array([self.entry])
+        while True:
+            while len(wave):
+                reached[wave] = True
+                wave = np.unique(links[wave])
+                wave = wave[(wave >= 0) & ~reached[wave]]
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                return
+            room = np.flatnonzero(reached & (links[:, -1] < 0))
+            if not len(room):
+                links = self.links[0] = np.concatenate((links, np.full((n, 8), -1, np.int32)), axis=1)
+                continue
+            node = room[np.argmax(self.vectors[room] @ self.vectors[lost[0]])]
+            links[node, np.flatnonzero(links[node] < 0)[0]] = lost[0]
+            wave = lost[:1]
 
     def beam(self, layer: int, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Best ``width`` nodes for each query (-1 where there are fewer), falling by cosine."""
