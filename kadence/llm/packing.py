@@ -22,7 +22,7 @@ SMALL = 1 / 8
 #: Groups of equal cardinality among the large pieces.
 GROUPS = 192
 #: Pieces that a Python worker remembers, twice over.
-_KEPT = 250_000
+_KEPT = 500_000
 
 
 class Encoder:
@@ -40,49 +40,48 @@ class Encoder:
         self.library.no_padding()
         self.known = Memo(_KEPT)
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[str, list[str]]:
+        """What stands before the first cut, and the pieces behind it without their space."""
         first, *rest = text.split(" ")
         if "" not in rest and not any(map(str.isspace, {p[0] for p in rest})):
-            return [first, *[" " + p for p in rest]]
+            return first, rest
         out = [first]
         for p in rest:
             if p and not p[0].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:  # more white space: the space belongs to what stands before it
                 out[-1] += " " + p
-        return out
+        return out[0], out[1:]
 
-    def answers(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        # What starts a text may start otherwise than with a space.
-        alone = [p for p in pieces if not p.startswith(" ") or p.startswith("  ") or p[1:2].isspace()]
-        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, "<u4").tobytes()
-        joined = [p for p in pieces if p not in out]
-        for i in range(0, len(joined), 2048):
-            some = joined[i : i + 2048]
-            found = self.library.encode("".join(some), add_special_tokens=False)
+    def answers(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of pieces behind a space."""
+        for i in range(0, len(pieces), 2048):
+            some = pieces[i : i + 2048]
+            found = self.library.encode(" " + " ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            ends = np.cumsum([len(p) for p in some])
+            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum([len(p) + 1 for p in some])
             edges = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
             for p, a, b in zip(some, edges, edges[1:], strict=False):
-                out[p] = ids[a:b]
-        return out
+                yield p, ids[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
+        heads = self.library.encode_batch_fast([h for h, _ in cut], add_special_tokens=False)
         here, new = {}, []
-        for p in {p for pieces in cut for p in pieces}:
+        for p in set().union(*(rest for _, rest in cut)):
             try:
                 here[p] = self.known[p]
             except KeyError:
                 new.append(p)
-        for p, ids in self.answers(new).items():
+        for p, ids in self.answers(new):
             here[p] = ids
             if len(p) <= 64:
                 self.known.put(p, ids)
-        return [b"".join([here[p] for p in pieces]) for pieces in cut]
+        return [
+            np.array(head.ids, "<u4").tobytes() + b"".join([here[p] for p in rest])
+            for head, (_, rest) in zip(heads, cut, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -113,8 +112,8 @@ def token_pieces(
         library = encoder(tokenizer or default_path("byte_bpe_50k.json"))
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
                 texts = [t or "" for t in part["text"]]
                 for doc, ids in zip(part["id"].tolist(), library.encode(texts), strict=True):
                     ids = memoryview(ids + end)
