@@ -6,11 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kadence.workspace import work_dir
+from kadence.workspace import checkpointed, remove, work_dir
 
 HOPS = 2
 PIECES = 32
 HUB_EDGES = 100_000
+COMPACT_EVERY = 8
 
 
 def _reversed_edges(edges: DataFrame) -> DataFrame:
@@ -64,14 +65,20 @@ def distances_to(
 
     All nodes are solved at once by walking back from the target. A round relaxes ``hops``
     edges from the labels that last improved, and appends the improved labels to a table in the
-    shared folder; the best label of a node is its minimum over the rounds. The table cuts the
-    lineage and survives lost executors. The loop ends with the first round without rows, or
-    raises after ``max_rounds``: a partial answer is never returned.
+    shared folder. Every ``COMPACT_EVERY`` rounds the best label of each node is written anew and
+    the rounds before are deleted, so a round reads one label per node and the few rounds since.
+    The table cuts the lineage and survives lost executors. The loop ends with the first round
+    without rows, or raises after ``max_rounds``: a partial answer is never returned. A negative
+    length, which could shorten a way without end, raises too.
     """
     spark = edges.sparkSession
     folder = work_dir(spark, "roads")
     _reversed_edges(edges).write.parquet(f"{folder}/edges")
     stored_edges = spark.read.parquet(f"{folder}/edges")
+    shortest = stored_edges.agg(F.min("length")).first()[0]
+    if shortest is not None and shortest < 0:
+        remove(spark, folder)
+        raise ValueError(f"a road has the negative length {shortest}")
     hubs = _hubs(stored_edges, hub_edges)
     if hubs.isEmpty():
         hubs = None
@@ -96,21 +103,25 @@ def distances_to(
     schema = "network string, node bigint, dist double, round int"
 
     def labels() -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{folder}/labels")
+        kept = [f"{folder}/labels/round={r}" for r in range(compacted, done + 1)]
+        return spark.read.schema(schema).option("basePath", f"{folder}/labels").parquet(*kept)
+
+    def shortest_labels() -> DataFrame:
+        return labels().groupBy("network", "node").agg(F.min("dist").alias("dist"))
 
     start = targets.select(
         "network", F.col("node_id").alias("node"), F.lit(0.0).alias("dist")
     ).distinct()
     start.write.parquet(f"{folder}/labels/round=0")
 
-    done = 0
+    done = compacted = 0
     while True:
         stored = labels()
         reached = frontier = stored.filter(F.col("round") == done).drop("round")
         for _ in range(hops):
             frontier = relax(frontier)
             reached = reached.unionByName(frontier)
-        best = stored.groupBy("network", "node").agg(F.min("dist").alias("known"))
+        best = shortest_labels().withColumnRenamed("dist", "known")
         fresh = reached.groupBy("network", "node").agg(F.min("dist").alias("dist"))
         improved = (
             fresh.join(best, ["network", "node"], "left")
@@ -125,9 +136,20 @@ def distances_to(
         counted.write.parquet(f"{folder}/labels/round={done}")
         if seen.get["rows"] == 0:
             break
-    incoming.unpersist()
-    return (
-        labels()
-        .groupBy("network", F.col("node").alias("node_id"))
-        .agg(F.min("dist").alias("road_m"))
+        if done - compacted >= COMPACT_EVERY:
+            # The last round stays apart: it is the next frontier.
+            older = [f"{folder}/labels/round={r}" for r in range(compacted, done)]
+            merged = spark.read.schema(schema).option("basePath", f"{folder}/labels")
+            best = merged.parquet(*older).groupBy("network", "node").agg(F.min("dist").alias("dist"))
+            best.write.parquet(f"{folder}/best")
+            remove(spark, older[-1])
+            spark.read.parquet(f"{folder}/best").write.parquet(older[-1])
+            for path in [*older[:-1], f"{folder}/best"]:
+                remove(spark, path)
+            compacted = done - 1
+    found = checkpointed(
+        shortest_labels().select("network", F.col("node").alias("node_id"), F.col("dist").alias("road_m"))
     )
+    incoming.unpersist()
+    remove(spark, folder)
+    return found

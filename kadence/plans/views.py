@@ -76,6 +76,27 @@ def _image(side: str) -> str:
         else 'null' end"""
 
 
+def _fact(op: str, before: str, after: str, shift: int = 0) -> str:
+    """JSON of an activity change; the sides are the end time in microseconds, or ``null``."""
+
+    def side(fin: str) -> str:
+        if fin == "null":
+            return "'null'"
+        return f"""'{{{{"id_evenement_sport":' || cast(id_evenement_sport + {shift} as string)
+            || ',"salarie_id":' || cast(salarie_id as string)
+            || ',"date_debut_activite":' || cast({fin} - 60000000 as string)
+            || ',"date_fin_activite":' || cast({fin} as string)
+            || ',"sport_type":"' || sport_type
+            || '","distance_m":' || cast(distance_m as string) || ',"commentaire":null}}}}'"""
+
+    return f"""'{{{{"payload":{{{{"op":"{op}","before":' || {side(before)}
+            || ',"after":' || {side(after)} || '}}}}}}}}'"""
+
+
+def _with_end(d: Dialect) -> str:
+    return f"""(select *, {d.micros("date_fin_activite")} as fin_us from {{fx_activity}}) as f"""
+
+
 def view_sql(d: Dialect) -> dict[str, str]:
     """View definitions in order of use; ``{name}`` stands for a table or an earlier view."""
     return {
@@ -120,19 +141,23 @@ def view_sql(d: Dialect) -> dict[str, str]:
                     {_place("p_partkey", 20011, "43.57e0", "0.5e0")} as lat,
                     {_place("p_partkey", 6007, "3.9e0", "0.6e0")} as lon
                 from {{part}}) as places""",
-        # Roads run between the places of a line: out and back have their own lengths, and
-        # some roads are one-way.
+        # Every line is two roads between its places, each with its own length: one out, one back.
+        # With flag N the second runs out as well, so the road is one-way. From every fiftieth
+        # part all roads lead away from the network: it has a place but no path.
         "fx_edge": """
-            select network, u, v, length from (
+            select network, case when inward then part else supp end as u,
+                case when inward then supp else part end as v, length
+            from (
                 select case when l_linestatus = 'O' then 'walk' else 'drive' end as network,
-                    2 * l_suppkey as u, 2 * l_partkey + 1 as v,
+                    2 * l_suppkey as supp, 2 * l_partkey + 1 as part, false as inward,
                     1500 + l_quantity * 60 + l_extendedprice / 1e6 as length
-                from {lineitem} where l_quantity > 30 and l_returnflag <> 'A'
+                from {lineitem}
                 union all
                 select case when l_linestatus = 'O' then 'walk' else 'drive' end as network,
-                    2 * l_partkey + 1 as u, 2 * l_suppkey as v,
+                    2 * l_suppkey as supp, 2 * l_partkey + 1 as part,
+                    l_returnflag <> 'N' and l_partkey % 50 <> 0 as inward,
                     1000 + l_quantity * 50 + l_extendedprice / 1e6 as length
-                from {lineitem} where l_quantity > 40 and l_returnflag <> 'N') as roads""",
+                from {lineitem}) as roads""",
         "fx_activity": f"""
             select event_id as id_evenement_sport, user_id as salarie_id,
                 {d.instant(f"{d.micros('ts')} - k * 60000000")} as date_debut_activite,
@@ -200,6 +225,32 @@ def view_sql(d: Dialect) -> dict[str, str]:
                 'facts' as topic, cast(salarie_id % 16 as int) as part_no,
                 id_evenement_sport as pos
             from (select *, {d.micros("date_fin_activite")} as fin_us from {{fx_activity}}) as f""",
+        # The same activities, delivered in four lots: as they are, some moved to another year,
+        # these moved back and others that are deleted again, and everything odd once more.
+        "fx_fact_lot": f"""
+            select 0 as lot, value, topic, part_no, pos from {{fx_fact_topic}}
+            union all
+            select 1 as lot, {_fact("u", "null", "fin_us + 31622400000000")} as value,
+                'facts' as topic, cast(salarie_id % 16 as int) as part_no,
+                id_evenement_sport + 100000000000 as pos from {_with_end(d)} where k < 20
+            union all
+            select 1 as lot, {_fact("c", "null", "fin_us", 100000000000)} as value,
+                'facts' as topic, cast(salarie_id % 16 as int) as part_no,
+                id_evenement_sport + 200000000000 as pos from {_with_end(d)} where k >= 80
+            union all
+            select 2 as lot, {_fact("u", "fin_us + 31622400000000", "fin_us")} as value,
+                'facts' as topic, cast(salarie_id % 16 as int) as part_no,
+                id_evenement_sport + 300000000000 as pos from {_with_end(d)} where k < 20
+            union all
+            select 2 as lot, {_fact("d", "fin_us", "null", 100000000000)} as value,
+                'facts' as topic, cast(salarie_id % 16 as int) as part_no,
+                id_evenement_sport + 400000000000 as pos from {_with_end(d)} where k >= 80
+            union all
+            select 3 as lot, value, topic, part_no, pos from {{fx_fact_topic}}
+            union all
+            select 3 as lot, {_fact("c", "null", "fin_us", 100000000000)} as value,
+                'facts' as topic, cast(salarie_id % 16 as int) as part_no,
+                id_evenement_sport + 200000000000 as pos from {_with_end(d)} where k >= 80""",
     }
 
 

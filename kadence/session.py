@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,6 +27,10 @@ def local_session(cores: str = "8", app: str = "kadence", **extra: str) -> Spark
         # The default of 1 MB leaves test tables in a single task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
+    if "spark.checkpoint.dir" not in extra:
+        # One machine: its temporary folder is shared by all there is.
+        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="kadence-")
+    extra.setdefault("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for name, value in {**SETTINGS, **extra}.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()

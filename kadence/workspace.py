@@ -1,22 +1,46 @@
-"""Where jobs keep written tables that cut lineage."""
+"""Where jobs keep what cuts lineage: the folder of ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
     Executors come and go, so intermediate tables must live where every one of them can read.
-    Only a local session without that setting falls back to a temporary folder.
+    ``session.local_session`` sets it; on a cluster the submitter does. A local session without it
+    gets a folder of its own, as driver and executors are one machine there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="kadence-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kadence-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``work_dir`` named and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once; Spark drops the files when nothing refers to them."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()

@@ -1,5 +1,6 @@
 import heapq
 import random
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -51,6 +52,25 @@ def test_a_bounded_search_never_returns_part_of_the_answer(spark):
         distances_to(roads, targets, hops=1, max_rounds=3)
 
 
+def test_a_negative_length_is_refused(spark):
+    roads = spark.createDataFrame([("walk", 1, 2, -1.0)], "network string, u int, v int, length double")
+    targets = spark.createDataFrame([("walk", 2)], "network string, node_id int")
+    with pytest.raises(ValueError):
+        distances_to(roads, targets)
+
+
+def test_long_ways_are_compacted_and_cleared(spark):
+    n = 40
+    roads = spark.createDataFrame(
+        [("walk", i, i + 1, 1.0) for i in range(n)], "network string, u int, v int, length double"
+    )
+    targets = spark.createDataFrame([("walk", n)], "network string, node_id int")
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("roads-*"))
+    got = distances_to(roads, targets, hops=1)
+    assert rows(got, "node_id", "road_m") == [(i, float(n - i)) for i in sorted(range(n + 1), key=lambda i: repr((i, float(n - i))))]
+    assert set(Path(spark.conf.get("spark.checkpoint.dir")).glob("roads-*")) == before
+
+
 def brute(points, nodes):
     there = nodes.select("network", "node_id", F.col("lat").alias("a"), F.col("lon").alias("b"))
     d = haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))

@@ -146,6 +146,10 @@ def test_comment_suffix(spark):
         ((0.0, 0.0, 0.0, 1.0), 111319.491),  # a degree on the equator
         ((0.0, 0.0, 1.0, 0.0), 110574.389),  # a degree on a meridian
         ((43.57, 3.9, 43.57, 3.9), 0.0),
+        ((0.0, 0.0, 0.5, 179.5), 19936288.579),  # nearly antipodal
+        ((0.0, 0.0, 0.5, 179.7), 19944127.421),
+        ((0.0, 0.0, 0.0, 180.0), 20003931.459),  # over a pole
+        ((0.0, -170.0, 0.0, 170.0), 2226389.816),  # over the date line
     ],
 )
 def test_geodesic(spark, points, metres):
