@@ -7,6 +7,8 @@ batch only appends, never reads or rewrites what is stored, and a replay changes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,11 @@ def state_log(
     routed: DataFrame,
     *,
     initial_valid_from: Column | None = None,
+    order: Sequence[str] = ("seq",),
 ) -> DataFrame:
-    """Log rows from routed changes with ``id_salarie, route, elig_before, elig_after, ts, seq``.
+    """Log rows from routed changes with ``id_salarie, route, elig_before, elig_after, ts``.
 
-    A creation opens, a deletion closes, an update counts only if eligibility flips. Creations
+    ``order`` names the columns that order the changes of a key; the log keeps them. A creation opens, a deletion closes, an update counts only if eligibility flips. Creations
     start at ``initial_valid_from``, or at their own time if that is None.
     """
     start = F.col("ts")
@@ -40,7 +43,7 @@ def state_log(
         F.when(F.col("route") != "deleted", F.col("elig_after")).alias("est_eligible_prime_annuel"),
         start.alias("valid_from"),
         F.when(F.col("route") == "deleted", F.lit("close")).otherwise(F.lit("open")).alias("kind"),
-        "seq",
+        *order,
     )
 
 
@@ -48,6 +51,7 @@ def scd2_intervals(
     log: DataFrame,
     *,
     clamp: bool = False,
+    order: Sequence[str] = ("seq",),
     sizes: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
@@ -55,14 +59,16 @@ def scd2_intervals(
     """Intervals of a state log: an opening lasts until the next row of its key.
 
     ``clamp`` moves a start that lies before the end of the previous interval to that end.
-    ``seq`` is unique per key and orders it; times are taken as given. ``sizes`` is an optional
-    cheaper frame with ``id_salarie, seq`` of at least the log's rows, to look for hot keys in.
+    ``order`` is unique per key and orders it, its first column being a whole number; times are
+    taken as given. ``sizes`` is an optional cheaper frame with ``id_salarie`` and that column of
+    at least the log's rows, to look for hot keys in.
     """
     rows = with_neighbours(
         log,
         ["id_salarie"],
-        "seq",
+        order[0],
         ["valid_from"],
+        then=order[1:],
         following="next_row",
         preceding="prev_row" if clamp else None,
         sizes=sizes,

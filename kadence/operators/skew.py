@@ -8,101 +8,90 @@ below that size stay in one piece; without larger ones the plan is a plain windo
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from kadence.workspace import checkpointed
 
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
-MAX_HOT_KEYS = 1_000
-MAX_CHUNKS = 20_000
-CELLS = 256
+# A table of cuts or chunk ends is sent to all tasks up to this many rows; a larger one is joined.
+SMALL = 10_000
+# Bounds are searched in two steps: every so many, then those between.
+STRIDE = 64
 
 CHUNK = "__chunk"
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], position: str, min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and more than a thousandth of the table.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``min_rows`` rows, and their number.
 
-    With their number of rows, that of the table, and the range of their position. The second
-    condition bounds the result: fewer than ``MAX_HOT_KEYS`` keys can pass it, however large
-    the table is. Counts are combined before the shuffle, and only these columns are read.
+    Counts are combined before the shuffle, and only the keys are read.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.min(position).alias("__low"),
-        F.max(position).alias("__high"),
-    )
-    floor = F.greatest(F.lit(min_rows).cast("double"), total / F.lit(MAX_HOT_KEYS))
-    return counts.filter(F.col("__rows") > floor).withColumn("__total", total)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.filter(F.col("__rows") > min_rows)
 
 
-def _cell() -> Column:
-    """Place of a row in the range of its key, from 0 to ``CELLS``."""
-    offset = (F.col("__position") - F.col("__low")).cast("double")
-    return offset / (F.col("__high") - F.col("__low") + F.lit(1)) * F.lit(float(CELLS))
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def chunk_cuts(
     df: DataFrame, keys: Sequence[str], position: str, min_rows: int, chunk_rows: int
-) -> DataFrame | None:
-    """Per hot key: how its range is cut into chunks of even size. None if no key is hot.
+) -> tuple[DataFrame, int] | None:
+    """Per hot key the positions where it is cut, by rank: chunks are even however positions lie.
 
-    The range is counted in ``CELLS`` cells; each becomes as many chunks as its rows need.
-    Fewer than ``MAX_HOT_KEYS`` keys and ``CELLS`` counts per key come back to the driver.
+    Quantiles are sketched per hot key, with an error of a tenth of a chunk. Only the number of
+    hot keys and the size of the largest come to the driver. None if no key is hot.
     """
-    spark = df.sparkSession
     narrow = df.select(*keys, F.col(position).cast("bigint").alias("__position"))
-    found = hot_keys(narrow, keys, "__position", min_rows)
-    hot = found.collect()
-    if not hot:
+    found = checkpointed(hot_keys(narrow, keys, min_rows))
+    seen = found.agg(F.count(F.lit(1)).alias("n"), F.max("__rows").alias("most")).first()
+    if not seen["n"]:
         return None
-    size = max(chunk_rows, hot[0]["__total"] // MAX_CHUNKS)
-    ranges = spark.createDataFrame(hot, found.schema).select(*keys, "__low", "__high")
-    cells = (
-        narrow.join(F.broadcast(ranges), list(keys))
-        .groupBy(*keys, F.floor(_cell()).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    pieces = max(2, -(-seen["most"] // chunk_rows))
+    shares = [i / pieces for i in range(1, pieces)]
+    mine = narrow.join(_sent(found, seen["n"]), list(keys))
+    # A smaller hot key uses every so many of the quantiles only.
+    step = F.greatest(F.floor(F.lit(chunk_rows * pieces) / F.col("__rows")), F.lit(1))
+    bounds = F.array_distinct(
+        F.filter("__all", lambda _, i: (i + F.lit(1)) % F.col("__step") == F.lit(0))
+    )
+    cuts = (
+        mine.groupBy(*keys)
+        .agg(
+            F.percentile_approx("__position", shares, 10 * pieces).alias("__all"),
+            F.max(step).alias("__step"),
+        )
+        .select(*keys, bounds.alias("__bounds"))
+        .withColumn(
+            "__coarse",
+            F.filter("__bounds", lambda _, i: (i + F.lit(1)) % F.lit(STRIDE) == F.lit(0)),
+        )
     )
-    cuts = defaultdict(lambda: [1] * CELLS)
-    for row in cells.collect():
-        cuts[tuple(row[k] for k in keys)][row["cell"]] = -(-row["n"] // size)
-    rows = []
-    for row in hot:
-        key = tuple(row[k] for k in keys)
-        first = [1]
-        for pieces in cuts[key][:-1]:
-            first.append(first[-1] + pieces)
-        rows.append((*key, row["__low"], row["__high"], first, cuts[key]))
-    numbers = T.ArrayType(T.LongType())
-    schema = ranges.schema.add("__first", numbers).add("__cuts", numbers)
-    return spark.createDataFrame(rows, schema)
+    return checkpointed(cuts), seen["n"]
 
 
 def _chunked(
-    df: DataFrame, keys: Sequence[str], position: str, cuts: DataFrame, how: str
+    df: DataFrame, keys: Sequence[str], position: str, cuts: tuple[DataFrame, int], how: str
 ) -> DataFrame:
     """Rows with a chunk number that grows with the position, from 1; 0 for a key in one piece."""
-    cell = F.floor(F.col("__at")).cast("int") + F.lit(1)
-    pieces = F.element_at("__cuts", cell)
-    inner = F.least(
-        F.floor((F.col("__at") - F.floor("__at")) * pieces), pieces - F.lit(1).cast("bigint")
+    here = F.col("__position")
+    whole = F.size(F.filter("__coarse", lambda bound: bound < here)) * F.lit(STRIDE)
+    rest = F.filter(
+        F.slice("__bounds", whole + F.lit(1), F.lit(STRIDE)), lambda bound: bound < here
     )
-    number = F.when(F.col("__low").isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.element_at("__first", cell) + inner
+    number = F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(
+        whole + F.size(rest) + F.lit(1)
     )
+    frame, rows = cuts
     return (
         df.withColumn("__position", F.col(position).cast("bigint"))
-        .join(F.broadcast(cuts), list(keys), how)
-        .withColumn("__at", _cell())
+        .join(_sent(frame, rows), list(keys), how)
         .withColumn(CHUNK, number)
-        .drop("__low", "__high", "__first", "__cuts", "__at")
+        .drop("__bounds", "__coarse")
     )
 
 
@@ -112,6 +101,7 @@ def with_neighbours(
     position: str,
     columns: Sequence[str],
     *,
+    then: Sequence[str] = (),
     following: str | None = None,
     preceding: str | None = None,
     sizes: DataFrame | None = None,
@@ -120,10 +110,13 @@ def with_neighbours(
 ) -> DataFrame:
     """Add the next and / or previous row of the same key as struct columns, null at the ends.
 
-    ``position`` is a whole number, unique per key. ``sizes`` is a cheaper frame with the keys
-    and the position, and at least the rows of ``df``, to find hot keys in.
+    ``position`` is a whole number. With the columns ``then``, which decide where it is equal, it
+    is unique per key. ``sizes`` is a cheaper frame with the keys and the position, and at least
+    the rows of ``df``, to find hot keys in.
     """
     row = F.struct(*columns)
+    order = [position, *then]
+    place = F.struct(F.col("__position"), *then)
 
     def neighbours(window) -> list[Column]:
         found = []
@@ -135,28 +128,27 @@ def with_neighbours(
 
     cuts = chunk_cuts(df if sizes is None else sizes, keys, position, min_rows, chunk_rows)
     if cuts is None:
-        return df.select("*", *neighbours(Window.partitionBy(*keys).orderBy(position)))
+        return df.select("*", *neighbours(Window.partitionBy(*keys).orderBy(*order)))
 
     along = Window.partitionBy(*keys).orderBy(CHUNK)
-    ends = (
-        _chunked(df.select(*keys, position), keys, position, cuts, "inner")
+    ends = checkpointed(
+        _chunked(df.select(*dict.fromkeys([*keys, *order])), keys, position, cuts, "inner")
         .groupBy(*keys, CHUNK)
-        .agg(F.min("__position").alias("__head"), F.max("__position").alias("__tail"))
+        .agg(F.min(place).alias("__head"), F.max(place).alias("__tail"))
         .withColumn("__before", F.lag(CHUNK).over(along))
         .withColumn("__after", F.lead(CHUNK).over(along))
     )
     visits = [F.col(CHUNK)]
     if following:
-        visits.append(F.when(F.col("__position") == F.col("__head"), F.col("__before")))
+        visits.append(F.when(place == F.col("__head"), F.col("__before")))
     if preceding:
-        visits.append(F.when(F.col("__position") == F.col("__tail"), F.col("__after")))
-    # At most MAX_CHUNKS chunks, and CELLS for each of MAX_HOT_KEYS keys.
+        visits.append(F.when(place == F.col("__tail"), F.col("__after")))
     visiting = (
         _chunked(df, keys, position, cuts, "left")
-        .join(F.broadcast(ends), [*keys, CHUNK], "left")
+        .join(_sent(ends, ends.count()), [*keys, CHUNK], "left")
         .select(*df.columns, CHUNK, F.explode(F.array_compact(F.array(*visits))).alias("__visited"))
     )
-    within = Window.partitionBy(*keys, "__visited").orderBy(position)
+    within = Window.partitionBy(*keys, "__visited").orderBy(*order)
     return (
         visiting.select("*", *neighbours(within))
         .filter(F.col("__visited") == F.col(CHUNK))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kadence.operators.history import active_rows, as_of, latest_state, scd2_intervals, state_log
-from kadence.operators.skew import hot_keys, with_neighbours
+from kadence.operators.skew import _chunked, chunk_cuts, hot_keys, with_neighbours
 
 SCHEMA = (
     "id_salarie int, route string, elig_before boolean, elig_after boolean, ts timestamp, "
@@ -122,13 +122,41 @@ def test_chunked_neighbours_equal_a_plain_window(spark, min_rows, chunk_rows):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("shape", ["far", "near", "small"])
+def test_chunks_are_even_however_positions_lie(spark, shape):
+    position = {
+        "far": F.when(F.col("id") == 0, F.lit(10**15)).otherwise(F.col("id")),
+        "near": F.floor(F.col("id") / 50_000) * 10**12 + F.col("id"),
+        "small": F.col("id"),
+    }[shape]
+    # "small": a key just below a thousandth of the table, far above the size of a chunk.
+    rows_ = 200_000
+    key = F.when(F.col("id") < 190, F.lit(0)).otherwise(F.col("id")) if shape == "small" else F.lit(0)
+    df = spark.range(rows_).select(key.alias("k"), position.alias("seq"))
+    size = 50 if shape == "small" else 1_000
+    cuts = chunk_cuts(df, ["k"], "seq", size, size)
+    chunks = _chunked(df, ["k"], "seq", cuts, "inner").groupBy("k", "__chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] <= 2 * size
+    got = with_neighbours(df, ["k"], "seq", ["seq"], following="nx", min_rows=size, chunk_rows=size)
+    hot = 190 if shape == "small" else rows_
+    assert got.filter("k = 0").agg(F.count("nx")).first()[0] == hot - 1
+    assert got.filter("nx.seq <= seq").isEmpty()
+
+
+def test_further_columns_decide_between_equal_positions(spark):
+    df = spark.range(600).select(F.lit(1).alias("k"), F.floor(F.col("id") / 3).alias("seq"), "id")
+    got = with_neighbours(df, ["k"], "seq", ["id"], then=["id"], following="nx", preceding="pv", min_rows=50, chunk_rows=20)
+    assert got.filter("nx.id <> id + 1 or pv.id <> id - 1").isEmpty()
+    assert got.filter("nx is null or pv is null").count() == 2
+
+
 def test_hot_key_is_spread_over_many_tasks(spark):
     """The window of a key with most rows runs in chunks, none with more than a small part."""
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
         F.col("id").alias("seq"),
     )
-    assert rows(hot_keys(df, ["k"], "seq", 100), "k") == [(0,)]
+    assert rows(hot_keys(df, ["k"], 100), "k") == [(0,)]
     got = with_neighbours(
         df, ["k"], "seq", ["seq"], following="nx", min_rows=100, chunk_rows=10
     )
