@@ -57,6 +57,17 @@ def dedupe_redelivered(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["topic", "partition", "offset"])
 
 
+def first_delivery(df: DataFrame, key: str, at: str) -> DataFrame:
+    """Of copies of a message, the one that came first by ``at``, so that a late copy is not news.
+
+    ``key`` is the row's key, which copies share; equal copies combine before the shuffle.
+    """
+    position = [key, "topic", "partition", "offset"]
+    rest = [c for c in df.columns if c not in position]
+    first = F.min_by(F.struct(*rest), F.struct(at, *(c for c in rest if c != at))).alias("__first")
+    return df.groupBy(*position).agg(first).select(*position, "__first.*").select(df.columns)
+
+
 def dedupe_redelivered_stream(df: DataFrame, event_time: str, within: str) -> DataFrame:
     """The same on a stream; positions are remembered for ``within`` (``"1 day"``)."""
     return df.withWatermark(event_time, within).dropDuplicatesWithinWatermark(

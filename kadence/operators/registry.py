@@ -29,11 +29,17 @@ def registry_soft_delete(registry: DataFrame, deletions: DataFrame) -> DataFrame
 def registry_from_log(log: DataFrame) -> DataFrame:
     """Registry from logged ``id_salarie, event ('insert' | 'delete'), at``.
 
-    An id exists from its first insert; a deletion without one adds nothing.
+    An id exists from its first insert; a deletion without one adds nothing, and one that a later
+    insert follows no longer holds.
     """
     inserted = F.when(F.col("event") == "insert", F.col("at"))
     deleted = F.when(F.col("event") == "delete", F.col("at"))
     ids = log.groupBy("id_salarie").agg(
-        F.min(inserted).alias("created_at"), F.max(deleted).alias("deleted_at")
+        F.min(inserted).alias("created_at"),
+        F.max(inserted).alias("__last"),
+        F.max(deleted).alias("__gone"),
+    )
+    holds = F.when(F.col("__gone") >= F.col("__last"), F.col("__gone"))
+    return ids.filter(F.col("created_at").isNotNull()).select(
+        "id_salarie", "created_at", holds.alias("deleted_at")
     )
-    return ids.filter(F.col("created_at").isNotNull())

@@ -14,6 +14,7 @@ from kadence.operators.eligibility import distance_outcome
 from kadence.operators.places import NO_CANDIDATE, address_key, best_candidates, nearest_node
 from kadence.operators.roads import distances_to
 from kadence.rules import Rules, Site
+from kadence.workspace import checkpointed
 
 
 def with_site(df: DataFrame, site: Site) -> DataFrame:
@@ -61,7 +62,8 @@ def address_distances(
         .withColumn("geo_error", F.when(F.col("__found").isNull(), F.lit(NO_CANDIDATE)))
         .drop("__found")
     )
-    measured = with_linear_distance(located, site, method)
+    # Read by the search and by the result.
+    measured = checkpointed(with_linear_distance(located, site, method))
     near = within_limit(measured, rules)
     snapped = nearest_node(near, nodes).select("network", "lat", "lon", "node_id")
     office = site_nodes(nodes, site)
@@ -136,9 +138,10 @@ Evaluate = Callable[[DataFrame], DataFrame]
 def evaluator(known: DataFrame, rules: Rules) -> Evaluate:
     """A function that adds ``distance_m, reason`` from stored address distances.
 
-    Streams use it: distances are computed once for the address table and joined per batch.
-    Addresses outside of ``known`` count as not found.
+    Streams use it: ``known`` is stored once, here, and joined per batch. Addresses outside of it
+    count as not found.
     """
+    known = checkpointed(known)
 
     def evaluate(people: DataFrame) -> DataFrame:
         asked = people.withColumns(
@@ -164,10 +167,10 @@ def evaluated_images(
 ) -> DataFrame:
     """Routed changes with ``elig_before, elig_after, reason``.
 
-    Updates without a change in a watched column are dropped first. Both images of the rest are
+    A change is known by its full position: topic, partition and offset. Updates without a change in a watched column are dropped first. Both images of the rest are
     stacked into one column, so that the evaluation runs once.
     """
-    key = ["partition", "offset"]
+    key = ["topic", "partition", "offset"]
     changes = changes.filter((F.col("route") != "updated") | has_relevant_change())
     sides = F.explode(
         F.array_compact(

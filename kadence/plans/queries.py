@@ -22,11 +22,24 @@ from kadence.operators import registry as R
 from kadence.plans import commute as W
 from kadence.plans.views import IMAGE, Views, as_topic, with_views
 from kadence.rules import Rules, Site
-from kadence.schemas import ACTIVITY_IMAGE
+from kadence.schemas import ACTIVITY, ACTIVITY_IMAGE
 from kadence.session import pin_utc
+from kadence.sinks.tables import (
+    NOTIFICATIONS,
+    append_batch,
+    append_facts,
+    export_copy,
+    notification_table,
+    overwrite_table,
+    read_batches,
+    read_table,
+    versions,
+)
+from kadence.sources.files import read_road_graph, scan_activities, scan_silver
 from kadence.sources.streams import FileTopic, read_change_stream
 from kadence.streaming import facts, state
-from kadence.workspace import work_dir
+from kadence.streaming.batches import COUNTS, BatchWriter
+from kadence.workspace import checkpointed, remove, work_dir
 
 # The given events hold about 67 activities per user and year, so this threshold splits them.
 RULES = Rules(min_activities=66)
@@ -757,21 +770,22 @@ def _(v):
     union all select 'gold_wellbeing', count(*) from sh_wellbeing""",
 )
 def _(v):
+    """Rows per layer, as the writer counts them while it writes."""
+    silver = checkpointed(intervals(v))
     layers = {
         "bronze": C.to_bronze(changes(v), now()),
         "state_log": H.state_log(judged(v)),
-        "silver": intervals(v),
-        "gold_bonus": G.annual_bonus(intervals(v), G.scan_incomes(v.fx_employee), RULES, YEAR),
+        "silver": silver,
+        "gold_bonus": G.annual_bonus(silver, G.scan_incomes(v.fx_employee), RULES, YEAR),
         "gold_wellbeing": G.yearly_activity_eligibility(v.fx_activity, RULES),
     }
-    counted = [
-        df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("n"))
-        for name, df in layers.items()
-    ]
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionByName(more)
-    return out
+    folder = work_dir(v.spark, "layers")
+    writer = BatchWriter(folder, 0)
+    for name, df in layers.items():
+        writer.write(name, df)
+    writer.write_counts(v.fx_change)
+    stored = read_batches(v.spark, f"{folder}/counts", COUNTS)
+    return _finished(v, folder, stored.withColumnRenamed("rows", "n"))
 
 
 # --- identity, messages -------------------------------------------------------------------
@@ -987,7 +1001,9 @@ def _commute_flag(side: str) -> str:
 def _(v):
     """Employee changes to history, with distances from addresses and roads."""
     routed = C.route_state_changes(
-        changes(v).withColumns({"partition": F.lit(0), "offset": F.col("seq")})
+        changes(v).withColumns(
+            {"topic": F.lit("state"), "partition": F.lit(0), "offset": F.col("seq")}
+        )
     )
     wanted = v.fx_address.select(
         P.address_key(F.col("adresse")).alias("address_key"),
@@ -1015,6 +1031,7 @@ NOT_NULL = _check_sql(
     "not_null", "commentaire", "count(*)", "count(*) filter (commentaire is null)"
 )
 OF_TYPE = _check_sql("of_type", "date_fin_activite", "count(*)", "0")
+OF_TYPE_NOT = _check_sql("of_type", "distance_m", "count(*)", "count(*)")
 IN_SET = _check_sql(
     "in_set", "commentaire", "count(commentaire)",
     "count(*) filter (commentaire not in ('', 'Super'))",
@@ -1045,7 +1062,12 @@ def _suite() -> list[Q.Expectation]:
 
 
 query("dq_not_null", NOT_NULL)(_one_check(lambda: Q.not_null("commentaire")))
-query("dq_of_type", OF_TYPE)(_one_check(lambda: Q.of_type("date_fin_activite", "timestamp")))
+query("dq_of_type", f"{OF_TYPE} union all {OF_TYPE_NOT}")(
+    lambda v: Q.validate(
+        v.fx_activity,
+        [Q.of_type("date_fin_activite", "timestamp"), Q.of_type("distance_m", "string")],
+    )
+)
 query("dq_in_set", IN_SET)(_one_check(lambda: Q.in_set("commentaire", ["", "Super"])))
 query("dq_between", BETWEEN)(_one_check(lambda: Q.between("distance_m", 500, 5000)))
 query("dq_null_or_positive", POSITIVE)(_one_check(lambda: Q.null_or_positive("distance_m")))
@@ -1095,43 +1117,189 @@ def _(v):
 
 # --- streams ------------------------------------------------------------------------------
 
-FILES_PER_BATCH = 1_000
+def land(df: DataFrame, folder: str, lot: Column, lots: int) -> FileTopic:
+    """Write messages as a landed topic, one file per lot, for a stream to read lot by lot."""
+    rows = checkpointed(df.withColumn("__lot", lot))
+    for i in range(lots):
+        rows.filter(F.col("__lot") == i).drop("__lot").coalesce(1).write.mode("append").parquet(folder)
+    return FileTopic(folder, rows.drop("__lot").schema)
 
 
-def land(df: DataFrame, folder: str) -> FileTopic:
-    """Write messages as a landed topic, for a stream to read."""
-    df.write.parquet(folder)
-    return FileTopic(folder, df.schema)
+LOTS = 4
 
 
-@query("stream_scd2", "select * from sh_intervals")
-def _(v):
-    spark, folder = v.spark, work_dir(v.spark, "state-stream")
-    topic = land(as_topic(v.fx_topic), f"{folder}/topic")
+def _by_quarters(v: Views) -> Column:
+    """Lots by time: changes of a key spread over them, and copies of a message share one."""
+    spans = v.fx_topic.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b"))
+    low, high = spans.first()
+    share = (F.col("ts").cast("double") - F.lit(low)) / F.lit(high - low or 1.0)
+    return F.least(F.floor(share * LOTS), F.lit(LOTS - 1)).cast("int")
+
 
-    def from_image(people: DataFrame) -> DataFrame:
-        return people.withColumn("reason", F.lit(None).cast("string"))
+def _no_reason(people: DataFrame) -> DataFrame:
+    return people.withColumn("reason", F.lit(None).cast("string"))
 
+
+def _run_state(v: Views, folder: str, **options) -> str:
+    topic = land(as_topic(v.fx_topic), f"{folder}/topic", _by_quarters(v), LOTS)
     state.run_state_stream(
-        read_change_stream(spark, topic, FILES_PER_BATCH),
-        IMAGE, from_image, RULES, f"{folder}/lake", f"{folder}/offsets",
-        at=F.col("ts"), trigger={"availableNow": True},
+        read_change_stream(v.spark, topic, files_per_trigger=1),
+        IMAGE, _no_reason, RULES, f"{folder}/lake", f"{folder}/offsets",
+        at=F.col("ts"), trigger={"availableNow": True}, **options,
     ).awaitTermination()
-    return state.stored_intervals(spark, f"{folder}/lake")
+    return f"{folder}/lake"
+
+
+def _finished(v: Views, folder: str, df: DataFrame) -> DataFrame:
+    """The result, kept apart from the job's folder, which goes."""
+    found = checkpointed(df)
+    remove(v.spark, folder)
+    return found
+
+
+@query("stream_scd2", "select * from sh_intervals")
+def _(v):
+    folder = work_dir(v.spark, "state-stream")
+    lake = _run_state(v, folder)
+    return _finished(v, folder, state.stored_intervals(v.spark, lake))
+
+
+@query(
+    "stream_bonus_table",
+    "select id_salarie, annee, est_eligible_prime_annuel, duree, montant_prime from sh_bonus",
+)
+def _(v):
+    """The bonus table as the job refreshes it after each batch, from the last version."""
+    folder = work_dir(v.spark, "bonus-stream")
+    lake = _run_state(v, folder, incomes=G.scan_incomes(v.fx_employee), as_of_year=YEAR)
+    newest = versions(v.spark, f"{lake}/gold_bonus")[-1]
+    gold = v.spark.read.parquet(f"{lake}/gold_bonus/version={newest}")
+    return _finished(v, folder, gold.drop("ratio_jours"))
 
 
 @query(
     "stream_wellbeing",
-    """select salarie_id, annee, count(*) as nb_activites, count(*) > 66 as est_eligible,
-        cast(case when count(*) > 66 then 5 else 0 end as int) as nb_jour_bien_etre
-    from sh_measure where not (sport_type = 'Natation' and k < 50) group by 1, 2""",
+    "select salarie_id, annee, nb_activites, est_eligible, nb_jour_bien_etre from sh_wellbeing",
 )
 def _(v):
+    """Activities over four batches: copies in a later one, snapshot rows, moves between years
+    and deletions leave the count of what is stored."""
     spark, folder = v.spark, work_dir(v.spark, "fact-stream")
-    topic = land(as_topic(v.fx_fact_topic), f"{folder}/topic")
+    topic = land(as_topic(v.fx_fact_lot), f"{folder}/topic", F.col("lot"), LOTS)
     facts.run_fact_stream(
-        read_change_stream(spark, topic, FILES_PER_BATCH),
+        read_change_stream(spark, topic, files_per_trigger=1),
         _staff(v), texts.templates(spark), RULES, f"{folder}/lake", f"{folder}/offsets",
         trigger={"availableNow": True},
     ).awaitTermination()
-    return facts.stored_wellbeing(spark, f"{folder}/lake", RULES)
+    return _finished(v, folder, facts.stored_wellbeing(spark, f"{folder}/lake"))
+
+
+# --- sinks --------------------------------------------------------------------------------
+
+
+@query("sink_append", "select id_evenement_sport, salarie_id, distance_m from fx_activity")
+def _(v):
+    """Appended epochs, one of them written twice; the fact table without its index column."""
+    folder = work_dir(v.spark, "append")
+    rows = v.fx_activity.select("id_evenement_sport", "salarie_id", "distance_m")
+    for epoch in (0, 1, 1):
+        part = rows.filter(F.pmod("salarie_id", F.lit(2)) == epoch)
+        append_facts(part.withColumn("__index_level_0__", F.lit(0)), f"{folder}/facts", epoch)
+    return _finished(v, folder, read_batches(v.spark, f"{folder}/facts", rows.schema))
+
+
+@query("sink_overwrite", "select salarie_id, annee, nb_activites from sh_wellbeing")
+def _(v):
+    """A table replaced twice, the second time from its own first version."""
+    folder = work_dir(v.spark, "overwrite")
+    counts = G.activity_counts(v.fx_activity)
+    overwrite_table(counts, f"{folder}/gold")
+    overwrite_table(read_table(v.spark, f"{folder}/gold", counts.schema), f"{folder}/gold")
+    return _finished(v, folder, read_table(v.spark, f"{folder}/gold", counts.schema))
+
+
+@query(
+    "sink_export",
+    "select id_salarie, annee, montant_prime, (select count(*) from sh_bonus) as n from sh_bonus",
+)
+def _(v):
+    folder = work_dir(v.spark, "export")
+    gold = G.annual_bonus(intervals(v), G.scan_incomes(v.fx_employee), RULES, YEAR)
+    n = export_copy(gold.select("id_salarie", "annee", "montant_prime"), f"{folder}/copy")
+    copy = v.spark.read.parquet(f"{folder}/copy").withColumn("n", F.lit(n).cast("bigint"))
+    return _finished(v, folder, copy)
+
+
+@query(
+    "scan_tables",
+    """select 'activites' as dataset, count(*) as n from fx_activity
+    union all select 'silver', count(*) from sh_intervals""",
+)
+def _(v):
+    """Stored facts and intervals through their readers."""
+    folder = work_dir(v.spark, "scan")
+    v.fx_activity.select(*ACTIVITY.fieldNames()).write.parquet(f"{folder}/facts")
+    intervals(v).write.parquet(f"{folder}/silver")
+    read = {
+        "activites": scan_activities(v.spark, f"{folder}/facts"),
+        "silver": scan_silver(v.spark, f"{folder}/silver"),
+    }
+    counted = [
+        df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("n"))
+        for name, df in read.items()
+    ]
+    return _finished(v, folder, counted[0].unionByName(counted[1]))
+
+
+@query(
+    "road_graph",
+    """select 'edges' as part, network, count(*) as n, max(length) as longest from fx_edge group by 2
+    union all select 'nodes', network, count(*), max(lat) from fx_node group by 2""",
+)
+def _(v):
+    """Road tables through their reader."""
+    folder = work_dir(v.spark, "graph")
+    v.fx_node.write.parquet(f"{folder}/nodes")
+    v.fx_edge.withColumn("length", F.col("length").cast("double")).write.parquet(f"{folder}/edges")
+    nodes, edges = read_road_graph(v.spark, f"{folder}/nodes", f"{folder}/edges")
+
+    def summed(df: DataFrame, part: str, value: str) -> DataFrame:
+        grouped = df.groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("longest"))
+        return grouped.select(F.lit(part).alias("part"), "network", "n", "longest")
+
+    return _finished(v, folder, summed(edges, "edges", "length").unionByName(summed(nodes, "nodes", "lat")))
+
+
+@query(
+    "sink_notifications",
+    f"""select id_evenement_sport, m.salarie_id, timestamp '{NOW}' as created_at from sh_measure as m
+    join sh_staff as e on e.id_salarie = m.salarie_id
+    join sh_template as t on t.sport_type = m.sport_type""",
+)
+def _(v):
+    folder = work_dir(v.spark, "notifications")
+    rows = N.activity_measures(_activity_images(v))
+    built = N.build_messages(rows, _staff(v), texts.templates(v.spark))
+    append_batch(notification_table(built, now()), f"{folder}/sent", 0)
+    sent = read_batches(v.spark, f"{folder}/sent", NOTIFICATIONS)
+    return _finished(v, folder, sent.drop("message"))
+
+
+@query(
+    "quality_table",
+    """select 'gold_bonus' as dataset, expectation, count(*) as n from (
+        select 'between' as expectation from sh_bonus where ratio_jours < 0 or ratio_jours > 100
+        union all select 'between' from sh_bonus where montant_prime < 0
+        union all select 'compound_unique' from sh_bonus where (id_salarie, annee) in (
+            select (id_salarie, annee) from sh_bonus group by id_salarie, annee having count(*) > 1)
+        ) as f group by 1, 2""",
+)
+def _(v):
+    """Failures of the product's suite as the job stores them, from its last batch."""
+    folder = work_dir(v.spark, "quality")
+    lake = _run_state(v, folder, incomes=G.scan_incomes(v.fx_employee), as_of_year=YEAR)
+    stored = v.spark.read.parquet(f"{lake}/gold_quality")
+    last = stored.agg(F.max("epoch_id")).first()[0]
+    rows = stored.filter((F.col("epoch_id") == last) & (F.col("dataset") == "gold_bonus"))
+    counted = rows.groupBy("dataset", "expectation").agg(F.count(F.lit(1)).alias("n"))
+    return _finished(v, folder, counted)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPOCH = "epoch_id"
@@ -28,12 +29,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All epochs of an appended table; a missing table is an empty one."""
+def read_batches(
+    spark: SparkSession, path: str, schema: T.StructType, since: int = 0
+) -> DataFrame:
+    """Epochs of an appended table from ``since`` on; a missing table is an empty one."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     full = T.StructType([*schema.fields, T.StructField(EPOCH, T.LongType())])
-    return spark.read.schema(full).parquet(path).drop(EPOCH)
+    rows = spark.read.schema(full).parquet(path)
+    return (rows.filter(F.col(EPOCH) >= since) if since else rows).drop(EPOCH)
 
 
 def is_non_empty(df: DataFrame) -> bool:
@@ -79,18 +83,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(f"{path}/version={found[-1]}")
 
 
-def export_copy(df: DataFrame, path: str, single_file_rows: int = 1_000_000) -> int:
-    """Copy for reporting tools, returning the number of rows.
+def export_copy(df: DataFrame, path: str, *, single_file: bool = False) -> int:
+    """Copy for reporting tools, returning the number of rows, counted while they are written.
 
-    One file while the counted rows are few. A larger table keeps its partitions, with files of
-    at most that many rows: nothing passes whole through one task.
+    Partitioned files, whatever the size. ``single_file`` is for products known to be small: all
+    rows then pass through one task.
     """
-    rows = df.count()
-    if rows <= single_file_rows:
-        df.coalesce(1).write.mode("overwrite").parquet(path)
-    else:
-        df.write.mode("overwrite").option("maxRecordsPerFile", single_file_rows).parquet(path)
-    return rows
+    seen = Observation()
+    copy = df.coalesce(1) if single_file else df
+    copy.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return int(seen.get["rows"])
 
 
 def append_facts(df: DataFrame, path: str, epoch_id: int) -> None:

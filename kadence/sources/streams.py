@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from kadence.schemas import TOPIC
 
-# Fixed value: records per poll in small deployments.
-POLL_RECORDS = 200
-
 
 @dataclass(frozen=True)
 class KafkaTopic:
@@ -31,17 +28,19 @@ class FileTopic:
 def read_change_stream(
     spark: SparkSession,
     source: KafkaTopic | FileTopic,
-    max_per_trigger: int | None = POLL_RECORDS,
+    *,
+    records_per_trigger: int | None = None,
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
     """``value, topic, partition, offset`` from the earliest offset on.
 
-    ``max_per_trigger`` bounds a batch, in records for a topic and in files for landed files.
-    Pass None, or the number a batch interval can take, where 200 records cannot keep up.
+    A batch takes all that has arrived. ``records_per_trigger`` bounds it for a topic,
+    ``files_per_trigger`` for landed files; what is left comes with the next batches.
     """
     if isinstance(source, FileTopic):
         reader = spark.readStream.schema(source.schema)
-        if max_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_per_trigger)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         return reader.parquet(source.path)
     reader = (
         spark.readStream.format("kafka")
@@ -49,8 +48,8 @@ def read_change_stream(
         .option("subscribe", source.topic)
         .option("startingOffsets", "earliest")
     )
-    if max_per_trigger:
-        reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
+    if records_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", records_per_trigger)
     return reader.load().select(
         F.col("value").cast("string").alias("value"), "topic", "partition", "offset"
     )

@@ -49,34 +49,37 @@ class BatchWriter:
             append_batch(empty, f"{self.root}/{dataset}", self.epoch_id)
 
 
+class Rejected(Exception):
+    """Raised by work on a batch that will fail again however often it is tried."""
+
+
 def guarded(root: str, work: Callable[[DataFrame, BatchWriter], None]):
-    """A ``foreachBatch`` function that sends a failing batch to the dead letters and goes on.
+    """A ``foreachBatch`` function that stores a batch, or stops the query before its offsets count.
 
-    The raw messages are kept with the error for a later reinjection. If even that fails, the
-    loss is logged.
+    A batch that is ``Rejected`` goes to the dead letters with the reason, what it wrote is taken
+    back, and the stream goes on. Any other failure, also of the dead letters themselves, is
+    raised: Spark does not commit the offsets, and a restart delivers the batch again.
     """
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         writer = BatchWriter(root, epoch_id)
+        if batch.isEmpty():
+            return
         try:
-            if batch.isEmpty():
-                return
             work(batch, writer)
-            writer.write_counts(batch)
-        except Exception as error:
-            log.exception("batch %s failed", epoch_id)
-            try:
-                writer.take_back(batch)
-                dead_letter(batch, f"{root}/dead_letter", epoch_id, str(error))
-            except Exception:
-                log.exception("batch %s is lost", epoch_id)
+        except Rejected as error:
+            log.exception("batch %s is rejected", epoch_id)
+            writer.take_back(batch)
+            dead_letter(batch, f"{root}/dead_letter", epoch_id, str(error))
+            return
+        writer.write_counts(batch)
 
     return process
 
 
 def dead_letter(df: DataFrame, path: str, epoch_id: int, error: str) -> None:
     """Keep messages that could not be processed, with the reason."""
-    reason = F.lit(error[:4000])
+    reason = F.lit(error)
     append_batch(
         df.select("value", "topic", "partition", "offset", reason.alias("error")), path, epoch_id
     )
@@ -84,5 +87,5 @@ def dead_letter(df: DataFrame, path: str, epoch_id: int, error: str) -> None:
 
 def gold_error_row(df: DataFrame, root: str, epoch_id: int, batch_id: str, error: str) -> None:
     """Record a failing product refresh; the stream goes on."""
-    frame = df.sparkSession.createDataFrame([(batch_id, error[:4000])], ERRORS)
+    frame = df.sparkSession.createDataFrame([(batch_id, error)], ERRORS)
     append_batch(frame, f"{root}/gold_errors", epoch_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,30 +15,49 @@ from kadence.operators.changes import (
     decode,
     dedupe_redelivered,
     dedupe_redelivered_stream,
+    first_delivery,
     malformed_of,
     route_fact_inserts,
 )
-from kadence.operators.gold import sort_gold, wellbeing_from_counts
+from kadence.operators.gold import refresh_wellbeing, sort_gold, touched_keys
 from kadence.operators.notify import activity_measures, build_messages, message_errors
 from kadence.operators.quality import failed_rows, shipped_suites
 from kadence.rules import Rules
 from kadence.schemas import ACTIVITY_IMAGE
 from kadence.sinks.tables import (
-    is_non_empty,
+    export_copy,
     notification_table,
     overwrite_table,
     read_batches,
+    read_table,
 )
 from kadence.streaming.batches import BatchWriter, gold_error_row, guarded
+from kadence.workspace import checkpointed
 
-PARTIAL_COUNTS = T.StructType(
+# Every change of an activity: what counts is the last one of an id.
+FACT_LOG = T.StructType(
+    [
+        T.StructField("op", T.StringType()),
+        *ACTIVITY_IMAGE.fields,
+        T.StructField("at_us", T.LongType()),
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+    ]
+)
+TOUCHED = T.StructType(
+    [T.StructField("salarie_id", T.LongType()), T.StructField("annee", T.IntegerType())]
+)
+GOLD = T.StructType(
     [
-        T.StructField("salarie_id", T.LongType()),
-        T.StructField("annee", T.IntegerType()),
+        *TOUCHED.fields,
         T.StructField("nb_activites", T.LongType()),
+        T.StructField("est_eligible", T.BooleanType()),
+        T.StructField("nb_jour_bien_etre", T.IntegerType()),
     ]
 )
 FACT_COLUMNS = ACTIVITY_IMAGE.fieldNames()
+ORDER = ("at_us", "topic", "partition", "offset")
 
 
 def activity_rows(decoded: DataFrame) -> DataFrame:
@@ -44,6 +65,39 @@ def activity_rows(decoded: DataFrame) -> DataFrame:
     return activity_measures(route_fact_inserts(changes_of(decoded)).select("after.*"))
 
 
+def fact_changes(decoded: DataFrame, at: Column) -> DataFrame:
+    """Log rows of snapshot reads, inserts, updates and deletions; a deletion keeps the old image."""
+    changes = changes_of(decoded).filter(F.col("op").isin("r", "c", "u", "d"))
+    image = F.when(F.col("op") == "d", F.coalesce("before", "after")).otherwise(F.col("after"))
+    rows = changes.withColumns({"image": image, "at_us": F.unix_micros(at)})
+    return rows.filter(F.col("image.id_evenement_sport").isNotNull()).select("op", "image.*", *ORDER)
+
+
+def touched_by(decoded: DataFrame) -> DataFrame:
+    """Employee and year pairs that the changes of a batch touch, on either side."""
+    changes = changes_of(decoded).filter(F.col("op").isin("r", "c", "u", "d"))
+    sides = F.explode(F.array_compact(F.array("before", "after"))).alias("image")
+    images = changes.select(sides).select("image.*")
+    return touched_keys(_timed(images)).filter(F.col("salarie_id").isNotNull())
+
+
+def _timed(images: DataFrame) -> DataFrame:
+    return images.withColumn("date_fin_activite", F.timestamp_micros("date_fin_activite"))
+
+
+def current_facts(log: DataFrame) -> DataFrame:
+    """Stored activities: the last change of each id, without deleted ones.
+
+    A message that comes again changes nothing, in whichever batch it comes.
+    """
+    once = first_delivery(log, "id_evenement_sport", "at_us")
+    last = once.groupBy("id_evenement_sport").agg(
+        F.max_by(F.struct("op", *FACT_COLUMNS[1:]), F.struct(*ORDER)).alias("last")
+    )
+    kept = last.filter(F.col("last.op") != "d").select("id_evenement_sport", "last.*")
+    return _timed(kept.drop("op"))
+
+
 def run_fact_stream(
     stream: DataFrame,
     employees: DataFrame,
@@ -54,46 +108,51 @@ def run_fact_stream(
     *,
     at: Column | None = None,
     refresh_every: int = 1,
+    after_refresh: Callable[[DataFrame, BatchWriter, str], None] | None = None,
     dedupe_on: tuple[str, str] | None = None,
     trigger: dict | None = None,
     name: str = "activities",
 ) -> StreamingQuery:
     """Start the job. ``root`` holds its tables; offsets live in ``checkpoint``.
 
-    Activities are kept as facts and counted per batch. The product adds up those counts, which
-    are far fewer than the activities, every ``refresh_every`` batches; ``refresh_wellbeing_table``
-    does so at any time. ``dedupe_on`` (time column, span) drops messages that come again in a
-    later batch; within a batch they always count once.
+    Every change of an activity is logged. Inserts are notified; the product counts what is stored:
+    after every ``refresh_every`` batches the employee and year pairs that the batches touched are
+    counted anew from the last change of each id, so snapshot rows count, deleted ones stop counting
+    and messages that come again change nothing. ``after_refresh`` runs then, for instance to
+    refresh the other product. ``at`` is the time of a change, which orders the changes of an id
+    before topic, partition and offset; by default that of its batch. ``dedupe_on`` (time column,
+    span) drops messages that come again in a later batch, so that they are not notified twice.
     """
 
     def work(batch: DataFrame, writer: BatchWriter) -> None:
         time = F.current_timestamp() if at is None else at
         decoded = decode(dedupe_redelivered(batch), ACTIVITY_IMAGE).persist()
+        rows = activity_rows(decoded)
+        messages = build_messages(rows, employees, templates).persist()
+        errors = message_errors(rows, employees, templates, time).persist()
         try:
             bad = malformed_of(decoded)
             writer.write("malformed", bad.select("value", "topic", "partition", "offset"))
-            rows = activity_rows(decoded)
-            writer.write("facts", rows.select(*FACT_COLUMNS))
-            messages = build_messages(rows, employees, templates)
+            writer.write("facts", fact_changes(decoded, time))
             writer.write("notifications", notification_table(messages, time))
-            errors = message_errors(rows, employees, templates, time)
             writer.write("notification_errors", errors)
             batch_id = batch_offset_ranges(
                 decoded, F.unix_millis(F.current_timestamp())
             ).first()["batch_id"]
             suite = shipped_suites()["notification_errors"]
             writer.write("quality", failed_rows(errors, suite, batch_id, "notification_errors"))
-            counts = rows.groupBy("salarie_id", "annee").agg(
-                F.count("id_evenement_sport").alias("nb_activites")
-            )
-            writer.write("activity_counts", counts)
+            writer.write("touched", touched_by(decoded))
         finally:
-            decoded.unpersist()
-        if writer.epoch_id % refresh_every == 0:
+            for frame in (decoded, messages, errors):
+                frame.unpersist()
+        if writer.epoch_id % refresh_every == refresh_every - 1:
+            since = writer.epoch_id - refresh_every + 1
             try:
-                refresh_wellbeing_table(batch.sparkSession, root, rules)
+                refresh_wellbeing_table(batch.sparkSession, root, rules, since)
             except Exception as error:
                 gold_error_row(batch, root, writer.epoch_id, batch_id, str(error))
+            if after_refresh is not None:
+                after_refresh(batch, writer, batch_id)
 
     if dedupe_on:
         stream = dedupe_redelivered_stream(stream, *dedupe_on)
@@ -103,15 +162,23 @@ def run_fact_stream(
     return query.foreachBatch(guarded(root, work)).start()
 
 
-def stored_wellbeing(spark: SparkSession, root: str, rules: Rules) -> DataFrame:
-    """Wellbeing days from the counts of all batches."""
-    parts = read_batches(spark, f"{root}/activity_counts", PARTIAL_COUNTS)
-    counts = parts.groupBy("salarie_id", "annee").agg(F.sum("nb_activites").alias("nb_activites"))
-    return wellbeing_from_counts(counts, rules)
+def stored_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Activities as they stand after all batches."""
+    return current_facts(read_batches(spark, f"{root}/facts", FACT_LOG))
 
 
-def refresh_wellbeing_table(spark: SparkSession, root: str, rules: Rules) -> None:
-    parts = read_batches(spark, f"{root}/activity_counts", PARTIAL_COUNTS)
-    if is_non_empty(parts):
-        gold = sort_gold(stored_wellbeing(spark, root, rules), "salarie_id")
-        overwrite_table(gold, f"{root}/gold_wellbeing")
+def stored_wellbeing(spark: SparkSession, root: str) -> DataFrame:
+    """The product as of its last refresh."""
+    return read_table(spark, f"{root}/gold_wellbeing", GOLD)
+
+
+def refresh_wellbeing_table(spark: SparkSession, root: str, rules: Rules, since: int = 0) -> None:
+    """Count the pairs anew that batches from epoch ``since`` on touched; all others stay.
+
+    A copy for reporting tools is written with each refresh.
+    """
+    touched = read_batches(spark, f"{root}/touched", TOUCHED, since).distinct()
+    gold = stored_wellbeing(spark, root)
+    fresh = checkpointed(refresh_wellbeing(gold, stored_facts(spark, root), touched, rules))
+    overwrite_table(sort_gold(fresh, "salarie_id"), f"{root}/gold_wellbeing")
+    export_copy(fresh, f"{root}/export/gold_wellbeing")

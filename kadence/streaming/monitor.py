@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -11,12 +9,27 @@ SCHEMA = "query string, event string, epoch_id bigint, input_rows bigint, at str
 
 
 class Heartbeat(StreamingQueryListener):
-    """Remembers which queries are alive, and the last events of all."""
+    """Knows which queries are alive, and keeps every event.
+
+    Events wait in memory until ``flush`` appends them to the table at ``path``; it runs by itself
+    with each progress that finds ``flush_every`` of them, so what waits stays small.
+    """
 
-    def __init__(self, keep: int = 10_000):
+    def __init__(self, spark: SparkSession, path: str, flush_every: int = 1_000):
+        self.spark, self.path, self.flush_every = spark, path, flush_every
         self.alive: dict[str, bool] = {}
         self.names: dict[str, str] = {}
-        self.events: deque = deque(maxlen=keep)
+        self.events: list[tuple] = []
+
+    def flush(self) -> None:
+        waiting, self.events = self.events, []
+        if waiting:
+            frame = self.spark.createDataFrame(waiting, SCHEMA).coalesce(1)
+            try:
+                frame.write.mode("append").parquet(self.path)
+            except Exception:
+                self.events = waiting + self.events
+                raise
 
     def onQueryStarted(self, event):
         query = event.name or str(event.id)
@@ -29,6 +42,8 @@ class Heartbeat(StreamingQueryListener):
         query = p.name or str(p.id)
         self.alive[query] = True
         self.events.append((query, "progress", p.batchId, p.numInputRows, p.timestamp))
+        if len(self.events) >= self.flush_every:
+            self.flush()
 
     def onQueryIdle(self, event):
         self.events.append(
@@ -40,5 +55,7 @@ class Heartbeat(StreamingQueryListener):
         self.alive[query] = False
         self.events.append((query, "failed" if event.exception else "ended", None, None, None))
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.events), SCHEMA)
+    def rows(self) -> DataFrame:
+        """All events so far."""
+        self.flush()
+        return self.spark.read.schema(SCHEMA).parquet(self.path)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from kadence.functions.scalars import days_between, end_of_year
 from kadence.operators.changes import (
     LAKE_FIELDS,
     batch_offset_ranges,
@@ -17,6 +19,7 @@ from kadence.operators.changes import (
     dedupe_redelivered,
     dedupe_redelivered_stream,
     drop_pii,
+    first_delivery,
     malformed_of,
     route_state_changes,
     to_bronze,
@@ -27,8 +30,9 @@ from kadence.operators.quality import failed_rows, quality_gate, shipped_suites
 from kadence.operators.registry import registry_from_log
 from kadence.plans.commute import Evaluate, evaluated_images
 from kadence.rules import Rules
-from kadence.sinks.tables import is_non_empty, overwrite_table, read_batches
+from kadence.sinks.tables import export_copy, is_non_empty, overwrite_table, read_batches
 from kadence.streaming.batches import BatchWriter, gold_error_row, guarded
+from kadence.workspace import checkpointed
 
 POSITIONED = ("value", "topic", "partition", "offset")
 
@@ -38,9 +42,16 @@ STATE_LOG = T.StructType(
         T.StructField("est_eligible_prime_annuel", T.BooleanType()),
         T.StructField("valid_from", T.TimestampType()),
         T.StructField("kind", T.StringType()),
-        T.StructField("seq", T.LongType()),
+        T.StructField("at_us", T.LongType()),
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
     ]
 )
+# Offsets restart per partition and topic, so a change is ordered by its time first and known by
+# its full position.
+IDENTITY = ("topic", "partition", "offset")
+ORDER = ("at_us", *IDENTITY)
 REGISTRY_LOG = T.StructType(
     [
         T.StructField("id_salarie", T.LongType()),
@@ -79,11 +90,12 @@ def run_state_stream(
 ) -> StreamingQuery:
     """Start the job. ``root`` holds its tables; offsets live in ``checkpoint``.
 
-    ``at`` is the time of a change, by default the time of its batch. ``evaluate`` adds
-    ``distance_m, reason`` to images. ``lake_fields=None`` keeps full images in bronze. With
-    ``gate`` rows that fail their suite stay out of the log, by default they are only reported.
-    With ``incomes`` the bonus product is refreshed every ``refresh_every`` batches, for
-    ``as_of_year`` or the current year.
+    ``at`` is the time of a change, by default the time of its batch; changes of a key are ordered
+    by it, then by topic, partition and offset. ``evaluate`` adds ``distance_m, reason`` to images.
+    ``lake_fields=None`` keeps full images in bronze. With ``gate`` rows that fail their suite go to
+    ``quarantine`` instead of their table, by default they are only reported. With ``incomes`` the
+    bonus product is refreshed every ``refresh_every`` batches, for ``as_of_year`` or the current
+    year, after its history passed its suites.
     ``dedupe_on`` (time column, span) drops messages that come again in a later batch.
     """
 
@@ -110,7 +122,7 @@ def run_state_stream(
                 judged.unpersist()
         if incomes is not None and writer.epoch_id % refresh_every == 0:
             year = as_of_year or datetime.now(UTC).year
-            _refresh_bonus(batch, root, writer.epoch_id, incomes, rules, year)
+            _refresh(batch, writer, incomes, rules, year, batch_id)
 
     if dedupe_on:
         stream = dedupe_redelivered_stream(stream, *dedupe_on)
@@ -132,10 +144,10 @@ def _write_layers(
         {
             "id_salarie": F.coalesce("after.id_salarie", "before.id_salarie"),
             "ts": time,
-            "seq": F.col("offset"),
+            "at_us": F.unix_micros(time),
         }
     )
-    log = state_log(keyed, initial_valid_from=initial_valid_from)
+    log = state_log(keyed, initial_valid_from=initial_valid_from, order=ORDER)
     incoherences = keyed.filter(F.col("reason").isNotNull()).select(
         "id_salarie", F.col("reason").alias("raison_incoherence"), F.col("ts").alias("timestamp")
     )
@@ -144,62 +156,76 @@ def _write_layers(
         "id_salarie", event.alias("event"), F.col("ts").alias("at")
     )
     suites = shipped_suites()
-    opened = log.filter(F.col("kind") == "open").select(
-        "id_salarie",
-        "est_eligible_prime_annuel",
-        F.col("valid_from").alias("date_debut"),
-        F.lit(None).cast("int").alias("duree"),
+    # An opening is checked as the interval it starts; a closing carries no state to check.
+    opened = log.filter(F.col("kind") == "open").withColumns(
+        {"date_debut": F.col("valid_from"), "duree": F.lit(None).cast("int")}
     )
-    failures = [
-        failed_rows(opened, suites["silver_new"], batch_id, "silver_new"),
-        failed_rows(incoherences, suites["incoherences"], batch_id, "incoherences"),
-        failed_rows(
-            registry.filter(F.col("event") == "insert"),
-            suites["registry_insert"],
-            batch_id,
-            "registry_insert",
-        ),
-        failed_rows(
-            registry.filter(F.col("event") == "delete"),
-            suites["registry_delete"],
-            batch_id,
-            "registry_delete",
-        ),
+    is_insert = F.col("event") == "insert"
+    checked = [
+        ("silver_new", opened, "state_log"),
+        ("incoherences", incoherences, "incoherences"),
+        ("registry_insert", registry.filter(is_insert), "registry_log"),
+        ("registry_delete", registry.filter(~is_insert), "registry_log"),
     ]
-    report = failures[0]
-    for more in failures[1:]:
-        report = report.unionByName(more)
-    writer.write("quality", report)
+    report = [failed_rows(df, suites[name], batch_id, name) for name, df, _ in checked]
+    failures = reduce(DataFrame.unionByName, report)
+    writer.write("quality", failures)
+    kept = {"state_log": [log.filter(F.col("kind") != "open")], "incoherences": [], "registry_log": []}
+    for name, df, table in checked:
+        passing = quality_gate(df, suites[name])[0] if gate else df
+        kept[table].append(passing)
     if gate:
-        log, _ = quality_gate(log, suites["registry_insert"])
-        incoherences, _ = quality_gate(incoherences, suites["incoherences"])
-        registry, _ = quality_gate(registry, suites["registry_insert"])
-    writer.write("state_log", log)
-    writer.write("incoherences", incoherences)
-    writer.write("registry_log", registry)
+        writer.write("quarantine", failures)
+    columns = {"state_log": log.columns, "incoherences": incoherences.columns, "registry_log": registry.columns}
+    for table, parts in kept.items():
+        writer.write(table, reduce(DataFrame.unionByName, (p.select(columns[table]) for p in parts)))
 
 
-def _refresh_bonus(
-    batch: DataFrame, root: str, epoch_id: int, incomes: DataFrame, rules: Rules, year: int
+def refresh_bonus(
+    spark: SparkSession, root: str, incomes: DataFrame, rules: Rules, year: int, batch_id: str
+) -> DataFrame | None:
+    """Replace the bonus table from the history so far; None while there is no history.
+
+    Returns the failures of the suites of history and product: the history is checked before and
+    after open intervals are filled, the product as it is written.
+    """
+    if not is_non_empty(read_batches(spark, f"{root}/state_log", STATE_LOG)):
+        return None
+    suites = shipped_suites()
+    silver = checkpointed(stored_intervals(spark, root))
+    end = F.coalesce("date_fin", end_of_year(year))
+    filled = silver.withColumns({"date_fin": end, "duree": days_between(F.col("date_debut"), end)})
+    gold = checkpointed(annual_bonus(silver, incomes, rules, year))
+    overwrite_table(sort_gold(gold, "id_salarie"), f"{root}/gold_bonus")
+    export_copy(gold, f"{root}/export/gold_bonus")
+    checked = {"silver_before_fill": silver, "silver_after_fill": filled, "gold_bonus": gold}
+    return reduce(
+        DataFrame.unionByName,
+        (failed_rows(df, suites[name], batch_id, name) for name, df in checked.items()),
+    )
+
+
+def _refresh(
+    batch: DataFrame, writer: BatchWriter, incomes: DataFrame, rules: Rules, year: int, batch_id: str
 ) -> None:
+    """A product that cannot be refreshed is recorded; the changes of the batch are stored."""
     try:
-        silver = stored_intervals(batch.sparkSession, root)
-        if is_non_empty(read_batches(batch.sparkSession, f"{root}/state_log", STATE_LOG)):
-            gold = sort_gold(annual_bonus(silver, incomes, rules, year), "id_salarie")
-            overwrite_table(gold, f"{root}/gold_bonus")
+        failures = refresh_bonus(batch.sparkSession, writer.root, incomes, rules, year, batch_id)
+        if failures is not None:
+            writer.write("gold_quality", failures)
     except Exception as error:
-        gold_error_row(batch, root, epoch_id, f"epoch {epoch_id}", str(error))
+        gold_error_row(batch, writer.root, writer.epoch_id, batch_id, str(error))
 
 
 def stored_log(spark: SparkSession, root: str) -> DataFrame:
     """The state log; a change that was delivered in two batches counts once."""
     log = read_batches(spark, f"{root}/state_log", STATE_LOG)
-    return log.dropDuplicates(["id_salarie", "seq"])
+    return first_delivery(log, "id_salarie", "at_us")
 
 
 def stored_intervals(spark: SparkSession, root: str, **options) -> DataFrame:
     """History so far, as intervals."""
-    return scd2_intervals(stored_log(spark, root), **options)
+    return scd2_intervals(stored_log(spark, root), order=ORDER, **options)
 
 
 def stored_registry(spark: SparkSession, root: str) -> DataFrame:
