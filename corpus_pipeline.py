@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadence.llm.common import stored, table
+from kadence.llm.common import shipped, stored, table
 from kadence.llm.exact_dedup import exact_duplicates
 from kadence.llm.language import identify, learn_profiles
 from kadence.llm.mixing import mix_to_targets
@@ -30,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text without a letter goes, and so does one unlike every language. If nothing is labelled,
     only texts without a letter go.
     """
+    shipped(spark)
     profiles = learn_profiles(docs)
     found = identify(docs, profiles, docs["text"])
     known = found["score"] >= LEAST_SCORE if profiles.languages else F.lit(True)
@@ -43,6 +44,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents, keep the one with the smallest id."""
+    shipped(spark)
     groups = jaccard_groups(docs)
     return _chosen(docs, groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
@@ -61,6 +63,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of whole documents; each copy is packed by itself."""
+    shipped(spark)
     return pack_documents(docs)
 
 

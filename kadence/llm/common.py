@@ -3,41 +3,47 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: whatever stands between ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from kadence.workspace import checkpointed, work_dir
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return chosen.get() if chosen.isDefined() else tempfile.mkdtemp(prefix="kadence-")
+__all__ = ["WORD", "Memo", "checkpointed", "shipped", "stored", "table", "with_rank", "word_count"]
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, checkpointed in the shared folder; Spark drops them when they are not needed."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+#: A word: whatever stands between ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df``, as a table written in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = work_dir(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this library to the executors, as Python tasks import it by name.
+
+    Once per application, as a Python file of the session; nothing else needs it installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="kadence-")) / "kadence.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, Path(package.name) / source.relative_to(package))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 class Memo(dict):
     """Answers for recent keys, in two generations of at most ``size``; the older one is dropped."""
 
@@ -61,6 +67,7 @@ class Memo(dict):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
