@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kadence.functions.geodesy import haversine
+from kadence.workspace import checkpointed
 
 # Fixed value: what the lookup reports for an address without a candidate.
 NO_CANDIDATE = "Erreur : features empty"
@@ -32,14 +33,23 @@ def geocode_join(
     """Rows with ``lat, lon, geo_error``; an address without a candidate has the error."""
     found = best_candidates(addresses).withColumn("__found", F.lit(True))
     missed = F.col("__found").isNull() & F.col(address).isNotNull()
+    keyed = df.withColumn("address_key", address_key(F.col(address)))
     return (
-        df.withColumn("address_key", address_key(F.col(address)))
-        .join(found, "address_key", "left")
+        left_join_known(keyed, found, ["address_key"])
         .withColumn("geo_error", F.when(missed, F.lit(NO_CANDIDATE)))
         .drop("__found", "address_key")
     )
 
 
+def left_join_known(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which rows without a key are set aside: they would all meet in one task."""
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    met = df.filter(whole).join(other, keys, "left")
+    return met.unionByName(df.filter(~whole), allowMissingColumns=True)
+
+
 # Nearest node. Points and nodes lie on the unit sphere, in cubes of side 2**-level. A search goes
 # from coarse to fine cubes: a point keeps the cubes that lie no farther than a node it has seen
 # (each cube shows one of its nodes), and looks only into those. No point meets all nodes of a cell,
@@ -47,7 +57,7 @@ def geocode_join(
 
 MAX_LEVEL = 20  # cubes of 6 m; three indices of 21 bits fit in one number
 LEAF_NODES = 16
-FAN_OUT = 16
+CHILDREN = 64  # cubes within a cube on the next step at most; two levels never have more
 SMALL_CUBES = 200_000
 AXES = ("x", "y", "z")
 SLACK = 1e-14  # in squared radii: half a metre, well above rounding
@@ -75,15 +85,32 @@ def _cube(level: Column) -> Column:
     return packed
 
 
+BITS = MAX_LEVEL + 1
+
+
+def _indices(cube: Column) -> list[Column]:
+    mask = F.lit(2**BITS - 1).cast("bigint")
+    return [
+        F.call_function("shiftright", cube, F.lit(shift)).bitwiseAND(mask)
+        for shift in (2 * BITS, BITS, 0)
+    ]
+
+
+def _around(cube: Column, levels: Column) -> Column:
+    """The cube that many levels coarser around a cube."""
+    packed = F.lit(0).cast("bigint")
+    for index in _indices(cube):
+        packed = F.call_function("shiftleft", packed, F.lit(BITS)) + F.call_function(
+            "shiftright", index, levels
+        )
+    return packed
+
+
 def _corner(cube: Column, level: int) -> list[Column]:
     """Low corner of a cube, as ``low_x, low_y, low_z``."""
-    bits = MAX_LEVEL + 1
-    mask = F.lit(2**bits - 1).cast("bigint")
-    shifts = (2 * bits, bits, 0)
-    indices = [F.call_function("shiftright", cube, F.lit(s)).bitwiseAND(mask) for s in shifts]
     return [
         (i * F.lit(2.0**-level) - F.lit(1.0)).alias(f"low_{a}")
-        for i, a in zip(indices, AXES, strict=True)
+        for i, a in zip(_indices(cube), AXES, strict=True)
     ]
 
 
@@ -107,45 +134,43 @@ def _chord(node: Column) -> Column:
     return parts[0] + parts[1] + parts[2]
 
 
-def _counted(spots: DataFrame, group: str, levels: list[int]) -> dict[int, tuple[int, int]]:
-    """Per level the number of cubes, and the nodes of the fullest one."""
-    cubes = (
-        spots.select(group, *AXES, F.explode(F.array(*map(F.lit, levels))).alias("level"))
-        .groupBy("level", group, _cube(F.col("level")).alias("cube"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sizes = cubes.groupBy("level").agg(
-        F.count(F.lit(1)).alias("cubes"), F.max("n").alias("fullest")
-    )
-    return {r["level"]: (r["cubes"], r["fullest"]) for r in sizes.collect()}
-
-
 def _levels(spots: DataFrame, group: str) -> list[tuple[int, int]]:
-    """``(level, cubes)`` per search step: each has about ``FAN_OUT`` times the cubes of the last.
+    """``(level, cubes)`` per search step, from the whole globe to cubes with few nodes.
 
-    Sketches of every second level, from one pass without a shuffle, propose the steps; only
-    those are counted. The last step is refined until its fullest cube has few nodes.
+    Cubes of every second level are counted once, with their nodes and with the cubes two, four
+    and six levels finer inside them. A step goes as deep as no cube has more than ``CHILDREN``
+    cubes inside, however unevenly nodes lie. Only numbers per level come to the driver.
     """
-    every = range(0, MAX_LEVEL + 1, 2)
-    sketches = spots.agg(
-        F.count(F.lit(1)).alias("nodes"),
-        *(
-            F.approx_count_distinct(F.xxhash64(F.col(group), _cube(F.lit(i)))).alias(f"c{i}")
-            for i in every
-        ),
-    ).first()
-    about = {i: sketches[f"c{i}"] for i in every}
-    leaf = next((i for i in every if about[i] * 4 >= sketches["nodes"]), MAX_LEVEL)
+    every = list(range(0, MAX_LEVEL + 1, 2))
+    level = F.explode(F.array(*map(F.lit, every))).alias("level")
+    cubes = checkpointed(
+        spots.select(group, "home", level)
+        .groupBy("level", group, _around(F.col("home"), F.lit(MAX_LEVEL) - F.col("level")).alias("cube"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    sizes = {
+        r["level"]: (r["cubes"], r["fullest"])
+        for r in cubes.groupBy("level")
+        .agg(F.count(F.lit(1)).alias("cubes"), F.max("n").alias("fullest"))
+        .collect()
+    }
+    inside = (
+        cubes.select(group, "level", "cube", F.explode(F.array(*map(F.lit, (2, 4, 6)))).alias("up"))
+        .filter(F.col("level") >= F.col("up"))
+        .groupBy((F.col("level") - F.col("up")).alias("level"), "up", group, _around(F.col("cube"), F.col("up")))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    children = {
+        (r["level"], r["up"]): r["n"]
+        for r in inside.groupBy("level", "up").agg(F.max("n").alias("n")).collect()
+    }
+    leaf = next((i for i in every if sizes.get(i, (0, 0))[1] <= LEAF_NODES), MAX_LEVEL)
     steps = [0]
-    for level in range(2, leaf, 2):
-        if about[level + 2] > FAN_OUT * about[steps[-1]]:
-            steps.append(level)
-    counted = _counted(spots, group, [*steps, leaf])
-    while leaf < MAX_LEVEL and counted.get(leaf, (0, 0))[1] > LEAF_NODES:
-        steps.append(leaf)
-        leaf += 2
-        counted |= _counted(spots, group, [leaf])
-    return [(i, counted.get(i, (0, 0))[0]) for i in dict.fromkeys([*steps, leaf])]
+    while steps[-1] < leaf:
+        here = steps[-1]
+        deep = [d for d in (6, 4) if here + d <= leaf and children.get((here, d), 0) <= CHILDREN]
+        steps.append(here + (deep[0] if deep else 2))
+    return [(i, sizes.get(i, (0, 0))[0]) for i in steps]
 
 
 def _sized(cubes: DataFrame, count: int) -> DataFrame:
@@ -170,21 +195,22 @@ def nearest_node(points: DataFrame, nodes: DataFrame, group: str = "network") ->
         .withColumns(_on_sphere(F.col("lat"), F.col("lon")))
     )
     # Nodes at one place are one candidate.
-    spots = (
+    spots = checkpointed(
         nodes.groupBy(group, "lat", "lon")
         .agg(F.min("node_id").alias("node_id"))
         .withColumns(_on_sphere(F.col("lat"), F.col("lon")))
+        .withColumn("home", _cube(F.lit(MAX_LEVEL)))
     )
     steps = _levels(spots, group)
 
     def cubes_of(level: int, name: str) -> Column:
-        return _cube(F.lit(level)).alias(name)
+        return _around(F.col("home"), F.lit(MAX_LEVEL - level)).alias(name)
 
     first, count = steps[0]
     roots = spots.select(group, cubes_of(first, "cube")).distinct()
     search = sought.withColumn("reach", F.lit(4.0)).join(_sized(roots, count), group)
     for (coarse, _), (fine, count) in zip(steps, steps[1:], strict=False):
-        # The cubes within a cube, each with one of its nodes: a few dozen at most.
+        # The cubes within a cube, each with one of its nodes: CHILDREN at most.
         member = F.struct(*AXES)
         inside = (
             spots.groupBy(group, cubes_of(coarse, "cube"), cubes_of(fine, "child"))

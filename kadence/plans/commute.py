@@ -11,7 +11,13 @@ from kadence.functions.geodesy import haversine, linear_distance
 from kadence.functions.scalars import commute_mode, is_bonus_eligible, mode_limit
 from kadence.operators.changes import has_relevant_change
 from kadence.operators.eligibility import distance_outcome
-from kadence.operators.places import NO_CANDIDATE, address_key, best_candidates, nearest_node
+from kadence.operators.places import (
+    NO_CANDIDATE,
+    address_key,
+    best_candidates,
+    left_join_known,
+    nearest_node,
+)
 from kadence.operators.roads import distances_to
 from kadence.rules import Rules, Site
 from kadence.workspace import checkpointed
@@ -104,7 +110,7 @@ def commute_distance(
     )
     wanted = asked.filter(F.col("address_key").isNotNull() & F.col("network").isNotNull())
     known = address_distances(wanted, addresses, nodes, edges, site, rules, method)
-    return _verdict(asked.join(known, ["address_key", "network"], "left"), people, rules)
+    return _verdict(left_join_known(asked, known, ["address_key", "network"]), people, rules)
 
 
 def with_outcome(df: DataFrame, rules: Rules) -> DataFrame:
@@ -135,13 +141,16 @@ def _verdict(rows: DataFrame, people: DataFrame, rules: Rules) -> DataFrame:
 Evaluate = Callable[[DataFrame], DataFrame]
 
 
-def evaluator(known: DataFrame, rules: Rules) -> Evaluate:
+def evaluator(
+    known: DataFrame, rules: Rules, lookup: Callable[[DataFrame], DataFrame] | None = None
+) -> Evaluate:
     """A function that adds ``distance_m, reason`` from stored address distances.
 
-    Streams use it: ``known`` is stored once, here, and joined per batch. Addresses outside of it
-    count as not found.
+    Streams use it: ``known`` is stored once, here, and joined per batch. ``lookup`` (for instance
+    ``address_distances`` with its tables) is asked once for each ``address_key, network`` that
+    appears later; without it, or without an answer, an address counts as not found.
     """
-    known = checkpointed(known)
+    table = [checkpointed(known)]
 
     def evaluate(people: DataFrame) -> DataFrame:
         asked = people.withColumns(
@@ -150,9 +159,14 @@ def evaluator(known: DataFrame, rules: Rules) -> Evaluate:
                 "network": commute_mode(F.col("moyen_deplacement")),
             }
         )
-        rows = asked.join(
-            known.withColumn("__known", F.lit(True)), ["address_key", "network"], "left"
-        )
+        keys = ["address_key", "network"]
+        if lookup is not None:
+            whole = F.col("address_key").isNotNull() & F.col("network").isNotNull()
+            new = asked.filter(whole).select(keys).distinct().join(table[0], keys, "left_anti")
+            new = checkpointed(new)
+            if not new.isEmpty():
+                table[0] = checkpointed(table[0].unionByName(lookup(new).select(table[0].columns)))
+        rows = left_join_known(asked, table[0].withColumn("__known", F.lit(True)), keys)
         missing = F.col("__known").isNull() & F.col("address_key").isNotNull()
         rows = rows.withColumn(
             "geo_error", F.when(missing, F.lit(NO_CANDIDATE)).otherwise(F.col("geo_error"))

@@ -1094,7 +1094,8 @@ GOLD_ROW_JSON = """'{"id_salarie":' || id_salarie || ',"annee":' || annee
                 group by id_salarie, annee having count(*) > 1)) as f""",
 )
 def _(v):
-    gold = G.annual_bonus(intervals(v), G.scan_incomes(v.fx_employee), RULES, YEAR)
+    # Checked for repeated keys against itself, so it is computed once.
+    gold = checkpointed(G.annual_bonus(intervals(v), G.scan_incomes(v.fx_employee), RULES, YEAR))
     rows = Q.failed_rows(gold, Q.shipped_suites()["gold_bonus"], "b1", "gold_bonus")
     parsed = F.from_json(
         "row_json", "id_salarie bigint, annee int, est_eligible_prime_annuel boolean"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadence.rules import Rules
+from kadence.functions.geodesy import haversine
+from kadence.rules import Rules, Site
 from kadence.schemas import (
     ACTIVITY,
     EMPLOYEE_CSV,
@@ -44,12 +45,33 @@ def read_rules(spark: SparkSession, path: str) -> tuple[Rules, DataFrame]:
     return rules, raw.select(F.inline("entreprises"))
 
 
-def read_road_graph(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all travel networks."""
-    return (
-        spark.read.schema(ROAD_NODES).parquet(nodes),
-        spark.read.schema(ROAD_EDGES).parquet(edges),
-    )
+def read_road_graph(
+    spark: SparkSession,
+    nodes: str,
+    edges: str,
+    *,
+    around: Site | None = None,
+    reach_m: dict[str, float] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all travel networks.
+
+    With a site, a network reaches as far around it as ``reach_m`` says for its name, and roads
+    keep both their ends inside; snapping and searching then stay in that area.
+    """
+    all_nodes = spark.read.schema(ROAD_NODES).parquet(nodes)
+    all_edges = spark.read.schema(ROAD_EDGES).parquet(edges)
+    if around is None:
+        return all_nodes, all_edges
+    metres = haversine(F.col("lat"), F.col("lon"), F.lit(around.lat), F.lit(around.lon))
+    reach = F.lit(None).cast("double")
+    for network, limit in (reach_m or {}).items():
+        reach = F.when(F.col("network") == network, F.lit(float(limit))).otherwise(reach)
+    near = all_nodes.filter(metres <= reach)
+    inside = near.select("network", "node_id").distinct()
+    for end in ("u", "v"):
+        ends = inside.withColumnRenamed("node_id", end)
+        all_edges = all_edges.join(ends, ["network", end], "left_semi")
+    return near, all_edges.select(ROAD_EDGES.fieldNames())
 
 
 def scan_activities(spark: SparkSession, path: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kadence.sinks.tables import append_batch
+from kadence.sinks.tables import append_batch, exists
 
 log = logging.getLogger(__name__)
 
@@ -49,6 +49,20 @@ class BatchWriter:
             append_batch(empty, f"{self.root}/{dataset}", self.epoch_id)
 
 
+def claim(spark: SparkSession, root: str) -> None:
+    """Refuse tables of another query: its epochs have the same numbers and would be overwritten.
+
+    A query keeps its identity with its checkpoint. If that is lost, start with a new root.
+    """
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if exists(spark, f"{root}/_owner"):
+        owner = spark.read.text(f"{root}/_owner").first()[0]
+        if owner != query:
+            raise ValueError(f"the tables in {root} belong to query {owner}, not {query}")
+    else:
+        spark.createDataFrame([(query,)], "value string").coalesce(1).write.text(f"{root}/_owner")
+
+
 class Rejected(Exception):
     """Raised by work on a batch that will fail again however often it is tried."""
 
@@ -63,6 +77,7 @@ def guarded(root: str, work: Callable[[DataFrame, BatchWriter], None]):
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         writer = BatchWriter(root, epoch_id)
+        claim(batch.sparkSession, root)
         if batch.isEmpty():
             return
         try:

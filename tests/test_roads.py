@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kadence.functions.geodesy import haversine
+from kadence.operators import places as P
 from kadence.operators.places import best_candidates, geocode_join, nearest_node
 from kadence.operators.roads import distances_to
 
@@ -103,6 +104,28 @@ def test_nearest_node_equals_a_full_comparison(spark, seed):
     assert got.filter("network = 'd' and lat = 0 and lon = 0").first()["node_id"] == 900
 
 
+def test_uneven_nodes_never_make_long_lists(spark):
+    """A dense town among scattered places: no cube has many cubes inside on the next step."""
+    rng = random.Random(5)
+    town = [("w", i, 43 + rng.random() / 200, 3.5 + rng.random() / 200) for i in range(6000)]
+    wide = [("w", 10_000 + i, rng.uniform(-60, 60), rng.uniform(-180, 180)) for i in range(500)]
+    nodes = spark.createDataFrame(town + wide, "network string, node_id int, lat double, lon double")
+    spots = nodes.withColumns(P._on_sphere(F.col("lat"), F.col("lon"))).withColumn("home", P._cube(F.lit(P.MAX_LEVEL)))
+    steps = [level for level, _ in P._levels(spots, "network")]
+    for coarse, fine in zip(steps, steps[1:], strict=False):
+        cubes = spots.select(*(P._around(F.col("home"), F.lit(P.MAX_LEVEL - i)).alias(n) for i, n in ((coarse, "c"), (fine, "f"))))
+        longest = cubes.distinct().groupBy("c").count().agg(F.max("count")).first()[0]
+        assert longest <= P.CHILDREN
+    points = nodes.sample(0.02, 1).select("network", (F.col("lat") + 0.0003).alias("lat"), "lon")
+    assert rows(nearest_node(points, nodes).drop("snap_m")) == rows(brute(points, nodes))
+
+
+def test_rows_without_a_key_keep_their_place(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "k int, address_key string")
+    other = spark.createDataFrame([("a", 1.0)], "address_key string, lat double")
+    assert rows(P.left_join_known(df, other, ["address_key"]), "k", "lat") == [(1, 1.0), (2, None), (3, None)]
+
+
 def test_best_candidate_and_misses(spark):
     addresses = spark.createDataFrame(
         [("1  Rue A ", 1.0, 2.0, 0.5), ("1 rue a", 3.0, 4.0, 0.9), ("2 rue b", None, 1.0, 1.0)],

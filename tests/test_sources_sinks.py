@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kadence.operators.constraints import normalise_employee, primary_key_violations
+from kadence.rules import Site
 from kadence.schemas import ROAD_EDGES, ROAD_NODES
 from kadence.sinks import tables as K
 from kadence.sources import files as S
@@ -53,6 +54,18 @@ def test_rule_file(spark, tmp_path):
     assert rows(sites, "id", "adresse") == [(0, "1 rue X")]
 
 
+def test_road_graph_around_a_site(spark, tmp_path):
+    places = [("walk", 1, 0.0, 0.0), ("walk", 2, 0.0, 0.01), ("walk", 3, 0.0, 1.0), ("drive", 3, 0.0, 1.0), ("sea", 1, 0.0, 0.0)]
+    spark.createDataFrame(places, ROAD_NODES).write.parquet(f"{tmp_path}/n")
+    roads = [("walk", 1, 2, 3.0), ("walk", 2, 3, 1.0), ("drive", 3, 3, 2.0), ("drive", 1, 3, 2.0)]
+    spark.createDataFrame(roads, ROAD_EDGES).write.parquet(f"{tmp_path}/e")
+    nodes, edges = S.read_road_graph(
+        spark, f"{tmp_path}/n", f"{tmp_path}/e", around=Site(0.0, 0.0), reach_m={"walk": 15_000, "drive": 200_000}
+    )
+    assert rows(nodes, "network", "node_id") == [("drive", 3), ("walk", 1), ("walk", 2)]
+    assert rows(edges) == [("drive", 3, 3, 2.0), ("walk", 1, 2, 3.0)]
+
+
 def test_road_graph(spark, tmp_path):
     nodes = spark.createDataFrame([("walk", 1, 1.0, 2.0)], ROAD_NODES)
     edges = spark.createDataFrame([("walk", 1, 2, 3.0)], ROAD_EDGES)

@@ -127,6 +127,17 @@ def test_a_failure_stops_the_query_and_a_restart_delivers_again(spark, landed, t
     assert not (tmp_path / "lake" / "dead_letter").exists()
 
 
+def test_a_new_checkpoint_does_not_overwrite_the_lake(spark, landed, tmp_path):
+    root = run_state(spark, landed, str(tmp_path), files=None)
+    before = lake(spark, root)
+    with pytest.raises(Exception, match="belong to query"):
+        state.run_state_stream(
+            read_change_stream(spark, landed), IMAGE, from_image, P.RULES,
+            root, f"{tmp_path}/other", at=F.col("ts"), trigger=ONCE,
+        ).awaitTermination()
+    assert lake(spark, root) == before
+
+
 def change(op, before, after, topic, partition, offset, ts):
     payload = json.dumps({"payload": {"op": op, "before": before, "after": after}})
     return (payload, topic, partition, offset, ts)
