@@ -241,7 +241,9 @@ def jaccard_groups(
         .where("chunks = 1 or other <> mine")
         .select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "id", "shingles")
     )
-    links = members.groupBy("component", "low", "high").applyInPandas(search, "a long, b long")
+    # Dealt by chunk pair: after the join by component a group would stay in one task.
+    dealt = members.repartition("component", "low", "high")
+    links = dealt.groupBy("component", "low", "high").applyInPandas(search, "a long, b long")
     joined = connected_components(links)
 
     labels = classes.join(joined, F.col("first") == F.col("node"), "left").select(
