@@ -66,9 +66,11 @@ def exact_duplicates(
         .agg(F.max("id").alias("g_keep"), F.count("*").alias("g_size"))
         .where("g_size > 1")
     )
+    # Rows that are alone by their length or prefix have no hash; null keys would meet in one task.
+    key = F.coalesce(F.col("full"), F.concat_ws(" ", F.lit("alone"), F.col("id")))
     alone = F.col("g_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("g_keep"))
-    return rows.join(groups, F.col("full") == F.col("g_full"), "left").select(
+    return rows.join(groups, key == F.col("g_full"), "left").select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("g_size", F.lit(1)).cast("long").alias("group_size"),
