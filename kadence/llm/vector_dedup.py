@@ -20,14 +20,18 @@ SHARD = 8192
 QUERIES = 2048
 COSINE = 0.93
 #: Links per node and layer (twice as many on the lowest), and the width of the first beam.
-NEIGHBOURS = 16
+NEIGHBOURS = 12
 BEAM = 64
+#: Room in a node's list beyond its links, so that it is pruned seldom.
+SPARE = 16
 #: Queries that a task compares with brute force (twice: of all, and of those with links), and the
 #: share of their links that must be found.
 AUDITED = 48
-RECALL = 1.0
+RECALL = 0.995
 #: Single-precision cosines this close to the limit are checked.
 _SLACK = 1e-3
+#: A full beam is widened over all nodes that are at most this far below the limit.
+MARGIN = 0.02
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -44,7 +48,9 @@ class SmallWorld:
         n = len(vectors)
         share = (mixed(ids.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
         self.levels = np.minimum(-np.log(share + 2.0**-54) / math.log(neighbours), 8).astype(int)
-        self.links = [np.full((n, neighbours * (1 if layer else 2)), -1, np.int32) for layer in range(int(self.levels.max(initial=0)) + 1)]
+        layers = range(int(self.levels.max(initial=0)) + 1)
+        self.links = [np.full((n, neighbours * (1 if layer else 2) + SPARE), -1, np.int32) for layer in layers]
+        self.used = [np.zeros(n, np.int32) for _ in layers]
         self.entry, self.top = -1, -1
         order = np.argsort(mixed(ids.astype(np.uint64) + np.uint64(1)), kind="stable")
         done = 0
@@ -53,6 +59,7 @@ class SmallWorld:
             self._insert(order[done : done + size], beam)
             done += size
         self._reach_all()
+        del self.used
 
     def _reach_all(self) -> None:
         """Pruning may leave a node that no other leads to: its nearest node with room gets a link."""
@@ -109,6 +116,20 @@ class SmallWorld:
             open_[rows[:, None], pick] = False
             fresh = np.where(chosen[:, :, None] >= 0, links[chosen], -1).reshape(len(rows), -1)
 
+    def flood(self, query: np.ndarray, nodes: np.ndarray, least: float) -> np.ndarray:
+        """All nodes of at least that cosine that are reached from ``nodes`` over such nodes."""
+        seen = np.zeros(len(self.vectors) + 1, bool)
+        seen[-1] = True
+        seen[nodes] = True
+        found, wave = [nodes], nodes
+        while len(wave):
+            near = np.unique(self.links[0][wave])
+            near = near[~seen[near]]
+            seen[near] = True
+            wave = near[self.vectors[near] @ query >= least]
+            found.append(wave)
+        return np.concatenate(found)
+
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         entries = np.full((len(queries), 1), self.entry)
         for layer in range(self.top, 0, -1):
@@ -116,38 +137,40 @@ class SmallWorld:
         return self.beam(0, queries, entries, width)
 
     def _spread(self, nodes: np.ndarray, cosines: np.ndarray, most: int) -> np.ndarray:
-        """Up to ``most`` near nodes, none nearer to a chosen one than to the centre, then the nearest."""
+        """The nearest nodes, half of ``most``, then near ones that lead elsewhere.
+
+        The first half keeps groups of near copies together, however alike they are; the second
+        takes nodes that are not nearer to a chosen one than to the centre.
+        """
         order = np.argsort(-cosines, kind="stable")
         nodes, cosines = nodes[order], cosines[order]
-        if len(nodes) <= most // 2:
+        half = most // 2
+        if len(nodes) <= half:
             return nodes
         among = self.vectors[nodes] @ self.vectors[nodes].T
-        chosen, blocked = [], np.zeros(len(nodes), bool)
-        for i in range(len(nodes)):
+        blocked = (among[:half] > cosines).any(axis=0)
+        chosen = list(range(half))
+        for i in range(half, len(nodes)):
             if not blocked[i]:
                 chosen.append(i)
                 if len(chosen) == most:
                     break
                 blocked |= among[i] > cosines
-        if len(chosen) < most // 2:
-            chosen += [i for i in range(len(nodes)) if i not in chosen][: most // 2 - len(chosen)]
         return nodes[chosen]
 
     def _tie(self, layer: int, node: int, nodes: np.ndarray, cosines: np.ndarray) -> None:
-        links = self.links[layer]
+        links, used = self.links[layer], self.used[layer]
+        width = links.shape[1]
         for other in self._spread(nodes, cosines, self.neighbours).tolist():
             for a, b in ((node, other), (other, node)):
-                row = links[a]
-                used = int(np.count_nonzero(row >= 0))
-                if b in row[:used]:
-                    continue
-                if used < len(row):
-                    row[used] = b
-                else:
-                    near = np.append(row, b)
-                    kept = self._spread(near, self.vectors[near] @ self.vectors[a], len(row))
-                    row[:] = -1
-                    row[: len(kept)] = kept
+                if used[a] == width:
+                    row = links[a].copy()
+                    kept = self._spread(row, self.vectors[row] @ self.vectors[a], width - SPARE)
+                    links[a] = -1
+                    links[a, : len(kept)] = kept
+                    used[a] = len(kept)
+                links[a, used[a]] = b
+                used[a] += 1
 
     def _insert(self, batch: np.ndarray, width: int) -> None:
         queries = self.vectors[batch]
@@ -179,28 +202,24 @@ def links_of(
 ) -> tuple[list[np.ndarray], float, int]:
     """Members that each query links to, the recall of the audit, and the width it took.
 
-    A beam whose worst entry still links is widened for its query. The audit compares some queries
-    and some of those with links, evenly spread, with all members; below ``recall`` all beams are
-    widened.
+    A beam whose worst entry still links is widened for its query until it holds all that is
+    connected to it above the limit. The audit compares some queries and some of those with links,
+    evenly spread, with all members; below ``recall`` all beams are widened.
     """
     n = len(vectors)
     width = min(BEAM, n)
     while True:
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
-        todo, wide = np.arange(len(queries)), width
-        while len(todo):
-            again = []
-            # Beams and visits of a portion stay within some ten megabytes.
-            portion = max(16, min(512, (1 << 22) // (n + 64 * wide)))
-            for a in range(0, len(todo), portion):
-                some = todo[a : a + portion]
-                nodes, cosines = graph.search(queries[some].astype(np.float32), wide)
-                full = (cosines[:, -1] >= cosine - _SLACK) & (wide < n)
-                again.append(some[full])
-                for i, row, near in zip(some[~full].tolist(), nodes[~full], cosines[~full], strict=True):
-                    row = row[near >= cosine - _SLACK]
-                    out[i] = np.sort(row[vectors[row] @ queries[i] >= cosine])
-            todo, wide = np.concatenate(again), min(2 * wide, n)
+        out: list[np.ndarray] = []
+        # Beams and visits of a portion stay within some ten megabytes.
+        portion = max(16, min(512, (1 << 22) // (n + 64 * width)))
+        for a in range(0, len(queries), portion):
+            some = queries[a : a + portion]
+            nodes, cosines = graph.search(some.astype(np.float32), width)
+            for query, row, near in zip(some, nodes, cosines, strict=True):
+                row = row[near >= cosine - _SLACK]
+                if len(row) == width < n:
+                    row = graph.flood(query.astype(np.float32), row, cosine - MARGIN)
+                out.append(np.sort(row[vectors[row] @ query >= cosine]))
         linked = np.flatnonzero([len(row) > 1 for row in out])
         few = np.linspace(0, len(queries) - 1, AUDITED).astype(int)
         few = np.union1d(few, linked[np.linspace(0, len(linked) - 1, AUDITED).astype(int)] if len(linked) else few)
