@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ SMALL = 1 / 8
 #: Groups of equal cardinality among the large pieces.
 GROUPS = 192
 #: Pieces that a Python worker remembers, twice over.
-_KEPT = 500_000
+_KEPT = 800_000
 
 
 class Encoder:
@@ -59,7 +60,8 @@ class Encoder:
             some = pieces[i : i + 2048]
             found = self.library.encode(" " + " ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            places = chain.from_iterable(found.offsets)
+            starts = np.fromiter(places, np.int64, 2 * len(found.ids))[::2]
             ends = np.cumsum([len(p) + 1 for p in some])
             edges = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
             for p, a, b in zip(some, edges, edges[1:], strict=False):
@@ -112,8 +114,8 @@ def token_pieces(
         library = encoder(tokenizer or default_path("byte_bpe_50k.json"))
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 texts = [t or "" for t in part["text"]]
                 for doc, ids in zip(part["id"].tolist(), library.encode(texts), strict=True):
                     ids = memoryview(ids + end)
