@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 from kadence.llm.common import shipped, stored, table
 from kadence.llm.exact_dedup import exact_duplicates
-from kadence.llm.language import identify, learn_profiles
+from kadence.llm.language import identify, learn_profiles, limits
 from kadence.llm.mixing import mix_to_targets
 from kadence.llm.ngram_join import jaccard_groups
 from kadence.llm.packing import pack_documents
 
-#: Texts whose cosine to every learned language is smaller are in none of them; about what chance gives.
-#: Short clean texts score from 0.09 on.
-LEAST_SCORE = 0.05
+#: Dimensions of the language stage: chance gives cosines of about 1/64.
+DIMENSIONS = 4096
 #: No stage is expressed in SQL as a whole: profiles, tilts, token ids and packing are not.
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` has not."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``ids``, null meeting null; all columns stay as they are."""
     chosen = ids.select(F.col("doc_id").alias("_chosen"))
@@ -28,14 +34,19 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the languages that the labelled ones teach.
 
-    A text without a letter goes, and so does one unlike every language. If nothing is labelled,
-    only texts without a letter go.
+    A text without a letter goes, and so does one less like every language than labelled texts of
+    its length are (see ``limits``). If nothing is labelled, only texts without a letter go.
     """
     shipped(spark)
-    profiles = learn_profiles(docs)
-    found = identify(docs, profiles, docs["text"])
-    known = found["score"] >= LEAST_SCORE if profiles.languages else F.lit(True)
-    return docs.where(found["has_letter"] & known)
+    profiles = learn_profiles(docs, dimensions=DIMENSIONS)
+    name = _free(docs, "_found")
+    found = identify(docs, profiles, docs["text"], docs["lang"])
+    if not profiles.languages:
+        return docs.where(found["has_letter"])
+    # Scored once: the limits are taken from what is written.
+    scored = stored(docs.withColumn(name, found))
+    known = F.col(name)["score"] >= limits(scored, name, DIMENSIONS)
+    return scored.where(F.col(name)["has_letter"] & known).drop(name)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,17 @@ GRAM = 3
 SEED = 20_231
 #: Learning more labels than this raises; their profiles are sent to all executors.
 MAX_LANGUAGES = 4_096
-#: n-gram vectors that a Python worker keeps (2 kB each).
+#: n-gram vectors that a Python worker keeps (a byte for each dimension).
 _KEPT = 16_384
+#: n-grams and texts that are multiplied at once; n-grams of labelled texts counted before they are summed up.
+_SLAB = 1_024
+_TEXTS = 128
+_PENDING = 1 << 20
+#: A limit is this part of the score that all but ``LOW`` of the labelled texts of like length reach.
+SHARE = 0.5
+LOW = 0.05
+#: No limit lies within so many standard deviations of chance.
+CHANCE = 3.0
 
 
 class GramSpace:
@@ -28,7 +37,7 @@ class GramSpace:
         self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.grams = np.empty((_KEPT, dimensions), np.float32)
+        self.grams = np.empty((_KEPT, dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         """A random vector of +1 and -1; code 0 is the gap between words."""
@@ -57,10 +66,10 @@ class GramSpace:
                 row = self.rows[k] = len(self.rows)
                 self.grams[row] = self.bound(k)
             at.append(row)
-        return self.grams[at]
+        return self.grams[at].astype(np.float32)
 
-    def profile(self, text: str | None) -> np.ndarray | None:
-        """The bundle of a text's n-grams over lower-case letters; None without a letter."""
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Distinct n-grams of a text's lower-case letters, sorted, and their counts; None without a letter."""
         if not text:
             return None
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
@@ -71,11 +80,27 @@ class GramSpace:
         codes = codes[(codes != 0) | np.concatenate(([True], codes[:-1] != 0))]
         n = len(codes) - self.gram + 1
         keys = sum(codes[i : n + i] << (21 * (self.gram - 1 - i)) for i in range(self.gram))
-        keys, counts = np.unique(keys, return_counts=True)
-        bundle = np.zeros(self.dimensions)
-        for i in range(0, len(keys), 4096):
-            bundle += counts[i : i + 4096].astype(np.float32) @ self.vectors(keys[i : i + 4096])
-        return bundle
+        return np.unique(keys, return_counts=True)
+
+    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The bundle of each text's counted n-grams, a row each; whole numbers, so exact."""
+        out = np.zeros((len(texts), self.dimensions))
+        keys = np.unique(np.concatenate([k for k, _ in texts]))
+        # Single precision holds sums of this size.
+        kind = np.float32 if max(int(c.sum()) for _, c in texts) < 1 << 24 else np.float64
+        for i in range(0, len(keys), _SLAB):
+            slab = keys[i : i + _SLAB]
+            dense = np.zeros((len(texts), len(slab)), kind)
+            for row, (mine, counts) in enumerate(texts):
+                a, b = np.searchsorted(mine, slab[0]), np.searchsorted(mine, slab[-1], "right")
+                dense[row, np.searchsorted(slab, mine[a:b])] = counts[a:b]
+            out += dense @ self.vectors(slab)
+        return out
+
+    def profile(self, text: str | None) -> np.ndarray | None:
+        """The bundle of a text's n-grams over lower-case letters; None without a letter."""
+        counted = self.counted(text)
+        return None if counted is None else self.bundles([counted])[0]
 
 
 _SPACES: dict[tuple, GramSpace] = {}
@@ -93,17 +118,45 @@ class LanguageProfiles:
 
     def __init__(self, languages: list[str], vectors: np.ndarray, settings: tuple):
         self.languages, self.settings = languages, settings
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.vectors = vectors / np.where(norms > 0, norms, 1.0)
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.vectors = vectors / np.where(self.norms > 0, self.norms, 1.0)[:, None]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Label, cosine cut to 0..1, and whether the text has a letter."""
-        bundle = space(*self.settings).profile(text)
-        if bundle is None or not self.languages:
-            return "und", 0.0, bundle is not None
-        cosines = self.vectors @ bundle / (np.linalg.norm(bundle) or 1.0)
-        best = int(np.argmax(cosines))  # ties: the first label by code point
-        return self.languages[best], float(min(1.0, max(0.0, cosines[best]))), True
+        return self.predict_all([text])[0][:3]
+
+    def predict_all(self, texts: list, labels: list | None = None) -> list[tuple[str, float, bool, int, float | None]]:
+        """For each text what ``predict`` tells, the number of its distinct n-grams, and its clean score.
+
+        The clean score is the largest cosine once the text itself is taken out of the profile of its
+        label; None if it has no learned label, or is all that its label has.
+        """
+        found = space(*self.settings)
+        row = {lang: i for i, lang in enumerate(self.languages)}
+        out = []
+        for i in range(0, len(texts), _TEXTS):
+            counted = [found.counted(t) for t in texts[i : i + _TEXTS]]
+            full = [c for c in counted if c is not None]
+            bundles = iter(found.bundles(full) if full and self.languages else ())
+            for k, c in enumerate(counted):
+                if c is None or not self.languages:
+                    out.append(("und", 0.0, c is not None, 0 if c is None else len(c[0]), None))
+                    continue
+                bundle = next(bundles)
+                norm = np.linalg.norm(bundle) or 1.0
+                cosines = self.vectors @ bundle / norm
+                best = int(np.argmax(cosines))  # ties: the first label by code point
+                own = row.get(labels[i + k]) if labels is not None else None
+                clean = None if own is None else self._without(cosines, own, norm)
+                out.append((self.languages[best], float(min(1.0, max(0.0, cosines[best]))), True, len(c[0]), clean))
+        return out
+
+    def _without(self, cosines: np.ndarray, own: int, norm: float) -> float | None:
+        dot = cosines[own] * norm * self.norms[own]
+        rest = self.norms[own] ** 2 - 2 * dot + norm**2
+        if rest < 0.5:  # sums are whole numbers
+            return None
+        return float(max((dot - norm**2) / np.sqrt(rest) / norm, *np.delete(cosines, own), -1.0))
 
 
 def learn_profiles(
@@ -123,14 +176,34 @@ def learn_profiles(
     settings = (dimensions, gram, seed)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        per: dict[str, np.ndarray] = {}
+        # n-grams are counted per label first: bundling is a sum, so each is multiplied once.
+        per: dict[str, list] = {}
+        pending = 0
+
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            keys, of = np.unique(np.concatenate([k for k, _ in per[lang]]), return_inverse=True)
+            counts = np.bincount(of, weights=np.concatenate([c for _, c in per[lang]]))
+            return keys, counts.astype(np.int64)
+
+        def bundled() -> Iterator[pd.DataFrame]:
+            for lang in per:
+                vector = space(*settings).bundles([merged(lang)])[0]
+                yield pd.DataFrame({"lang": lang, "dim": np.arange(dimensions), "value": vector})
+
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                bundle = space(*settings).profile(text)
-                if bundle is not None:
-                    per[lang] = per.get(lang, 0) + bundle
-        for lang, vector in per.items():
-            yield pd.DataFrame({"lang": lang, "dim": np.arange(dimensions), "value": vector})
+                counted = space(*settings).counted(text)
+                if counted is None:
+                    continue
+                per.setdefault(lang, []).append(counted)
+                pending += len(counted[0])
+                if pending > _PENDING:
+                    per = {lang: [merged(lang)] for lang in per}
+                    pending = sum(len(c[0][0]) for c in per.values())
+                    if pending > _PENDING // 2:
+                        yield from bundled()
+                        per, pending = {}, 0
+        yield from bundled()
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
@@ -147,18 +220,50 @@ def learn_profiles(
     return LanguageProfiles(languages, vectors, settings)
 
 
-def identify(docs: DataFrame, profiles: LanguageProfiles, text: str | Column = "text") -> Column:
+def identify(
+    docs: DataFrame, profiles: LanguageProfiles, text: str | Column = "text", label: str | Column | None = None
+) -> Column:
     """A column of struct<lang_pred string, score double, has_letter boolean> of a text.
 
     ``lang_pred`` is ``und`` with score 0 for a text that is null or has no letter, and for every
     text if nothing was learned. Whole texts are compared; ties go to the first label. The text is
-    the only input.
+    the only input, unless a ``label`` is given: then n_grams and clean_score are added (see
+    ``LanguageProfiles.predict_all``), which ``limits`` needs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    names = ["lang_pred", "score", "has_letter"]
+    if label is None:
+
+        @F.pandas_udf("lang_pred string, score double, has_letter boolean")
+        def predicted(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([found[:3] for found in shared.value.predict_all(texts.tolist())], columns=names)
+
+        return predicted(text)
+
+    @F.pandas_udf("lang_pred string, score double, has_letter boolean, n_grams int, clean_score double")
+    def with_clean(texts: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        found = shared.value.predict_all(texts.tolist(), labels.tolist())
+        return pd.DataFrame(found, columns=[*names, "n_grams", "clean_score"])
 
-    @F.pandas_udf("lang_pred string, score double, has_letter boolean")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        out = [shared.value.predict(t) for t in texts]
-        return pd.DataFrame(out, columns=["lang_pred", "score", "has_letter"])
+    return with_clean(text, label)
 
-    return predicted(text)
+
+def _band(n_grams: Column) -> Column:
+    return F.floor(F.log2(F.greatest(n_grams, F.lit(1)))).cast("int")
+
+
+def limits(found: DataFrame, column: str, dimensions: int) -> Column:
+    """The least score of a text in a learned language, by the number of its distinct n-grams.
+
+    ``found`` has what ``identify`` tells of labelled texts as ``column``. Texts are alike in length if
+    their numbers of n-grams have the same power of two. Their limit is ``SHARE`` of the clean
+    score that all but ``LOW`` of them reach, of the next shorter ones if there are none, and
+    never within ``CHANCE`` standard deviations of what chance gives.
+    """
+    clean = found.where(F.col(column)["clean_score"].isNotNull()).groupBy(_band(F.col(column)["n_grams"]).alias("band"))
+    rows = clean.agg(F.percentile_approx(F.col(column)["clean_score"], F.lit(LOW), F.lit(1000)).alias("low")).collect()
+    out = least = F.lit(CHANCE / dimensions**0.5)
+    for r in sorted(rows, key=lambda r: r["band"]):
+        limit = F.greatest(least, F.lit(SHARE * r["low"]))
+        out = F.when(_band(F.col(column)["n_grams"]) >= r["band"], limit).otherwise(out)
+    return out

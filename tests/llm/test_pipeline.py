@@ -75,3 +75,19 @@ def test_stages_take_odd_rows(spark, sf_dir):
                 assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         if not some:
             assert docs.count() == 0
+
+
+def test_language_drops_foreign_texts_and_keeps_short_ones(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    foreign = [
+        "Съешь ещё этих мягких французских булок да выпей же чаю. Москва является столицей России.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+        "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel "
+        "bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+        "すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    ]
+    short = ["Von.", "That it.", "Erinst resh.", "Des enberge die enver.", "Pachque çaneux et."]
+    planted = [(10**9 + k, t, None, "planted", len(t)) for k, t in enumerate([*foreign, *short])]
+    got = dict(corpus_pipeline.STAGES)["language"](spark, docs.union(spark.createDataFrame(planted, docs.schema)), sf_dir)
+    assert sorted(r["text"] for r in got.where("source = 'planted'").collect()) == sorted(short)
