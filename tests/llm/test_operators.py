@@ -2,11 +2,13 @@
 
 import json
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from kadence.llm import repeats, substring_dedup, suffix_dedup
 from kadence.llm.components import connected_components
 from kadence.llm.exact_dedup import exact_duplicates
 from kadence.llm.language import identify, learn_profiles
@@ -324,3 +326,33 @@ def test_tokenizer_rules_are_checked(tmp_path):
     path.write_text(json.dumps(data))
     with pytest.raises(ValueError):
         MergeCounter(str(path))
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
+def test_short_line_of_many_documents_is_spread(spark, monkeypatch, module):
+    rng = random.Random(11)
+    some = lambda k: " ".join(f"{rng.randrange(10**7):07d}" for _ in range(k))
+    line = "all rights are reserved to them"
+    texts = [f"{some(9)} {line} {some(9)}" for _ in range(1500)]
+    # What stands around the line is whole copied in a few, within a block and across blocks.
+    texts += [f"{some(3)} {t[40:150]} {some(rng.randrange(9))}" for t in texts[:40] for _ in range(2)]
+    docs = list(enumerate(texts))
+
+    def guarded(docs, rule, *args):
+        def judge(contents, numbers, rows):
+            assert len(rows) < 700, "too much in one task"
+            return rule.judge(contents, numbers, rows)
+
+        return repeats.repeated_windows(docs, replace(rule, judge=judge), *args, block_bytes=2_000)
+
+    monkeypatch.setattr(repeats, "HOT_STRETCHES", 100, raising=False)
+    monkeypatch.setattr(module, "repeated_windows", guarded)
+    df = frame(spark, [(i, t, None, None) for i, t in docs])
+    if module is suffix_dedup:
+        got = drop_earlier_copies(df, length=40, gram=16).collect()
+        mine = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got}
+        assert mine == brute.earlier_copies(docs, 40)
+    else:
+        got = drop_repeated_passages(df, window=9, gram=4).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute.passages(docs, 9)
+    assert sum(r["n_removed"] > 0 for r in got) >= 40
