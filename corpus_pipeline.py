@@ -25,10 +25,19 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, null meeting null; all columns stay as they are."""
-    chosen = ids.select(F.col("doc_id").alias("_chosen"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_chosen"]), "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key of its own for each row, and the key's name.
+
+    Decisions are joined back by it, so rows that repeat an id or have none are told apart.
+    """
+    row = _free(docs, "_row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _chosen(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is in ``rows``, without the key; all other columns stay as they are."""
+    chosen = rows.select(F.col(row).alias("_chosen"))
+    return docs.join(chosen, docs[row] == chosen["_chosen"], "left_semi").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,27 +59,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the one with the largest id; rows that repeat an id go or stay together."""
-    return _chosen(docs, exact_duplicates(docs).where("kept"))
+    """Of equal texts, keep the one with the largest id, one row of it; a row without id only if none has one."""
+    docs, row = _keyed(docs)
+    key = _free(docs, "_key")
+    # Null ids come first in the order of structs.
+    found = exact_duplicates(docs.withColumn(key, F.struct("doc_id", row)), id_col=key)
+    return _chosen(docs, row, found.where("kept").select(F.col(key)[row].alias(row)))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, keep the one with the smallest id."""
+    """Of each group of similar documents, keep the one with the smallest id; one without id only if none has one."""
     shipped(spark)
-    groups = jaccard_groups(docs)
-    return _chosen(docs, groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    docs, row = _keyed(docs)
+    groups = jaccard_groups(docs, id_col=row).select(F.col(row).alias("_member"), "component_id")
+    places = docs.select("doc_id", F.col(row).alias("row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = places.join(groups, F.col("row") == F.col("_member")).groupBy("component_id").agg(F.min(order).alias("first"))
+    return _chosen(docs, row, first.select(F.col("first")["row"].alias(row)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix says: it is left out or repeated as whole rows.
-
-    Rows that repeat an id are taken equally often, the most that one of them is.
-    """
-    copies = mix_to_targets(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    copies = copies.where("_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    each = F.explode(F.sequence(F.lit(1), copies["_copies"].cast("int"))).alias("_copy")
-    return taken.select(*(docs[c] for c in docs.columns), each).select(docs.columns)
+    """Take each row as often as the mix says: it is left out or repeated as a whole."""
+    docs, row = _keyed(docs)
+    copies = mix_to_targets(docs, id_col=row, order_col="doc_id")
+    copies = copies.where("copies > 0").select(F.col(row).alias("_id"), F.col("copies").cast("int").alias("_copies"))
+    taken = docs.join(copies, docs[row] == copies["_id"])
+    each = F.explode(F.sequence(F.lit(1), copies["_copies"])).alias("_copy")
+    return taken.select(*(docs[c] for c in docs.columns), each).select([c for c in docs.columns if c != row])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

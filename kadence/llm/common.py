@@ -76,10 +76,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_rank(df: DataFrame, keys: list[str], order: str, rows_per_task: int = 512) -> DataFrame:
+def with_rank(
+    df: DataFrame, keys: list[str], order: str, rows_per_task: int = 512, spread: Column | None = None
+) -> DataFrame:
     """Add ``rank``: 0, 1, ... within equal ``keys``; hot keys are numbered in many tasks.
 
-    A key is cut into cells of about ``rows_per_task`` rows by a hash of ``order``. Cells are
+    A key is cut into cells of about ``rows_per_task`` rows by ``spread``, a hash of ``order``. Cells are
     counted (combined before the shuffle) and their counts summed up within the key; a row's
     rank is the sum before its cell plus its number inside. Rows that are equal in ``order``
     share a cell; the numbers among them are exchangeable. Keys may be null.
@@ -88,7 +90,7 @@ def with_rank(df: DataFrame, keys: list[str], order: str, rows_per_task: int = 5
 
     sized = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_task).alias("_cells"))
     celled = _join(df, sized, keys).withColumn(
-        "_cell", F.pmod(F.xxhash64(F.col(order)), F.col("_cells"))
+        "_cell", F.pmod(F.xxhash64(F.col(order)) if spread is None else spread, F.col("_cells"))
     )
     counts = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

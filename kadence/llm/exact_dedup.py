@@ -67,7 +67,7 @@ def exact_duplicates(
         .where("g_size > 1")
     )
     # Rows that are alone by their length or prefix have no hash; null keys would meet in one task.
-    key = F.coalesce(F.col("full"), F.concat_ws(" ", F.lit("alone"), F.col("id")))
+    key = F.coalesce(F.col("full"), F.concat_ws(" ", F.lit("alone"), F.col("id").cast("string")))
     alone = F.col("g_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("g_keep"))
     return rows.join(groups, key == F.col("g_full"), "left").select(

@@ -192,6 +192,7 @@ def mix_to_targets(
     source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: ``id_col``, source, size, source_size, target, rate, copies, taken.
 
@@ -199,7 +200,8 @@ def mix_to_targets(
     document of a source is taken ``copies`` times, 0 to ``most``: its exponentially tilted rate,
     rounded so that the words taken from a source meet its target as closely as whole documents
     allow. Within one source and size, the copies that do not come out even go to the first
-    documents in the order of a hash of the id, so reruns agree.
+    documents in the order of a hash of the id, so reruns agree. With ``order_col``, its values give
+    that order; the id decides for those that are equal or null.
 
     A null text has size 0 and is taken once in ``copies`` terms of rate 1, which adds no words;
     a null source is a source of its own, the last one. Repeated rows and equal ids count as
@@ -207,7 +209,8 @@ def mix_to_targets(
     """
     sized = checkpointed(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            *([F.struct(F.col(order_col).alias("by"), F.col(id_col).alias("id")).alias("order")] if order_col else []),
         )
     )
     classes = checkpointed(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -216,7 +219,11 @@ def mix_to_targets(
     rated = balanced_rates(classes, targets, most)
     whole = rounded_copies(rated, targets, most)
     whole = _meet(whole, targets.select("source", "source_size", "target"))
-    ranked = with_rank(sized, ["source", "size"], "id")
+    if order_col:
+        by = F.when(F.col("order")["by"].isNull(), F.xxhash64("id")).otherwise(F.xxhash64(F.col("order")["by"]))
+        ranked = with_rank(sized, ["source", "size"], "order", spread=by)
+    else:
+        ranked = with_rank(sized, ["source", "size"], "id")
     mixed = ranked.join(
         whole.withColumnsRenamed({"source": "_source", "size": "_size"}),
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")),

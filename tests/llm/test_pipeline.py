@@ -91,3 +91,28 @@ def test_language_drops_foreign_texts_and_keeps_short_ones(spark, sf_dir):
     planted = [(10**9 + k, t, None, "planted", len(t)) for k, t in enumerate([*foreign, *short])]
     got = dict(corpus_pipeline.STAGES)["language"](spark, docs.union(spark.createDataFrame(planted, docs.schema)), sf_dir)
     assert sorted(r["text"] for r in got.where("source = 'planted'").collect()) == sorted(short)
+
+
+def test_rows_without_id_or_with_the_same_are_told_apart(spark, sf_dir):
+    stages = dict(corpus_pipeline.STAGES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def run(name, rows):
+        docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+        return [(r["doc_id"], r["text"], r["source"]) for r in stages[name](spark, docs, sf_dir).collect()]
+
+    rows = [(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (None, "C"), (7, "D"), (7, "D"), (None, "E")]
+    got = run("exact_dedup", [(*r, "s") for r in rows])
+    assert sorted((r[:2] for r in got), key=repr) == sorted([(9, "A"), (5, "B"), (None, "C"), (7, "D"), (None, "E")], key=repr)
+
+    near = lambda w, k: " ".join([*(f"{w}{i}" for i in range(80)), f"end{k}"])
+    rows = [(None, near("a", 1)), (4, near("a", 2)), (6, near("a", 3)), (None, near("b", 1)), (None, near("b", 2)), (8, near("c", 1)), (8, near("c", 2)), (8, near("d", 1))]
+    got = run("ngram_join", [(*r, "s") for r in rows])
+    assert sorted((repr(i), t[0]) for i, t, _ in got) == [("4", "a"), ("8", "c"), ("8", "d"), ("None", "b")]
+
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(None if k % 3 == 0 else k // 2, words(5 + k * 7 % 36), "ab"[k % 2]) for k in range(600)]
+    got = run("mixing", rows)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    for source, share in (("a", 1 / 3), ("b", 2 / 3)):
+        assert sum(len(t.split()) for _, t, s in got if s == source) == pytest.approx(share * total, rel=0.01)
