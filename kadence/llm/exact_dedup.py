@@ -25,9 +25,9 @@ def exact_duplicates(
     moves keys, never texts. Of equal texts the largest id stays.
 
     ``digests="surviving"`` reads full content only for groups of more than one row after two
-    levels (text_sha256 is null elsewhere), as long as there are at most ``MAX_KEYS`` of them to
-    send to all executors; beyond that, or with ``"all"``, every row is hashed where it is read,
-    which costs less than moving texts.
+    levels, as long as there are at most ``MAX_KEYS`` of them to send to all executors; beyond
+    that, or with ``"all"``, every row is hashed where it is read, which costs less than moving
+    texts. With ``"surviving"`` text_sha256 is null outside these groups, at every size.
 
     A null text counts as empty. Null ids take part: they never stay when another id of the group
     is there, and keep_id is null if there is none. Rows that repeat an id with the same text share
@@ -60,6 +60,8 @@ def exact_duplicates(
             heads, ["size", "head"], "left"
         )
         rows = rows.withColumn("shared", F.coalesce("shared", F.lit(False)))
+        if digests == "surviving":
+            rows = rows.withColumn("full", F.when(F.col("shared"), F.col("full")))
     groups = (
         rows.where("shared")
         .groupBy(F.col("full").alias("g_full"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from kadence.llm import repeats, substring_dedup, suffix_dedup
+from kadence.llm import exact_dedup, repeats, substring_dedup, suffix_dedup
 from kadence.llm.components import connected_components
 from kadence.llm.exact_dedup import exact_duplicates
 from kadence.llm.language import identify, learn_profiles
@@ -356,3 +356,10 @@ def test_short_line_of_many_documents_is_spread(spark, monkeypatch, module):
         got = drop_repeated_passages(df, window=9, gram=4).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute.passages(docs, 9)
     assert sum(r["n_removed"] > 0 for r in got) >= 40
+
+
+def test_digests_are_alike_at_every_size(spark, monkeypatch):
+    df = frame(spark, odd_rows())
+    few = sorted(map(repr, exact_duplicates(df).collect()))
+    monkeypatch.setattr(exact_dedup, "MAX_KEYS", 0)
+    assert sorted(map(repr, exact_duplicates(df).collect())) == few
