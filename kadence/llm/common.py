@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kadence.workspace import checkpointed, work_dir
 
-__all__ = ["WORD", "Memo", "checkpointed", "shipped", "stored", "table", "with_rank", "word_count"]
+__all__ = ["WORD", "Memo", "checkpointed", "positions", "shipped", "stored", "table", "with_rank", "word_count"]
 
 #: A word: whatever stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +76,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def positions(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``range`` and ``pos``: 0, 1, ... along ``order`` within equal ``keys``; and the runs.
+
+    Rows are dealt by ranges of all these columns, sorted and written, so a hot key is many ranges and no task
+    holds more than its own. A run is what a range holds of a key (``range``, keys, ``size``, ``n`` of
+    the key): there are about as many as ranges and keys. Ascending, nulls first.
+    """
+    from pyspark.sql import Window
+
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    rows = stored(
+        df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    ).withColumn("range", F.shiftright("_row", 33))
+    runs = rows.groupBy("range", *keys).agg(F.min("_row").alias("_first"), F.count("*").alias("size"))
+    same = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = same.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns(
+        {"_before": F.coalesce(F.sum("size").over(before), F.lit(0)), "n": F.sum("size").over(same)}
+    )
+    runs = stored(runs)
+    ranked = _join(rows, runs.select("range", *keys, "_first", "_before", "n"), ["range", *keys])
+    ranked = ranked.withColumn("pos", F.col("_row") - F.col("_first") + F.col("_before"))
+    return ranked.drop("_row", "_first", "_before"), runs.drop("_first", "_before")
+
+
 def with_rank(
     df: DataFrame, keys: list[str], order: str, rows_per_task: int = 512, spread: Column | None = None
 ) -> DataFrame:

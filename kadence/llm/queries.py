@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_duplicates
 from .language import identify, learn_profiles
+from .merkle import digest, folded, manifest
 from .mixing import mix_to_targets
 from .ngram_join import jaccard_groups
 from .packing import pack_documents
@@ -91,6 +92,83 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a DuckDB text: bit by bit, as DuckDB has none."""
+    octets = (
+        f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: "
+        f"cast('0x' || substr(hex(encode({text})), 2 * i + 1, 2) as bigint))"
+    )
+    bit = "lambda c, j: xor(c >> 1, 3988292384 * (c & 1))"
+    byte = f"lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), {byte}), 4294967295)"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    # A decimal, as one more than the largest long is no long.
+    more = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    claimed = digest(*fields[:3], more, fields[4])
+    proofs = manifest(docs, digest(*fields), "lang", "doc_id", claimed=claimed)
+    siblings = F.array_join("proof", "")
+    found = proofs.select(
+        "doc_id", F.col("hash").alias("leaf"), "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
+        folded(F.col("claimed")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+
+# Levels hold all nodes of all trees; the trees' roots are the leaves of the tree named by a null ``top``.
+OP11_SQL = f"""
+with recursive docs as (
+  select *, {_crc32_sql("cast(doc_id as varchar)")} % 7 = 0 as tampered from documents
+), leaves as (
+  select doc_id, lang,
+         sha256({" || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) as leaf,
+         sha256({" || ".join(_framed(c) for c in ("doc_id", "source", "lang", "(n_chars + tampered::int)", "text"))}) as claimed
+  from docs
+), placed as (
+  select doc_id, leaf, coalesce(claimed, leaf) as claimed, dense_rank() over (order by lang nulls first) - 1 as tree,
+         row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos
+  from leaves
+), below as (
+  select tree, 0 as level, pos, leaf as hash, count(*) over (partition by tree) as n from placed
+  union all
+  select tree, level + 1, pos // 2, sha256(string_agg(hash, '' order by pos)), any_value((n + 1) // 2)
+  from below where n > 1 group by tree, level, pos // 2
+), subroots as (select tree, level as depth, hash from below where n = 1),
+above as (
+  select 0 as level, tree as pos, hash, count(*) over () as n from subroots
+  union all
+  select level + 1, pos // 2, sha256(string_agg(hash, '' order by pos)), any_value((n + 1) // 2)
+  from above where n > 1 group by level, pos // 2
+), nodes as (
+  select tree, level, pos, hash, n from below
+  union all
+  -- Levels of the tree of trees follow those of each tree.
+  select s.tree, s.depth + a.level, a.pos, a.hash, a.n from above a, subroots s where a.level > 0 or a.n > 1
+), folds as (
+  select doc_id, tree, pos as leaf_pos, leaf, 0 as level, pos, claimed as hash, '' as proof from placed
+  union all
+  select f.doc_id, f.tree, f.leaf_pos, f.leaf, f.level + 1, case when f.level + 1 = s.depth then f.tree else f.pos // 2 end,
+         sha256(case when f.pos % 2 = 1 then coalesce(b.hash, '') || f.hash else f.hash || coalesce(b.hash, '') end),
+         f.proof || coalesce(b.hash, '')
+  from folds f join subroots s on s.tree = f.tree
+  left join nodes b on b.tree = f.tree and b.level = f.level and b.pos = xor(f.pos, 1) and b.n > 1
+  where f.level < s.depth + (select max(level) from above)
+)
+select f.doc_id, f.leaf, s.hash as subroot, r.hash as root, sha256(f.proof) as proof_sha256,
+       f.hash as folded_root, f.hash = r.hash as verified
+from folds f join subroots s on s.tree = f.tree, (select hash, level from above where n = 1) r
+where f.level = s.depth + r.level
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -102,5 +180,6 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
