@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .importance import resample
 from .language import identify, learn_profiles
 from .merkle import digest, folded, manifest
 from .mixing import mix_to_targets
@@ -169,6 +170,53 @@ where f.level = s.depth + r.level
 """
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_PLAIN_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+OP12_SQL = f"""
+with texts as (
+  select doc_id, {_PLAIN_WORDS} as words from documents
+), wanted as (
+  select unnest({_PLAIN_WORDS}) as word from benchmark
+), held as (
+  select doc_id, unnest(words) as word from texts
+), hashed as (
+  select word, {_crc32_sql("word")} % 10000 as bucket from (select word from held union select word from wanted)
+), source as (
+  select bucket, count(*) as n from held join hashed using (word) group by bucket
+), target as (
+  select bucket, count(*) as n from wanted join hashed using (word) group by bucket
+), totals as (
+  select (select count(*) from held)::double as s, (select count(*) from wanted)::double as t
+), gains as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1::double) * (totals.s + 10000)
+                                 / ((coalesce(s.n, 0) + 1::double) * (totals.t + 10000))))::bigint as gain
+  from (select distinct bucket from hashed) left join source s using (bucket) left join target t using (bucket), totals
+), weights as (
+  select doc_id, sum(gain)::bigint as weight from held join hashed using (word) join gains using (bucket) group by doc_id
+), scored as (
+  select doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight,
+         cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) as h
+  from texts left join weights using (doc_id)
+), drawn as (
+  select doc_id, n_features, weight,
+         weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score
+  from scored
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+  from drawn where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when place <= (10 * n) // 100 then place end as rank
+from drawn left join ranked using (doc_id)
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -181,5 +229,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
+    "op12_importance": op12_importance,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL, "op12_importance": OP12_SQL}
