@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_duplicates
 from .importance import resample
 from .language import identify, learn_profiles
+from .licences import PHRASES, SHIPPED, scan_licences
 from .merkle import digest, folded, manifest
 from .mixing import mix_to_targets
 from .ngram_join import jaccard_groups
@@ -217,6 +218,65 @@ from drawn left join ranked using (doc_id)
 """
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+
+
+OP13_SQL = f"""
+with texts as (
+  select doc_id, {_PLAIN_WORDS} as words from documents
+), held as (
+  select doc_id, unnest(words) as word, generate_subscripts(words, 1) - 1 as spot from texts
+), phrases(phrase, label, size, p, word) as (
+  values {_values((i, label, len(t.split()), p, w) for i, (t, label) in enumerate(PHRASES.items()) for p, w in enumerate(t.split()))}
+), templates(t, label, size, p, word, must) as (
+  values {_values((i, t.label, len(t.words), p, w, p in t.must) for i, t in enumerate(SHIPPED) for p, w in enumerate(t.words))}
+), base as (
+  select doc_id, label, spot - p as start from held join phrases using (word)
+  group by doc_id, phrase, label, size, spot - p having count(*) = size
+), held_by as (
+  select word, count(distinct doc_id) as n from held group by word
+), ranked as (
+  select doc_id, t, word, row_number() over (partition by doc_id, t order by n, word) as place
+  from (select distinct doc_id, t, word from held join templates using (word)) join held_by using (word)
+), starts as (
+  select distinct r.doc_id, r.t, r.word, h.spot - m.p as start
+  from ranked r join held h on h.doc_id = r.doc_id and h.word = r.word join templates m on m.t = r.t and m.word = r.word
+  where r.place <= 3
+), agreed as (
+  select doc_id, t, start from starts group by doc_id, t, start having count(*) >= 2
+), aligned as (
+  select a.doc_id, m.label, count(h.word) / m.size as share
+  from agreed a join templates m on m.t = a.t
+  left join held h on h.doc_id = a.doc_id and h.spot = a.start + m.p and h.word = m.word
+  group by a.doc_id, a.t, a.start, m.label, m.size having bool_and(h.word is not null or not m.must)
+), added as (
+  select * from aligned where share >= 0.8
+), by_base as (
+  select doc_id, count(*) as n_base, min(start) as first_word, max(start) as last_word,
+         string_agg(distinct label, ',' order by label) as base_labels
+  from base group by doc_id
+), by_all as (
+  select doc_id, string_agg(distinct label, ',' order by label) as labels
+  from (select doc_id, label from base union all select doc_id, label from added) group by doc_id
+), by_share as (select doc_id, max(share) as share from added group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(share, 0) end as score
+from texts left join by_base using (doc_id) left join by_all using (doc_id) left join by_share using (doc_id)
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -230,5 +290,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
     "op12_importance": op12_importance,
+    "op13_licences": op13_licences,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL, "op12_importance": OP12_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL, "op12_importance": OP12_SQL, "op13_licences": OP13_SQL}
