@@ -95,7 +95,12 @@ def annual_bonus(
 
     Incomes meet the already summed rows, a few per employee, so no key of that join is hot.
     """
-    summed = enrich_income(eligible_days(silver, as_of_year), incomes)
+    return bonus_of_days(eligible_days(silver, as_of_year), incomes, rules)
+
+
+def bonus_of_days(days: DataFrame, incomes: DataFrame, rules: Rules) -> DataFrame:
+    """The bonus from days per employee, year and flag."""
+    summed = enrich_income(days, incomes)
     ratio = percentage(F.col("duree"), days_in_year(F.col("annee")))
     return summed.withColumn("ratio_jours", ratio).select(
         "id_salarie",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +32,67 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; a missing folder is empty."""
+    fs, where, _ = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def read_batches(
-    spark: SparkSession, path: str, schema: T.StructType, since: int = 0
+    spark: SparkSession, path: str, schema: T.StructType, since: int = 0, *, keep_epoch: bool = False
 ) -> DataFrame:
-    """Epochs of an appended table from ``since`` on; a missing table is an empty one."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
+    """Epochs of an appended table from ``since`` on; a missing table is an empty one.
+
+    Closed epochs may have been compacted (``sinks.compaction``): folders wholly before ``since`` are
+    not listed any further.
+    """
     full = T.StructType([*schema.fields, T.StructField(EPOCH, T.LongType())])
-    rows = spark.read.schema(full).parquet(path)
-    return (rows.filter(F.col(EPOCH) >= since) if since else rows).drop(EPOCH)
+    found = [u for u in units(spark, path) if u.last >= since]
+    if not found:
+        return spark.createDataFrame([], full if keep_epoch else schema)
+    parts = []
+    if single := [u.folder for u in found if not u.level]:
+        parts.append(spark.read.schema(full).option("basePath", path).parquet(*single))
+    if spans := [u.folder for u in found if u.level]:
+        parts.append(spark.read.schema(full).parquet(*spans))
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = rows.filter(F.col(EPOCH) >= since) if since else rows
+    return rows if keep_epoch else rows.drop(EPOCH)
+
+
+class Unit(NamedTuple):
+    """A folder of an appended table: one epoch (level 0), or a span of compacted ones."""
+
+    first: int
+    last: int
+    level: int
+    folder: str
+
+
+SPANS = "_spans"
+
+
+def units(spark: SparkSession, path: str, *, covered: bool = False) -> list[Unit]:
+    """Folders that hold the table, in order of their epochs; with ``covered`` those that do not count any more.
+
+    A span counts once it is complete, and what it covers then does not.
+    """
+    found = []
+    for name in names_in(spark, path):
+        if name.startswith(f"{EPOCH}="):
+            epoch = int(name.split("=")[1])
+            found.append(Unit(epoch, epoch, 0, f"{path}/{name}"))
+    for name in names_in(spark, f"{path}/{SPANS}"):
+        folder = f"{path}/{SPANS}/{name}"
+        if exists(spark, f"{folder}/_SUCCESS"):
+            level, first, last = map(int, name.split("-"))
+            found.append(Unit(first, last, level, folder))
+    current, hidden, reach = [], [], -1
+    # Of units that start together the widest comes first; spans nest, as they are made of whole units.
+    for unit in sorted(found, key=lambda u: (u.first, -u.last, -u.level)):
+        (current if unit.last > reach else hidden).append(unit)
+        reach = max(reach, unit.last)
+    return hidden if covered else current
 
 
 def is_non_empty(df: DataFrame) -> bool:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from kadence.sinks.tables import append_batch, exists
+from kadence.sinks.compaction import FAN, compact
+from kadence.sinks.kept import KeptTable
+from kadence.sinks.tables import append_batch, exists, names_in, read_batches
+from kadence.streaming.consumed import BUCKETS, SOURCE, consumed_table, unseen, with_offsets
 
 log = logging.getLogger(__name__)
 
@@ -19,6 +24,8 @@ COUNTS = T.StructType(
 ERRORS = T.StructType(
     [T.StructField("batch_id", T.StringType()), T.StructField("error", T.StringType())]
 )
+#: Pieces of a rejected batch that may fail one after the other before the rest is rejected as it is.
+PATIENCE = 16
 
 
 class BatchWriter:
@@ -28,6 +35,7 @@ class BatchWriter:
         self.root, self.epoch_id = root, epoch_id
         self.counts: dict[str, Observation] = {}
         self.started: dict[str, T.StructType] = {}
+        self.kept: list[KeptTable] = []
 
     def write(self, dataset: str, df: DataFrame) -> None:
         seen = Observation()
@@ -36,6 +44,15 @@ class BatchWriter:
         append_batch(counted, f"{self.root}/{dataset}", self.epoch_id)
         self.counts[dataset] = seen
 
+    def keep(self, table: KeptTable, df: DataFrame, touched: list[int], note: object = None) -> None:
+        """Replace buckets of a kept table, as of this batch."""
+        self.kept.append(table)
+        table.replace(df, touched, self.epoch_id, note)
+
+    def then(self, act: Callable[[], None]) -> None:
+        """Do what follows from a stored batch, such as refreshing a product."""
+        act()
+
     def write_counts(self, df: DataFrame) -> None:
         """Rows per written table, counted while they were written."""
         rows = [(d, int(seen.get["rows"])) for d, seen in self.counts.items()]
@@ -47,6 +64,21 @@ class BatchWriter:
         for dataset, schema in self.started.items():
             empty = df.sparkSession.createDataFrame([], schema)
             append_batch(empty, f"{self.root}/{dataset}", self.epoch_id)
+        for table in self.kept:
+            table.take_back(df.sparkSession, self.epoch_id)
+
+
+class Probe(BatchWriter):
+    """Computes what a batch would write, and writes nothing."""
+
+    def write(self, dataset: str, df: DataFrame) -> None:
+        df.write.format("noop").mode("overwrite").save()
+
+    def keep(self, table: KeptTable, df: DataFrame, touched: list[int], note: object = None) -> None:
+        pass
+
+    def then(self, act: Callable[[], None]) -> None:
+        pass
 
 
 def claim(spark: SparkSession, root: str) -> None:
@@ -67,40 +99,169 @@ class Rejected(Exception):
     """Raised by work on a batch that will fail again however often it is tried."""
 
 
-def guarded(root: str, work: Callable[[DataFrame, BatchWriter], None]):
+Work = Callable[[DataFrame, BatchWriter], None]
+#: Offsets of a topic partition, both ends included.
+Span = tuple[str, int, int, int]
+
+
+def guarded(root: str, work: Work, *, once: bool = True, compact_fan: int | None = FAN):
     """A ``foreachBatch`` function that stores a batch, or stops the query before its offsets count.
 
-    A batch that is ``Rejected`` goes to the dead letters with the reason, what it wrote is taken
-    back, and the stream goes on. Any other failure, also of the dead letters themselves, is
-    raised: Spark does not commit the offsets, and a restart delivers the batch again.
+    With ``once`` messages whose offsets were taken by an earlier batch are left out. If a batch is
+    ``Rejected``, the messages to blame are found by halving its offsets and go to the dead letters, each
+    with its reason, what the batch wrote is taken back, and the rest is worked on as if it had come alone.
+    Any other failure, also of the dead letters themselves, is raised: Spark does not commit the
+    offsets, and a restart delivers the batch again. Tables of earlier epochs are compacted by
+    ``compact_fan`` folders; None leaves them as they are.
     """
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        writer = BatchWriter(root, epoch_id)
-        claim(batch.sparkSession, root)
+        spark = batch.sparkSession
+        claim(spark, root)
         if batch.isEmpty():
             return
+        if compact_fan:
+            # What has an epoch is appended; earlier epochs are committed and will not come again.
+            if epoch_id % compact_fan == 0:
+                for dataset in appended(spark, root):
+                    compact(spark, f"{root}/{dataset}", epoch_id, fan=compact_fan)
+        taken = consumed_table(root)
+        earlier = taken.rows(spark, before=epoch_id) if once else None
+        fresh = unseen(batch, earlier) if once else batch
+        if fresh is not batch and fresh.isEmpty():
+            return
+        writer = BatchWriter(root, epoch_id)
+
+        def store(part: DataFrame) -> None:
+            work(part, writer)
+            if once:
+                writer.keep(taken, with_offsets(earlier, part), list(range(BUCKETS)))
+            writer.write_counts(batch)
+
         try:
-            work(batch, writer)
+            store(fresh)
         except Rejected as error:
             log.exception("batch %s is rejected", epoch_id)
             writer.take_back(batch)
-            dead_letter(batch, f"{root}/dead_letter", epoch_id, str(error))
-            return
-        writer.write_counts(batch)
+            bad = blamed(fresh, lambda part: work(part, Probe(root, epoch_id)), str(error))
+            if bad:
+                letters = [fresh.where(_inside([span])).withColumn("error", F.lit(why)) for span, why in bad]
+                dead_letter(reduce(DataFrame.unionByName, letters), f"{root}/dead_letter", epoch_id)
+            rest = fresh.where(~_inside([span for span, _ in bad]))
+            writer = BatchWriter(root, epoch_id)
+            if not rest.isEmpty():
+                try:
+                    store(rest)
+                except Rejected as again:
+                    # Messages that pass piece by piece and fail together.
+                    writer.take_back(batch)
+                    together = fresh.withColumn("error", F.lit(str(again)))
+                    dead_letter(together, f"{root}/dead_letter", epoch_id)
 
     return process
 
 
-def dead_letter(df: DataFrame, path: str, epoch_id: int, error: str) -> None:
-    """Keep messages that could not be processed, with the reason."""
-    reason = F.lit(error)
-    append_batch(
-        df.select("value", "topic", "partition", "offset", reason.alias("error")), path, epoch_id
-    )
+def appended(spark: SparkSession, root: str) -> list[str]:
+    """Names of the tables under ``root`` that grow by epochs."""
+    kept = lambda name: exists(spark, f"{root}/{name}/_index")
+    return [
+        n for n in names_in(spark, root)
+        if not n.startswith(("_", ".")) and not kept(n)
+        and any(u.startswith("epoch_id=") for u in names_in(spark, f"{root}/{n}"))
+    ]
+
+
+def _inside(spans: list[Span]) -> Column:
+    """Whether a message's position is in one of ``spans``."""
+    inside = F.lit(False)
+    for topic, partition, low, high in spans:
+        at = F.col("topic").eqNullSafe(F.lit(topic)) & F.col("partition").eqNullSafe(F.lit(partition))
+        if low is None:
+            inside |= at & F.col("offset").isNull()
+        else:
+            inside |= F.coalesce(at & F.col("offset").between(low, high), F.lit(False))
+    return inside
+
+
+def _halves(spans: list[Span]) -> list[list[Span]]:
+    if len(spans) > 1:
+        return [spans[: len(spans) // 2], spans[len(spans) // 2 :]]
+    topic, partition, low, high = spans[0]
+    middle = (low + high) // 2
+    return [[(topic, partition, low, middle)], [(topic, partition, middle + 1, high)]]
+
+
+def blamed(
+    batch: DataFrame, attempt: Callable[[DataFrame], None], reason: str, patience: int = PATIENCE
+) -> list[tuple[Span, str]]:
+    """Spans of messages that are rejected by themselves, with their reasons.
+
+    Halves the offsets of the batch (two numbers per topic partition come to the driver) and tries the
+    pieces, until a piece is one message. If ``patience`` pieces fail and none between them passes, the
+    cause is not in single messages: what has failed and not been halved is blamed as it is.
+    """
+    ranges = batch.groupBy(*SOURCE).agg(F.min("offset"), F.max("offset")).orderBy(*SOURCE)
+    waiting = [([tuple(r)], reason) for r in ranges.collect()]
+    if len(waiting) > 1:
+        waiting = [([span for spans, _ in waiting for span in spans], reason)]
+    found, failures = [], 0
+    while waiting:
+        spans, why = waiting.pop()
+        single = len(spans) == 1 and (spans[0][2] is None or spans[0][2] == spans[0][3])
+        if single or failures >= patience:
+            found += [(span, why) for span in spans]
+            continue
+        for half in _halves(spans):
+            part = batch.where(_inside(half))
+            if part.isEmpty():
+                continue
+            try:
+                attempt(part)
+                failures = 0
+            except Rejected as error:
+                waiting.append((half, str(error)))
+                failures += 1
+    return found
+
+
+def dead_letter(df: DataFrame, path: str, epoch_id: int) -> None:
+    """Keep messages that could not be processed, with the reason in ``error``."""
+    append_batch(df, path, epoch_id)
+
+
+def readmit(spark: SparkSession, root: str, topic_folder: str, schema: T.StructType) -> int:
+    """Land the dead letters of ``root`` once more, as messages of a landed topic; returns how many.
+
+    ``schema`` is the topic's. They keep their positions, which no batch has taken, so the job treats them as
+    new. A dead letter is landed once: the epoch that was reached is kept beside the letters.
+    """
+    done = f"{root}/readmitted"
+    reached = spark.read.parquet(done).agg(F.max("epoch")).first()[0] if exists(spark, done) else -1
+    letters = read_batches(spark, f"{root}/dead_letter", schema, reached + 1, keep_epoch=True)
+    newest, count = letters.agg(F.max("epoch_id"), F.count("*")).first()
+    if count:
+        letters.select(*schema.fieldNames()).write.mode("append").parquet(topic_folder)
+        spark.createDataFrame([(newest,)], "epoch bigint").coalesce(1).write.mode("append").parquet(done)
+    return count
 
 
 def gold_error_row(df: DataFrame, root: str, epoch_id: int, batch_id: str, error: str) -> None:
     """Record a failing product refresh; the stream goes on."""
     frame = df.sparkSession.createDataFrame([(batch_id, error)], ERRORS)
     append_batch(frame, f"{root}/gold_errors", epoch_id)
+
+
+class SettledQuery:
+    """A streaming query whose ``awaitTermination`` also brings its product up to date once it has ended well."""
+
+    def __init__(self, query: StreamingQuery, finish: Callable[[], object]):
+        self._query, self._finish = query, finish
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802
+        done = self._query.awaitTermination(timeout)
+        if not self._query.isActive:
+            self._finish()
+        return done
+
+    def __getattr__(self, name: str):
+        return getattr(self._query, name)

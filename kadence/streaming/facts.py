@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from kadence.operators.changes import (
     batch_offset_ranges,
@@ -19,20 +18,22 @@ from kadence.operators.changes import (
     malformed_of,
     route_fact_inserts,
 )
-from kadence.operators.gold import refresh_wellbeing, sort_gold, touched_keys
+from kadence.operators.gold import sort_gold, wellbeing_from_counts
 from kadence.operators.notify import activity_measures, build_messages, message_errors
 from kadence.operators.quality import failed_rows, shipped_suites
 from kadence.rules import Rules
 from kadence.schemas import ACTIVITY_IMAGE
+from kadence.sinks.compaction import FAN
+from kadence.sinks.kept import WIDTH, KeptTable, bucket_of
 from kadence.sinks.tables import (
     export_copy,
     notification_table,
     overwrite_table,
     read_batches,
     read_table,
+    units,
 )
-from kadence.streaming.batches import BatchWriter, gold_error_row, guarded
-from kadence.workspace import checkpointed
+from kadence.streaming.batches import BatchWriter, SettledQuery, gold_error_row, guarded
 
 # Every change of an activity: what counts is the last one of an id.
 FACT_LOG = T.StructType(
@@ -73,14 +74,6 @@ def fact_changes(decoded: DataFrame, at: Column) -> DataFrame:
     return rows.filter(F.col("image.id_evenement_sport").isNotNull()).select("op", "image.*", *ORDER)
 
 
-def touched_by(decoded: DataFrame) -> DataFrame:
-    """Employee and year pairs that the changes of a batch touch, on either side."""
-    changes = changes_of(decoded).filter(F.col("op").isin("r", "c", "u", "d"))
-    sides = F.explode(F.array_compact(F.array("before", "after"))).alias("image")
-    images = changes.select(sides).select("image.*")
-    return touched_keys(_timed(images)).filter(F.col("salarie_id").isNotNull())
-
-
 def _timed(images: DataFrame) -> DataFrame:
     return images.withColumn("date_fin_activite", F.timestamp_micros("date_fin_activite"))
 
@@ -98,6 +91,42 @@ def current_facts(log: DataFrame) -> DataFrame:
     return _timed(kept.drop("op"))
 
 
+#: Which pair an activity counts for: that of its employee and the year of its end.
+LAST = T.StructType([*FACT_LOG.fields])
+PAIRS = T.StructType([*TOUCHED.fields, T.StructField("nb_activites", T.LongType())])
+
+
+def last_table(root: str, width: int = WIDTH) -> KeptTable:
+    """The last change of each activity, deletions included, so that an older one is known to be older."""
+    return KeptTable(f"{root}/last_change", LAST, bucket_of("id_evenement_sport", width))
+
+
+def pair_table(root: str, width: int = WIDTH) -> KeptTable:
+    """Activities per employee and year."""
+    return KeptTable(f"{root}/pair_counts", PAIRS, bucket_of("salarie_id", width))
+
+
+def last_changes(log: DataFrame) -> DataFrame:
+    """The last change of each activity; changes combine before the shuffle."""
+    rest = [c for c in LAST.fieldNames() if c != "id_evenement_sport"]
+    last = log.groupBy("id_evenement_sport").agg(
+        F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("last")
+    )
+    return last.select("id_evenement_sport", "last.*").select(*LAST.fieldNames())
+
+
+def pair_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Change of activities per employee and year between two states of the same activities."""
+
+    def counted(state: DataFrame, by: int) -> DataFrame:
+        rows = _timed(state.where(F.col("op") != "d"))
+        pairs = rows.select("salarie_id", F.year("date_fin_activite").alias("annee"), F.lit(by).alias("by"))
+        return pairs.where(F.col("salarie_id").isNotNull() & F.col("annee").isNotNull())
+
+    both = counted(before, -1).unionByName(counted(after, 1))
+    return both.groupBy(*TOUCHED.fieldNames()).agg(F.sum("by").alias("by"))
+
+
 def run_fact_stream(
     stream: DataFrame,
     employees: DataFrame,
@@ -110,21 +139,28 @@ def run_fact_stream(
     refresh_every: int = 1,
     after_refresh: Callable[[DataFrame, BatchWriter, str], None] | None = None,
     dedupe_on: tuple[str, str] | None = None,
+    width: int = WIDTH,
+    compact_fan: int | None = FAN,
     trigger: dict | None = None,
     name: str = "activities",
-) -> StreamingQuery:
+) -> SettledQuery:
     """Start the job. ``root`` holds its tables; offsets live in ``checkpoint``.
 
-    Every change of an activity is logged. Inserts are notified; the product counts what is stored:
-    after every ``refresh_every`` batches the employee and year pairs that the batches touched are
-    counted anew from the last change of each id, so snapshot rows count, deleted ones stop counting
-    and messages that come again change nothing. ``after_refresh`` runs then, for instance to
-    refresh the other product. ``at`` is the time of a change, which orders the changes of an id
-    before topic, partition and offset; by default that of its batch. ``dedupe_on`` (time column,
-    span) drops messages that come again in a later batch, so that they are not notified twice.
+    Every change of an activity is logged, once: messages whose offsets an earlier batch took are left out.
+    Inserts are notified; the product counts what is stored. The last change of each activity is kept in
+    buckets (of ``width`` neighbouring ids), and so are counts per employee and year: a batch reads and rewrites the
+    buckets it touches, takes what its activities counted for before and adds what they count for now, so
+    snapshot rows count, deleted ones stop counting, and the log is not read again. After every
+    ``refresh_every`` batches the product is published from the counts, a row per employee and year; a failed,
+    skipped or rejected refresh is so made up for by the next one, and by ``awaitTermination`` of a
+    query that ends. ``after_refresh`` runs then, for instance to refresh the other product. ``at`` is the time of a
+    change, which orders the changes of an id before topic, partition and offset; by default that of its
+    batch. ``dedupe_on`` (time column, span) drops copies before they reach a batch. Tables of earlier
+    epochs are compacted by ``compact_fan`` folders.
     """
 
     def work(batch: DataFrame, writer: BatchWriter) -> None:
+        spark = batch.sparkSession
         time = F.current_timestamp() if at is None else at
         decoded = decode(dedupe_redelivered(batch), ACTIVITY_IMAGE).persist()
         rows = activity_rows(decoded)
@@ -133,7 +169,8 @@ def run_fact_stream(
         try:
             bad = malformed_of(decoded)
             writer.write("malformed", bad.select("value", "topic", "partition", "offset"))
-            writer.write("facts", fact_changes(decoded, time))
+            changes = fact_changes(decoded, time)
+            writer.write("facts", changes)
             writer.write("notifications", notification_table(messages, time))
             writer.write("notification_errors", errors)
             batch_id = batch_offset_ranges(
@@ -141,30 +178,75 @@ def run_fact_stream(
             ).first()["batch_id"]
             suite = shipped_suites()["notification_errors"]
             writer.write("quality", failed_rows(errors, suite, batch_id, "notification_errors"))
-            writer.write("touched", touched_by(decoded))
+            _count(spark, writer, changes, width)
         finally:
             for frame in (decoded, messages, errors):
                 frame.unpersist()
         if writer.epoch_id % refresh_every == refresh_every - 1:
-            since = writer.epoch_id - refresh_every + 1
-            try:
-                refresh_wellbeing_table(batch.sparkSession, root, rules, since)
-            except Exception as error:
-                gold_error_row(batch, root, writer.epoch_id, batch_id, str(error))
-            if after_refresh is not None:
-                after_refresh(batch, writer, batch_id)
+            writer.then(lambda: refresh(batch, writer, batch_id))
+
+    def refresh(batch: DataFrame, writer: BatchWriter, batch_id: str) -> None:
+        try:
+            refresh_wellbeing_table(batch.sparkSession, root, rules, width=width)
+            reached["epoch"] = writer.epoch_id
+        except Exception as error:
+            gold_error_row(batch, root, writer.epoch_id, batch_id, str(error))
+        if after_refresh is not None:
+            after_refresh(batch, writer, batch_id)
 
+    # The epoch of this run's last good refresh.
+    spark, reached = stream.sparkSession, {"epoch": -1}
     if dedupe_on:
         stream = dedupe_redelivered_stream(stream, *dedupe_on)
     query = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
     if trigger:
         query = query.trigger(**trigger)
-    return query.foreachBatch(guarded(root, work)).start()
+    started = query.foreachBatch(guarded(root, work, compact_fan=compact_fan)).start()
+
+    def finish() -> None:
+        """After the last batch of a query that ends: what later batches than the last refresh brought."""
+        epochs = [u.last for u in units(spark, f"{root}/facts")]
+        if not epochs or epochs[-1] <= reached["epoch"]:
+            return
+        try:
+            refresh_wellbeing_table(spark, root, rules, width=width)
+        except Exception as error:
+            gold_error_row(stream, root, epochs[-1], "settled", str(error))
+
+    return SettledQuery(started, finish)
+
+
+def _count(spark: SparkSession, writer: BatchWriter, changes: DataFrame, width: int) -> None:
+    """Bring last changes and pair counts up to a batch: what its activities counted for goes, what they do comes."""
+    latest, pairs = last_table(writer.root, width), pair_table(writer.root, width)
+    # By the position that a log row carries, the kept row may well be the later one.
+    new = last_changes(changes).persist()
+    try:
+        buckets = latest.touched(new)
+        held = latest.rows(spark, buckets, before=writer.epoch_id)
+        merged = last_changes(held.unionByName(new)).persist()
+        ids = new.select("id_evenement_sport")
+        before = held.join(ids, "id_evenement_sport", "left_semi")
+        after = merged.join(ids, "id_evenement_sport", "left_semi")
+        deltas = pair_deltas(before, after).persist()
+        try:
+            writer.keep(latest, merged, buckets)
+            changed = deltas.where(F.col("by") != 0)
+            buckets = pairs.touched(changed)
+            counted = pairs.rows(spark, buckets, before=writer.epoch_id).withColumnRenamed("nb_activites", "by")
+            total = counted.unionByName(changed).groupBy(*TOUCHED.fieldNames()).agg(F.sum("by").alias("nb_activites"))
+            writer.keep(pairs, total.where(F.col("nb_activites") != 0), buckets)
+        finally:
+            deltas.unpersist()
+            merged.unpersist()
+    finally:
+        new.unpersist()
 
 
 def stored_facts(spark: SparkSession, root: str) -> DataFrame:
     """Activities as they stand after all batches."""
-    return current_facts(read_batches(spark, f"{root}/facts", FACT_LOG))
+    kept = last_table(root).rows(spark).where(F.col("op") != "d")
+    return _timed(kept.select(*FACT_COLUMNS))
 
 
 def stored_wellbeing(spark: SparkSession, root: str) -> DataFrame:
@@ -172,13 +254,8 @@ def stored_wellbeing(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/gold_wellbeing", GOLD)
 
 
-def refresh_wellbeing_table(spark: SparkSession, root: str, rules: Rules, since: int = 0) -> None:
-    """Count the pairs anew that batches from epoch ``since`` on touched; all others stay.
-
-    A copy for reporting tools is written with each refresh.
-    """
-    touched = read_batches(spark, f"{root}/touched", TOUCHED, since).distinct()
-    gold = stored_wellbeing(spark, root)
-    fresh = checkpointed(refresh_wellbeing(gold, stored_facts(spark, root), touched, rules))
+def refresh_wellbeing_table(spark: SparkSession, root: str, rules: Rules, *, width: int = WIDTH) -> None:
+    """Publish the product from the counts so far, with a copy for reporting tools."""
+    fresh = wellbeing_from_counts(pair_table(root, width).rows(spark), rules)
     overwrite_table(sort_gold(fresh, "salarie_id"), f"{root}/gold_wellbeing")
-    export_copy(fresh, f"{root}/export/gold_wellbeing")
+    export_copy(stored_wellbeing(spark, root), f"{root}/export/gold_wellbeing")

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from kadence.functions.scalars import days_between, end_of_year
 from kadence.operators.changes import (
@@ -24,14 +23,23 @@ from kadence.operators.changes import (
     route_state_changes,
     to_bronze,
 )
-from kadence.operators.gold import annual_bonus, sort_gold
+from kadence.operators.gold import bonus_of_days, eligible_days, sort_gold
 from kadence.operators.history import scd2_intervals, state_log
 from kadence.operators.quality import failed_rows, quality_gate, shipped_suites
 from kadence.operators.registry import registry_from_log
 from kadence.plans.commute import Evaluate, evaluated_images
 from kadence.rules import Rules
-from kadence.sinks.tables import export_copy, is_non_empty, overwrite_table, read_batches
-from kadence.streaming.batches import BatchWriter, gold_error_row, guarded
+from kadence.sinks.compaction import FAN
+from kadence.sinks.kept import WIDTH, KeptTable, bucket_of
+from kadence.sinks.tables import (
+    append_batch,
+    export_copy,
+    is_non_empty,
+    overwrite_table,
+    read_batches,
+    units,
+)
+from kadence.streaming.batches import BatchWriter, SettledQuery, gold_error_row, guarded
 from kadence.workspace import checkpointed
 
 POSITIONED = ("value", "topic", "partition", "offset")
@@ -85,9 +93,11 @@ def run_state_stream(
     as_of_year: int | None = None,
     refresh_every: int = 1,
     dedupe_on: tuple[str, str] | None = None,
+    width: int = WIDTH,
+    compact_fan: int | None = FAN,
     trigger: dict | None = None,
     name: str = "state_changes",
-) -> StreamingQuery:
+) -> SettledQuery:
     """Start the job. ``root`` holds its tables; offsets live in ``checkpoint``.
 
     ``at`` is the time of a change, by default the time of its batch; changes of a key are ordered
@@ -95,12 +105,17 @@ def run_state_stream(
     ``lake_fields=None`` keeps full images in bronze. With ``gate`` rows that fail their suite go to
     ``quarantine`` instead of their table, by default they are only reported. With ``incomes`` the
     bonus product is refreshed every ``refresh_every`` batches, for ``as_of_year`` or the current
-    year, after its history passed its suites.
-    ``dedupe_on`` (time column, span) drops messages that come again in a later batch.
+    year, from interval sums that are kept per employee (in buckets of ``width`` neighbouring ids) and moved on by
+    what a batch opens and closes; what no refresh has covered is made up for by the next one, and by
+    ``awaitTermination`` of a query that ends. A message that comes again, after any time, counts for nothing;
+    ``dedupe_on`` (time column, span) drops it before it reaches a batch. Tables of earlier epochs are
+    compacted by ``compact_fan`` folders.
     """
 
     def work(batch: DataFrame, writer: BatchWriter) -> None:
         time = F.current_timestamp() if at is None else at
+        # A refresh may have read this batch's log already when it is rejected.
+        writer.kept += [open_table(root, width), days_table(root, width)]
         # Decoded once; five tables are cut from it.
         decoded = decode(dedupe_redelivered(batch), image).persist()
         judged = None
@@ -121,15 +136,45 @@ def run_state_stream(
             if judged is not None:
                 judged.unpersist()
         if incomes is not None and writer.epoch_id % refresh_every == 0:
-            year = as_of_year or datetime.now(UTC).year
-            _refresh(batch, writer, incomes, rules, year, batch_id)
+            writer.then(lambda: refresh(batch, writer, batch_id))
+
+    def year() -> int:
+        return as_of_year or datetime.now(UTC).year
+
+    def refresh(batch: DataFrame, writer: BatchWriter, batch_id: str) -> None:
+        """A product that cannot be refreshed is recorded and made up for by the next; the changes are stored."""
+        try:
+            failures = refresh_bonus(
+                batch.sparkSession, root, incomes, rules, year(), batch_id, writer.epoch_id, width=width
+            )
+            if failures is not None:
+                writer.write("gold_quality", failures)
+            reached["epoch"] = writer.epoch_id
+        except Exception as error:
+            gold_error_row(batch, root, writer.epoch_id, batch_id, str(error))
+
+    def settle() -> None:
+        """After the last batch of a query that ends: what later batches than the last refresh brought."""
+        epochs = [u.last for u in units(spark, f"{root}/state_log")]
+        if incomes is None or not epochs or epochs[-1] <= reached["epoch"]:
+            return
+        try:
+            failures = refresh_bonus(spark, root, incomes, rules, year(), "settled", width=width)
+            if failures is not None:
+                append_batch(failures, f"{root}/gold_quality", epochs[-1])
+        except Exception as error:
+            gold_error_row(stream, root, epochs[-1], "settled", str(error))
+
+    # The epoch of this run's last good refresh.
+    spark, reached = stream.sparkSession, {"epoch": -1}
 
     if dedupe_on:
         stream = dedupe_redelivered_stream(stream, *dedupe_on)
     query = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
     if trigger:
         query = query.trigger(**trigger)
-    return query.foreachBatch(guarded(root, work)).start()
+    started = query.foreachBatch(guarded(root, work, compact_fan=compact_fan)).start()
+    return SettledQuery(started, settle)
 
 
 def _write_layers(
@@ -181,21 +226,123 @@ def _write_layers(
         writer.write(table, reduce(DataFrame.unionByName, (p.select(columns[table]) for p in parts)))
 
 
+def open_table(root: str, width: int = WIDTH) -> KeptTable:
+    """The newest log row of each employee: the interval that is open, or where history has ended."""
+    return KeptTable(f"{root}/open_state", STATE_LOG, bucket_of("id_salarie", width))
+
+
+DAYS = T.StructType(
+    [
+        T.StructField("id_salarie", T.LongType()),
+        T.StructField("annee", T.IntegerType()),
+        T.StructField("est_eligible_prime_annuel", T.BooleanType()),
+        T.StructField("duree", T.DoubleType()),
+    ]
+)
+
+
+def days_table(root: str, width: int = WIDTH) -> KeptTable:
+    """Days of closed intervals per employee, year of the end, and flag."""
+    return KeptTable(f"{root}/closed_days", DAYS, bucket_of("id_salarie", width))
+
+
+def advance_days(
+    spark: SparkSession, root: str, epoch_id: int | None = None, *, width: int = WIDTH
+) -> DataFrame | None:
+    """Bring open intervals and closed days up to an epoch of the log, by default its newest.
+
+    Reads the log since the epoch they cover, and their buckets that it touches. The kept row of an employee and
+    the new ones form a chain: what lies between two of its rows is closed by now and adds its days. An
+    employee with a row older than the kept one, which comes late, is summed anew from the whole log.
+    Rows without an employee count for nobody. Returns the intervals of the chains, persisted; None if
+    there is no log.
+    """
+    epochs = [u.last for u in units(spark, f"{root}/state_log")]
+    if not epochs:
+        return None
+    reached = epochs[-1] if epoch_id is None else epoch_id
+    opened, days = open_table(root, width), days_table(root, width)
+    covered, _ = opened.state(spark, reached)
+    # The open intervals are written last; sums beyond them stem from a run that failed.
+    days.take_back(spark, covered + 1)
+    known = F.col("id_salarie").isNotNull()
+    log = read_batches(spark, f"{root}/state_log", STATE_LOG, covered + 1).where(known)
+    # Persisted only: all of it can be computed again from what is stored.
+    new = first_delivery(log, "id_salarie", "at_us").persist()
+    buckets = opened.touched(new)
+    ids = new.groupBy("id_salarie").agg(F.min(F.struct(*ORDER)).alias("earliest"))
+    kept = opened.rows(spark, buckets, before=reached)
+    held = kept.join(ids, "id_salarie")
+    late = held.where(F.col("earliest") < F.struct(*ORDER)).select("id_salarie").persist()
+    # A copy of the kept row itself is no late one.
+    chain = held.drop("earliest").unionByName(new)
+    summed = days.rows(spark, buckets)
+    if late.isEmpty():
+        base = summed
+    else:
+        base = summed.join(late, "id_salarie", "left_anti")
+        everything = stored_log(spark, root).join(late, "id_salarie", "left_semi")
+        chain = chain.join(late, "id_salarie", "left_anti").unionByName(everything)
+    chain = first_delivery(chain, "id_salarie", "at_us").persist()
+    intervals = scd2_intervals(chain, order=ORDER).persist()
+    closed = intervals.where(F.col("date_fin").isNotNull())
+    # Without open ends the year they would be filled up to plays no part.
+    fresh = eligible_days(closed, 1970)
+    total = base.unionByName(fresh.select(DAYS.fieldNames())).groupBy(*DAYS.fieldNames()[:3]).agg(
+        F.sum("duree").alias("duree")
+    )
+    days.replace(total, buckets, reached)
+    rest = [c for c in STATE_LOG.fieldNames() if c != "id_salarie"]
+    newest = chain.groupBy("id_salarie").agg(F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("last"))
+    newest = newest.select("id_salarie", "last.*").select(STATE_LOG.fieldNames())
+    untouched = kept.join(ids, "id_salarie", "left_anti")
+    opened.replace(untouched.unionByName(newest), buckets, reached)
+    for frame in (new, late, chain):
+        frame.unpersist()
+    return intervals
+
+
+def bonus_from_days(
+    spark: SparkSession, root: str, incomes: DataFrame, rules: Rules, year: int, *, width: int = WIDTH
+) -> DataFrame:
+    """The bonus of every employee: closed days, and open intervals up to the end of ``year``."""
+    last = open_table(root, width).rows(spark).where(F.col("kind") == "open")
+    still = last.select(
+        "id_salarie", "est_eligible_prime_annuel", F.col("valid_from").alias("date_debut"),
+        F.lit(None).cast("timestamp").alias("date_fin"),
+    )
+    days = days_table(root, width).rows(spark).unionByName(eligible_days(still, year).select(DAYS.fieldNames()))
+    summed = days.groupBy(*DAYS.fieldNames()[:3]).agg(F.sum("duree").alias("duree"))
+    return bonus_of_days(summed, incomes, rules)
+
+
 def refresh_bonus(
-    spark: SparkSession, root: str, incomes: DataFrame, rules: Rules, year: int, batch_id: str
+    spark: SparkSession,
+    root: str,
+    incomes: DataFrame,
+    rules: Rules,
+    year: int,
+    batch_id: str,
+    epoch_id: int | None = None,
+    *,
+    width: int = WIDTH,
 ) -> DataFrame | None:
     """Replace the bonus table from the history so far; None while there is no history.
 
-    Returns the failures of the suites of history and product: the history is checked before and
-    after open intervals are filled, the product as it is written.
+    History is not read again: interval sums are brought up to the log's newest epoch (or ``epoch_id``), and
+    what is left is a row per employee, year and flag. Returns the failures of the suites: the intervals that
+    opened or closed since the last refresh are checked before and after open ones are filled, the
+    product as it is written.
     """
-    if not is_non_empty(read_batches(spark, f"{root}/state_log", STATE_LOG)):
+    silver = advance_days(spark, root, epoch_id, width=width)
+    if silver is None:
         return None
     suites = shipped_suites()
-    silver = checkpointed(stored_intervals(spark, root))
     end = F.coalesce("date_fin", end_of_year(year))
     filled = silver.withColumns({"date_fin": end, "duree": days_between(F.col("date_debut"), end)})
-    gold = checkpointed(annual_bonus(silver, incomes, rules, year))
+    gold = checkpointed(bonus_from_days(spark, root, incomes, rules, year, width=width))
+    if not is_non_empty(gold):
+        return None
     overwrite_table(sort_gold(gold, "id_salarie"), f"{root}/gold_bonus")
     export_copy(gold, f"{root}/export/gold_bonus")
     checked = {"silver_before_fill": silver, "silver_after_fill": filled, "gold_bonus": gold}
@@ -205,18 +352,6 @@ def refresh_bonus(
     )
 
 
-def _refresh(
-    batch: DataFrame, writer: BatchWriter, incomes: DataFrame, rules: Rules, year: int, batch_id: str
-) -> None:
-    """A product that cannot be refreshed is recorded; the changes of the batch are stored."""
-    try:
-        failures = refresh_bonus(batch.sparkSession, writer.root, incomes, rules, year, batch_id)
-        if failures is not None:
-            writer.write("gold_quality", failures)
-    except Exception as error:
-        gold_error_row(batch, writer.root, writer.epoch_id, batch_id, str(error))
-
-
 def stored_log(spark: SparkSession, root: str) -> DataFrame:
     """The state log; a change that was delivered in two batches counts once."""
     log = read_batches(spark, f"{root}/state_log", STATE_LOG)
