@@ -19,6 +19,7 @@ from kadence.operators import notify as N
 from kadence.operators import places as P
 from kadence.operators import quality as Q
 from kadence.operators import registry as R
+from kadence.operators.search import geocode_search
 from kadence.plans import commute as W
 from kadence.plans.views import IMAGE, Views, as_topic, with_views
 from kadence.rules import Rules, Site
@@ -875,6 +876,62 @@ def _(v):
     )
 
 
+def sql_terms(c: str) -> str:
+    token = r"[0-9]+|[^0-9\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return (
+        f"list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '{token}'), lambda w: "
+        "case when regexp_matches(w, '^[0-9]') then ['#' || w] "
+        "else list_transform(range(1, length(w) + 1), lambda i: substr('_' || w || '_', i, 3)) end)))"
+    )
+
+
+@query(
+    "geocode_search",
+    """select id_salarie, lat, lon, match as geo_match, case when match is null
+        and adresse_domicile is not null then 'Erreur : features empty' end as geo_error
+    from fx_wanted as e left join lk_best as b on b.key = e.key_""".replace("e.key_", sql_key("e.adresse_domicile")),
+    {
+        "lk_place": f"""
+            select k as key, best.lat as lat, best.lon as lon from (
+                select {sql_key("adresse")} as k,
+                    arg_max(struct_pack(lat := lat, lon := lon), score) as best
+                from fx_street group by 1) as b""",
+        "lk_term": f"select key, unnest({sql_terms('key')}) as term from lk_place",
+        "lk_count": "select term, count(*) as n from lk_term group by term",
+        "lk_asked": f"""
+            select key, unnest({sql_terms("key")}) as term from (
+                select distinct {sql_key("adresse_domicile")} as key from fx_wanted
+                where adresse_domicile is not null) as q""",
+        "lk_weight": """
+            select term, cast(floor(1000 * ln(1 + (select count(*) from lk_place)::double / coalesce(n, 1))) as bigint) as w
+            from (select distinct term from (select term from lk_asked union all select term from lk_term) as u) as t
+            left join lk_count using (term)""",
+        "lk_asked_sum": """
+            select key, sum(w) as total, count(*) filter (starts_with(term, '#')) as numbers
+            from lk_asked join lk_weight using (term) group by key""",
+        "lk_term_sum": "select key, sum(w) as total from lk_term join lk_weight using (term) group by key",
+        "lk_pair": """
+            select q.key, a.key as found, sum(w) as shared, count(*) filter (starts_with(q.term, '#')) as same
+            from lk_asked as q join lk_term as a using (term) join lk_weight using (term) group by 1, 2""",
+        "lk_scored": """
+            select p.key, p.found, cast((2000 * shared) // (q.total + a.total) as int) as match
+            from lk_pair as p join lk_asked_sum as q on q.key = p.key join lk_term_sum as a on a.key = p.found
+            where same = numbers""",
+        "lk_best": """
+            select key, lat, lon, match from (
+                select s.key, s.match, l.lat, l.lon,
+                    row_number() over (partition by s.key order by match desc, s.key <> s.found, s.found) as place
+                from lk_scored as s join lk_place as l on l.key = s.found where match >= 500) as r
+            where place = 1""",
+    },
+)
+def _(v):
+    """Free text addresses, misspelt and reordered ones too, to their best scored candidate."""
+    return geocode_search(v.fx_wanted, v.fx_street).select(
+        "id_salarie", "lat", "lon", "geo_match", "geo_error"
+    )
+
+
 @query(
     "linear_distance",
     f"""select score, round(case when lat is not null then

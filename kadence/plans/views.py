@@ -130,6 +130,26 @@ def view_sql(d: Dialect) -> dict[str, str]:
                     || cast(c_custkey % 2 as string) as adresse_domicile
                 from {{customer}}) as c
             where c_acctbal >= -850 and c_acctbal < 9000""",
+        # A lookup with street names, and what people wrote: as it is, in another order, misspelt,
+        # with punctuation and a further word, or with a number that no address has.
+        "fx_street": f"""
+            select cast(cast(floor(c_custkey / 4) as bigint) as string) || ' Rue '
+                    || c_mktsegment || ' ' || cast(c_custkey % 2 as string) as adresse,
+                case when c_acctbal < 8000 or c_acctbal > 8100
+                    then {_place("c_custkey", 7919, "43.57e0", "0.5e0")} end as lat,
+                {_place("c_custkey", 15401, "3.9e0", "0.6e0")} as lon,
+                c_acctbal as score
+            from {{customer}} where c_acctbal < 9000""",
+        "fx_wanted": """
+            select id_salarie, case k % 6 when 0 then nr || ' Rue ' || name || ' ' || last
+                when 1 then lower(name) || ' ' || last || ' RUE ' || nr
+                when 2 then nr || ' Rue ' || substr(name, 1, 2) || substr(name, 4, 20) || ' ' || last
+                when 3 then nr || ', rue-' || lower(name) || ' appt; ' || last
+                when 4 then '9' || nr || '77 Rue ' || name || ' ' || last end as adresse_domicile
+            from (select c_custkey as id_salarie, c_custkey + cast(floor(c_custkey / 6) as bigint) as k,
+                    cast(cast(floor(c_custkey / 4) as bigint) as string) as nr,
+                    c_mktsegment as name, cast(c_custkey % 2 as string) as last
+                from {customer}) as c""",
         "fx_node": f"""
             select {d.each("'walk', 'drive'")} as network, node_id, lat, lon from (
                 select 2 * s_suppkey as node_id,
