@@ -19,6 +19,7 @@ from kadence.operators import notify as N
 from kadence.operators import places as P
 from kadence.operators import quality as Q
 from kadence.operators import registry as R
+from kadence.operators.regions import region_distances
 from kadence.operators.search import geocode_search
 from kadence.plans import commute as W
 from kadence.plans.views import IMAGE, Views, as_topic, with_views
@@ -1003,6 +1004,28 @@ def _(v):
     return W.distances_to(v.fx_edge, W.site_nodes(v.fx_node, SITE))
 
 
+@query(
+    "road_regions",
+    """select 'walk' as network, o_orderkey as node_id, road_m from rg_order
+    union all
+    select 'walk', u, road_m + length from (
+        select u, v, min(length) as length from fx_chain where u >= 1000000000000 group by 1, 2) as s
+    join rg_order on o_orderkey = v""",
+    {
+        "rg_order": """
+            select o_orderkey, coalesce(sum(length) over (order by o_orderkey), 0)::double as road_m
+            from (select u as o_orderkey, length from fx_chain where u < 1000000000000
+                union all select 0, 0) as c"""
+    },
+)
+def _(v):
+    """Ways of thousands of roads: solved by regions of ten thousand orders, with the lines beside them."""
+    side = F.col("node") >= 1_000_000_000_000
+    order = F.when(side, F.call_function("div", F.col("node") - 1_000_000_000_000, F.lit(10))).otherwise(F.col("node"))
+    target = v.spark.createDataFrame([("walk", 0)], "network string, node_id bigint")
+    return region_distances(v.fx_chain, target, F.call_function("div", order, F.lit(10_000)))
+
+
 @query(
     "commute_distance",
     f"""select id_salarie, case when measured then round_even(road_m, 3) end as distance_m, reason
@@ -1175,11 +1198,16 @@ def _(v):
 
 # --- streams ------------------------------------------------------------------------------
 
+#: Files of a lot, which tasks write and read side by side.
+LOT_FILES = 4
+
+
 def land(df: DataFrame, folder: str, lot: Column, lots: int) -> FileTopic:
-    """Write messages as a landed topic, one file per lot, for a stream to read lot by lot."""
+    """Write messages as a landed topic, ``LOT_FILES`` files per lot, for a stream to read lot by lot."""
     rows = checkpointed(df.withColumn("__lot", lot))
     for i in range(lots):
-        rows.filter(F.col("__lot") == i).drop("__lot").coalesce(1).write.mode("append").parquet(folder)
+        dealt = rows.filter(F.col("__lot") == i).drop("__lot").repartition(LOT_FILES)
+        dealt.write.mode("append").parquet(folder)
     return FileTopic(folder, rows.drop("__lot").schema)
 
 
@@ -1201,7 +1229,7 @@ def _no_reason(people: DataFrame) -> DataFrame:
 def _run_state(v: Views, folder: str, **options) -> str:
     topic = land(as_topic(v.fx_topic), f"{folder}/topic", _by_quarters(v), LOTS)
     state.run_state_stream(
-        read_change_stream(v.spark, topic, files_per_trigger=1),
+        read_change_stream(v.spark, topic, files_per_trigger=LOT_FILES),
         IMAGE, _no_reason, RULES, f"{folder}/lake", f"{folder}/offsets",
         at=F.col("ts"), trigger={"availableNow": True}, **options,
     ).awaitTermination()
@@ -1245,7 +1273,7 @@ def _(v):
     spark, folder = v.spark, work_dir(v.spark, "fact-stream")
     topic = land(as_topic(v.fx_fact_lot), f"{folder}/topic", F.col("lot"), LOTS)
     facts.run_fact_stream(
-        read_change_stream(spark, topic, files_per_trigger=1),
+        read_change_stream(spark, topic, files_per_trigger=LOT_FILES),
         _staff(v), texts.templates(spark), RULES, f"{folder}/lake", f"{folder}/offsets",
         trigger={"availableNow": True},
     ).awaitTermination()

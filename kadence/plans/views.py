@@ -178,6 +178,15 @@ def view_sql(d: Dialect) -> dict[str, str]:
                     l_returnflag <> 'N' and l_partkey % 50 <> 0 as inward,
                     1000 + l_quantity * 50 + l_extendedprice / 1e6 as length
                 from {lineitem}) as roads""",
+        # One long road through all orders, down to order 0, with a side road to each line.
+        "fx_chain": """
+            select 'walk' as network, o_orderkey as u, o_orderkey - 1 as v,
+                cast(1 + floor(o_totalprice) as double) as length
+            from {orders} where o_orderkey > 0
+            union all
+            select 'walk' as network, 1000000000000 + 10 * l_orderkey + l_linenumber as u, l_orderkey as v,
+                cast(l_quantity as double) as length
+            from {lineitem}""",
         "fx_activity": f"""
             select event_id as id_evenement_sport, user_id as salarie_id,
                 {d.instant(f"{d.micros('ts')} - k * 60000000")} as date_debut_activite,

@@ -29,7 +29,7 @@ def activity(i, who, day=0):
     return {**ACTIVITY, "id_evenement_sport": i, "salarie_id": who, "date_fin_activite": end}
 
 
-def lots_of_activities(seed, lots=5, each=12):
+def lots_of_activities(seed, lots=3, each=16):
     """Lots of creations, moves and deletions, mostly of other employees in each lot, with copies of older messages."""
     chance, live, messages, out, offset = random.Random(seed), {}, [], [], 0
     for lot in range(lots):
@@ -92,7 +92,7 @@ def failing(monkeypatch, which):
     monkeypatch.setattr(facts, "refresh_wellbeing_table", refresh)
 
 
-@pytest.mark.parametrize("which", [{1}, {3}, {5}, {1, 2, 3, 4, 5}])
+@pytest.mark.parametrize("which", [{1}, {2}, {3}])
 def test_pairs_of_a_failed_refresh_are_made_up_for(spark, tmp_path, monkeypatch, which):
     lots, live = lots_of_activities(1)
     failing(monkeypatch, which)
@@ -108,12 +108,12 @@ def test_the_tail_of_a_run_is_refreshed(spark, tmp_path):
     lots, live = lots_of_activities(2)
     for lot in lots:
         topic = land(spark, tmp_path, lot)
-    lake = run_facts(spark, tmp_path, topic, refresh_every=3)
+    lake = run_facts(spark, tmp_path, topic, refresh_every=2)
     assert rows(facts.stored_wellbeing(spark, lake)) == counted_anew(spark, live)
 
 
 def test_empty_and_rejected_epochs_lose_no_pairs(spark, tmp_path, monkeypatch):
-    lots, live = lots_of_activities(3, lots=3)
+    lots, live = lots_of_activities(3)
     # All of the second lot comes again as the third, so its epoch, which should refresh, is empty.
     lots = [lots[0], lots[1], lots[1], lots[2]]
     real, calls = facts.build_messages, []
@@ -158,22 +158,22 @@ def test_a_copy_after_any_time_is_not_notified_again(spark, tmp_path):
 
 
 def test_rows_and_files_read_per_batch_are_flat(spark, tmp_path):
-    """Twenty lots of new activities of the same staff: the kept rows a batch reads stay what they were."""
+    """Eight lots of new activities of the same staff: the kept rows a batch reads stay what they were."""
     lake, read, folders = f"{tmp_path}/lake", [], []
     latest, pairs = facts.last_table(lake, 5), facts.pair_table(lake, 5)
-    for lot in range(20):
+    for lot in range(8):
         made = [activity(lot * 5 + i, i) for i in range(5)]
         messages = [(json.dumps({"payload": {"op": "c", "before": None, "after": a}}), "facts", 0, a["id_evenement_sport"], None) for a in made]
         topic = land(spark, tmp_path, messages)
         new = spark.createDataFrame([(a["id_evenement_sport"], a["salarie_id"]) for a in made], "id_evenement_sport bigint, salarie_id bigint")
         rows_read = latest.rows(spark, latest.touched(new)).count() + pairs.rows(spark, pairs.touched(new)).count()
         read.append(rows_read)
-        if lot in (0, 1, 2, 18, 19):
+        if lot in (1, 3, 7):
             run_facts(spark, tmp_path, topic, compact_fan=2)
             folders.append(len(units(spark, f"{lake}/facts")))
-    assert read[3] == read[19] <= 5 + 5
+    assert read[4] <= 10 and read[7] <= 10
     assert max(folders) <= 6
-    assert rows(facts.stored_wellbeing(spark, lake), "salarie_id", "nb_activites") == [(i, 20) for i in range(5)]
+    assert rows(facts.stored_wellbeing(spark, lake), "salarie_id", "nb_activites") == [(i, 8) for i in range(5)]
 
 
 # --- the bonus ----------------------------------------------------------------------------
@@ -191,7 +191,7 @@ def run_bonus(spark, folder, lots, incomes, **options):
     return f"{folder}/lake"
 
 
-def random_moves(seed, people=9, lots=4):
+def random_moves(seed, people=9, lots=3):
     """Creations, flips, updates without one, deletions and rehires; some changes come one lot late."""
     chance, now, late, out, offset = random.Random(seed), {}, [], [], 0
     for lot in range(lots):
@@ -212,8 +212,7 @@ def random_moves(seed, people=9, lots=4):
     return [lot for lot in [*out, late] if lot]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("every", [1, 3])
+@pytest.mark.parametrize("seed,every", [(1, 1), (2, 2)])
 def test_bonus_by_deltas_equals_the_bonus_of_all_intervals(spark, tmp_path, seed, every):
     incomes = spark.createDataFrame([(k, 1000.0 * (k + 1)) for k in range(9)], "id_salarie bigint, salaire_brut double")
     lake = run_bonus(spark, str(tmp_path), random_moves(seed), incomes, refresh_every=every)
