@@ -8,15 +8,20 @@ rounds follow the number of regions a way crosses, not the number of its roads.
 
 from __future__ import annotations
 
+import sys
 from heapq import heappop, heappush
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kadence.operators.roads import _reversed_edges, distances_to
 from kadence.workspace import checkpointed, remove, work_dir
 
+# What tasks run travels by value, so executors need not have this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Roads of a region, which one task searches, and the share of roads that may lead out of regions.
 REGION_EDGES = 1_000_000
 CROSSING = 0.25

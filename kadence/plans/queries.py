@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kadence.functions import messages as texts
 from kadence.functions import scalars as S
@@ -26,6 +27,7 @@ from kadence.plans.views import IMAGE, Views, as_topic, with_views
 from kadence.rules import Rules, Site
 from kadence.schemas import ACTIVITY, ACTIVITY_IMAGE
 from kadence.session import pin_utc
+from kadence.sinks.kept import bucket_of
 from kadence.sinks.tables import (
     NOTIFICATIONS,
     append_batch,
@@ -41,6 +43,9 @@ from kadence.sources.files import read_road_graph, scan_activities, scan_silver
 from kadence.sources.streams import FileTopic, read_change_stream
 from kadence.streaming import facts, state
 from kadence.streaming.batches import COUNTS, BatchWriter
+from kadence.streaming.keyed import interval_revisions, intervals_of
+from kadence.streaming.monitor import hourly_sketches, merged_quantiles
+from kadence.streaming.unique import SeenKeys
 from kadence.workspace import checkpointed, remove, work_dir
 
 # The given events hold about 67 activities per user and year, so this threshold splits them.
@@ -1280,6 +1285,58 @@ def _(v):
     return _finished(v, folder, facts.stored_wellbeing(spark, f"{folder}/lake"))
 
 
+@query("stream_keyed_scd2", "select * from sh_intervals")
+def _(v):
+    """The log in four lots through keyed state: intervals as of their last revisions."""
+    spark, folder = v.spark, work_dir(v.spark, "keyed-stream")
+    # The number of a change orders it and names its place.
+    log = H.state_log(judged(v)).withColumns(
+        {"at_us": F.col("seq"), "topic": F.lit("t"), "partition": F.lit(0), "offset": F.col("seq")}
+    )
+    log = checkpointed(log.select(state.STATE_LOG.fieldNames()))
+    last = log.agg(F.max("offset")).first()[0] or 0
+    topic = land(log, f"{folder}/log", F.least(F.floor(F.col("offset") * LOTS / F.lit(last + 1)), F.lit(LOTS - 1)).cast("int"), LOTS)
+    stream = spark.readStream.schema(topic.schema).option("maxFilesPerTrigger", LOT_FILES).parquet(topic.path)
+    query = interval_revisions(stream).writeStream.option("checkpointLocation", f"{folder}/offsets")
+    query.trigger(availableNow=True).format("parquet").outputMode("append").start(f"{folder}/out").awaitTermination()
+    return _finished(v, folder, intervals_of(spark.read.parquet(f"{folder}/out")))
+
+
+@query(
+    "keys_across_batches",
+    """select a.id_evenement_sport, cast(min(b.id_evenement_sport % 4) as bigint) as first_epoch
+    from fx_activity as a join fx_activity as b on a.salarie_id = b.salarie_id
+        and a.distance_m is not distinct from b.distance_m
+        and b.id_evenement_sport % 4 < a.id_evenement_sport % 4
+    group by 1""",
+)
+def _(v):
+    """Activities in four batches: those whose employee and distance an earlier batch has brought."""
+    folder = work_dir(v.spark, "keys")
+    keys = T.StructType([T.StructField("salarie_id", T.LongType()), T.StructField("distance_m", T.LongType())])
+    seen = SeenKeys(f"{folder}/seen", keys, bucket_of("salarie_id", 1000))
+    for epoch in range(LOTS):
+        batch = v.fx_activity.where(F.pmod("id_evenement_sport", F.lit(LOTS)) == epoch)
+        repeated = seen.repeated(batch, epoch).select("id_evenement_sport", "first_epoch")
+        append_batch(repeated, f"{folder}/found", epoch)
+        seen.remember(batch, epoch)
+    return _finished(v, folder, read_batches(v.spark, f"{folder}/found", repeated.schema))
+
+
+@query("merged_quantiles", "select sport_type, count(distance_m) as n, true as near from fx_activity group by 1")
+def _(v):
+    """Median and 95th percentile from hourly sketches, held against the ranks of all values."""
+    hours = hourly_sketches(v.fx_activity, ["sport_type"], F.col("date_fin_activite"), "distance_m")
+    merged = merged_quantiles(hours, ["sport_type"], [0.5, 0.95])
+    ranked = v.fx_activity.where("distance_m is not null").join(merged.withColumnRenamed("n", "all"), "sport_type")
+    met = []
+    for i, share in enumerate((0.5, 0.95)):
+        value = F.col("quantiles")[i]
+        low, high = (F.count_if(c) / F.max("all") for c in (F.col("distance_m") < value, F.col("distance_m") <= value))
+        met.append((low <= share + 0.03) & (high >= share - 0.03))
+    return ranked.groupBy("sport_type").agg(F.count("*").alias("n"), (met[0] & met[1]).alias("near"))
+
+
 # --- sinks --------------------------------------------------------------------------------
 
 

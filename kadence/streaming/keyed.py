@@ -7,15 +7,20 @@ then, and the intervals it changes are sent again. What counts of an interval is
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kadence.functions.scalars import whole_days
 
+# What tasks run travels by value, so executors need not have this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Keyed state of several variables needs this store; fixed value.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROW = "at_us bigint, topic string, partition int, offset bigint, valid_us bigint, flag boolean, opens boolean"
