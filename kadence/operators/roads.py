@@ -103,7 +103,7 @@ def distances_to(
     schema = "network string, node bigint, dist double, round int"
 
     def labels() -> DataFrame:
-        kept = [f"{folder}/labels/round={r}" for r in range(compacted, done + 1)]
+        kept = [*base, *(f"{folder}/labels/round={r}" for r in range(first, done + 1))]
         return spark.read.schema(schema).option("basePath", f"{folder}/labels").parquet(*kept)
 
     def shortest_labels() -> DataFrame:
@@ -114,7 +114,8 @@ def distances_to(
     ).distinct()
     start.write.parquet(f"{folder}/labels/round=0")
 
-    done = compacted = 0
+    # Rounds from ``first`` on stand by themselves; those before, in ``base``.
+    done, first, base = 0, 0, []
     while True:
         stored = labels()
         reached = frontier = stored.filter(F.col("round") == done).drop("round")
@@ -136,17 +137,14 @@ def distances_to(
         counted.write.parquet(f"{folder}/labels/round={done}")
         if seen.get["rows"] == 0:
             break
-        if done - compacted >= COMPACT_EVERY:
-            # The last round stays apart: it is the next frontier.
-            older = [f"{folder}/labels/round={r}" for r in range(compacted, done)]
-            merged = spark.read.schema(schema).option("basePath", f"{folder}/labels")
-            best = merged.parquet(*older).groupBy("network", "node").agg(F.min("dist").alias("dist"))
-            best.write.parquet(f"{folder}/best")
-            remove(spark, older[-1])
-            spark.read.parquet(f"{folder}/best").write.parquet(older[-1])
-            for path in [*older[:-1], f"{folder}/best"]:
+        if done - first >= COMPACT_EVERY:
+            # The last round stays apart: it is the next frontier. Merged ones have a number below all rounds.
+            older = [*base, *(f"{folder}/labels/round={r}" for r in range(first, done))]
+            merged = spark.read.schema(schema).option("basePath", f"{folder}/labels").parquet(*older)
+            base, first = [f"{folder}/labels/round={-done}"], done
+            merged.groupBy("network", "node").agg(F.min("dist").alias("dist")).write.parquet(base[0])
+            for path in older:
                 remove(spark, path)
-            compacted = done - 1
     found = checkpointed(
         shortest_labels().select("network", F.col("node").alias("node_id"), F.col("dist").alias("road_m"))
     )
