@@ -20,7 +20,9 @@ from kadence.operators.places import (
 )
 from kadence.operators.roads import distances_to
 from kadence.rules import Rules, Site
-from kadence.workspace import checkpointed
+from kadence.sinks.compaction import FAN, compact
+from kadence.sinks.tables import append_batch, read_batches
+from kadence.workspace import checkpointed, work_dir
 
 
 def with_site(df: DataFrame, site: Site) -> DataFrame:
@@ -148,9 +150,12 @@ def evaluator(
 
     Streams use it: ``known`` is stored once, here, and joined per batch. ``lookup`` (for instance
     ``address_distances`` with its tables) is asked once for each ``address_key, network`` that
-    appears later; without it, or without an answer, an address counts as not found.
+    appears later, and its answers are added to what is stored; without it, or without an answer, an
+    address counts as not found.
     """
-    table = [checkpointed(known)]
+    spark, schema, answers = known.sparkSession, known.schema, [0]
+    folder = work_dir(spark, "addresses")
+    append_batch(known, folder, 0)
 
     def evaluate(people: DataFrame) -> DataFrame:
         asked = people.withColumns(
@@ -160,13 +165,18 @@ def evaluator(
             }
         )
         keys = ["address_key", "network"]
+        table = read_batches(spark, folder, schema)
         if lookup is not None:
             whole = F.col("address_key").isNotNull() & F.col("network").isNotNull()
-            new = asked.filter(whole).select(keys).distinct().join(table[0], keys, "left_anti")
+            new = asked.filter(whole).select(keys).distinct().join(table, keys, "left_anti")
             new = checkpointed(new)
             if not new.isEmpty():
-                table[0] = checkpointed(table[0].unionByName(lookup(new).select(table[0].columns)))
-        rows = left_join_known(asked, table[0].withColumn("__known", F.lit(True)), keys)
+                answers[0] += 1
+                append_batch(lookup(new).select(schema.fieldNames()), folder, answers[0])
+                if answers[0] % FAN == 0:
+                    compact(spark, folder, answers[0])
+                table = read_batches(spark, folder, schema)
+        rows = left_join_known(asked, table.withColumn("__known", F.lit(True)), keys)
         missing = F.col("__known").isNull() & F.col("address_key").isNotNull()
         rows = rows.withColumn(
             "geo_error", F.when(missing, F.lit(NO_CANDIDATE)).otherwise(F.col("geo_error"))
