@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadence.workspace import checkpointed, work_dir
 
-__all__ = ["WORD", "Memo", "checkpointed", "positions", "shipped", "stored", "table", "with_rank", "word_count"]
+__all__ = ["WORD", "Memo", "checkpointed", "positions", "shipped", "stored", "table", "tidy", "with_rank", "word_count"]
 
 #: A word: whatever stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +50,46 @@ def shipped(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def released() -> None:
+    """Give back memory that was freed: Python workers stay for later tasks, beside a JVM that wants it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it keeps
+
+
+def tidy(work: Callable) -> Callable:
+    """A function of one or two groups that gives back the memory it no longer needs."""
+    if len(inspect.signature(work).parameters) == 1:
+
+        @functools.wraps(work)
+        def one(group):
+            found = work(group)
+            released()
+            return found
+
+        return one
+
+    @functools.wraps(work)
+    def two(left, right):
+        found = work(left, right)
+        released()
+        return found
+
+    return two
+
+
+def row_place(docs: DataFrame) -> Column | None:
+    """A hash of where a row of ``docs`` stands in the files it reads, the same whoever reads it; None if it reads none."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["row_index"])
+    except AnalysisException:
+        return None
+    return F.xxhash64(place["file_path"], place["row_index"])
+
+
 class Memo(dict):
     """Answers for recent keys, in two generations of at most ``size``; the older one is dropped."""
 

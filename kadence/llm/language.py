@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, shipped
+
 #: Dimensions of a vector.
 DIMENSIONS = 512
 #: Letters bound into one n-gram vector.
@@ -204,15 +206,17 @@ def learn_profiles(
                         yield from bundled()
                         per, pending = {}, 0
         yield from bundled()
+        released()
 
+    shipped(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
     summed = rows.mapInPandas(sums, "lang string, dim int, value double")
     summed = summed.groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-    got = summed.limit(MAX_LANGUAGES * dimensions + 1).collect()
-    languages = sorted({r["lang"] for r in got}, key=lambda s: s.encode())
-    if len(languages) > MAX_LANGUAGES:
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    got = summed.collect()
+    languages = sorted({r["lang"] for r in got}, key=lambda s: s.encode())
     vectors = np.zeros((len(languages), dimensions))
     row = {lang: i for i, lang in enumerate(languages)}
     for r in got:
@@ -236,14 +240,18 @@ def identify(
 
         @F.pandas_udf("lang_pred string, score double, has_letter boolean")
         def predicted(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([found[:3] for found in shared.value.predict_all(texts.tolist())], columns=names)
+            found = pd.DataFrame([f[:3] for f in shared.value.predict_all(texts.tolist())], columns=names)
+            released()
+            return found
 
         return predicted(text)
 
     @F.pandas_udf("lang_pred string, score double, has_letter boolean, n_grams int, clean_score double")
     def with_clean(texts: pd.Series, labels: pd.Series) -> pd.DataFrame:
         found = shared.value.predict_all(texts.tolist(), labels.tolist())
-        return pd.DataFrame(found, columns=[*names, "n_grams", "clean_score"])
+        found = pd.DataFrame(found, columns=[*names, "n_grams", "clean_score"])
+        released()
+        return found
 
     return with_clean(text, label)
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 from .components import connected_components
 from .repeats import BLOCK_BYTES, NO_ID, text_blocks
 from .sequences import SLICE, Rolling, words
@@ -143,6 +143,7 @@ def jaccard_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """One row per input row: ``id_col`` (long), n_shingles, component_id.
 
@@ -158,9 +159,10 @@ def jaccard_groups(
 
     A text with fewer words is one shingle; null, empty and blank texts have none and link with
     nothing, and so does a row without an id, whose component is null. Rows that repeat an id
-    are one node. No rows give none; other columns are ignored.
+    are one node. No rows give none; other columns are ignored. ``unique_ids`` says that no id is null
+    or repeated, which the dealing into blocks then relies on, though not the result.
     """
-    blocks, n = text_blocks(docs, id_col, text_col, block_bytes)
+    blocks, n = text_blocks(docs, id_col, text_col, block_bytes, unique_ids)
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
@@ -212,11 +214,11 @@ def jaccard_groups(
         links = _search([sets[i] for i in order], percent)
         return pd.DataFrame([(ids[order[a]], ids[order[b]]) for a, b in links], columns=["a", "b"])
 
-    told = blocks.groupBy("block").applyInPandas(tell, "shard long, block long, tokens binary, times binary")
-    counted = told.groupBy("shard").applyInPandas(count, "block long, shard long, codes binary")
+    told = blocks.groupBy("block").applyInPandas(tidy(tell), "shard long, block long, tokens binary, times binary")
+    counted = told.groupBy("shard").applyInPandas(tidy(count), "block long, shard long, codes binary")
     rows = checkpointed(
         blocks.groupBy("block").cogroup(counted.groupBy("block"))
-        .applyInPandas(screen, "id long, n_shingles long, set_key binary, prefix array<long>, shingles binary")
+        .applyInPandas(tidy(screen), "id long, n_shingles long, set_key binary, prefix array<long>, shingles binary")
     )
 
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("first"))
@@ -243,7 +245,7 @@ def jaccard_groups(
     )
     # Dealt by chunk pair: after the join by component a group would stay in one task.
     dealt = members.repartition("component", "low", "high")
-    links = dealt.groupBy("component", "low", "high").applyInPandas(search, "a long, b long")
+    links = dealt.groupBy("component", "low", "high").applyInPandas(tidy(search), "a long, b long")
     joined = connected_components(links)
 
     labels = classes.join(joined, F.col("first") == F.col("node"), "left").select(

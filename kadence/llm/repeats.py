@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_place, shipped, tidy
 from .sequences import SLICE, Rolling, anchored
 
 #: Bytes of text in a block, about; a longer document is a block's only one.
@@ -118,13 +119,23 @@ def _numbers(rule: Rule, of: Stretches, order: np.ndarray, starts: np.ndarray) -
     return np.diff(np.append(starts, len(order)))
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """Rows (block, id, text as bytes) and the number of blocks, which follows the size of the texts."""
+def text_blocks(
+    docs: DataFrame, id_col: str, text_col: str, block_bytes: int, unique_ids: bool = False
+) -> tuple[DataFrame, int]:
+    """Rows (block, id, text as bytes) and the number of blocks, which follows the size of the texts.
+
+    Rows are dealt by their place in the files they are read from, so that rows without or with
+    the same id spread as well; with ``unique_ids``, or if there are no files, by id and text.
+    """
+    shipped(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    block = F.pmod(F.xxhash64(ids, F.octet_length(text)), F.lit(n)).cast("long")
+    place = F.xxhash64(ids) if unique_ids else row_place(docs)
+    if place is None:
+        place = F.xxhash64(ids, text)
+    block = F.pmod(place, F.lit(n)).cast("long")
     return docs.select(block.alias("block"), ids.alias("id"), text.cast("binary").alias("text")), n
 
 
@@ -283,11 +294,11 @@ def repeated_windows(
         starts = [start[order[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
         return rule.finish(ids, texts, starts)
 
-    told = blocks.groupBy("block").applyInPandas(tell, "shard long, block long, keys binary, many binary, spread binary")
-    recurring = told.groupBy("shard").applyInPandas(answer, "block long, shard long, keys binary, hot binary")
+    told = blocks.groupBy("block").applyInPandas(tidy(tell), "shard long, block long, keys binary, many binary, spread binary")
+    recurring = told.groupBy("shard").applyInPandas(tidy(answer), "block long, shard long, keys binary, hot binary")
     sent = (
         blocks.groupBy("block").cogroup(recurring.groupBy("block"))
-        .applyInPandas(send, "shard long, block long, content binary, number binary, length binary, data binary, hot binary")
+        .applyInPandas(tidy(send), "shard long, block long, content binary, number binary, length binary, data binary, hot binary")
     )
-    judged = sent.groupBy("shard").applyInPandas(judge, "block long, content binary, mask binary, hot binary")
-    return blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(finish, schema)
+    judged = sent.groupBy("shard").applyInPandas(tidy(judge), "block long, content binary, mask binary, hot binary")
+    return blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(tidy(finish), schema)
