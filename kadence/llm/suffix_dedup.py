@@ -16,28 +16,51 @@ LENGTH = 50
 GRAM = 16
 
 
-def first_documents(order_same: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Smallest document that each suffix matches in full, itself included.
-
-    ``docs`` holds the documents of suffixes in suffix order, ``order_same`` whether a suffix has
-    the full length in common with the one before it. Previous and next smaller entries chain to
-    the smallest of the run, so a running minimum from either side finds what they lead to.
+def common_lengths(ordered: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that each of the sorted suffixes (``length`` bytes each) shares with the one before it."""
+    common = np.zeros(len(ordered), np.int64)
+    rows = np.ndarray((len(ordered), length), np.uint8, buffer=np.ascontiguousarray(ordered))
+    for i in range(1, len(ordered), 1 << 16):
+        apart = rows[i - 1 : i - 1 + (1 << 16)][: len(rows[i : i + (1 << 16)])] != rows[i : i + (1 << 16)]
+        common[i : i + (1 << 16)] = np.where(apart.any(axis=1), apart.argmax(axis=1), length)
+    return common
+
+
+def _before(docs: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Length that each suffix shares with the nearest one before it of a smaller document, if ``least`` at least.
+
+    The nearest smaller entry, as a stack finds it, for all suffixes at once: a candidate that is not smaller
+    hands over its own candidate, with the least common length on the way. All between the two is not
+    smaller either, so none is skipped; chains halve each time. What falls below ``least`` is given up.
+    """
+    at, shared = np.arange(len(docs)) - 1, common.copy()
+    live = np.flatnonzero(shared >= least)
+    live = live[live > 0]
+    shared[np.setdiff1d(np.arange(len(docs)), live, assume_unique=True)] = 0
+    while len(live):
+        live = live[docs[at[live]] >= docs[live]]
+        passed = at[live]
+        there, both = at[passed], np.minimum(shared[live], shared[passed])
+        at[live], shared[live] = there, np.where((there < 0) | (both < least), 0, both)
+        live = live[shared[live] > 0]
+    return shared
+
+
+def factor_lengths(docs: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors, in suffix order: what each suffix shares at most with one of a smaller document.
+
+    ``docs`` are the suffixes' documents, ``common`` as of ``common_lengths``. Of all suffixes of smaller
+    documents, the previous and the next smaller entry in suffix order share most. Lengths below ``least`` are 0.
     """
-    run = np.cumsum(~order_same)
-    names, rank = np.unique(docs, return_inverse=True)
-    wide = len(names) + 1
-    before = np.minimum.accumulate(rank - run * wide) + run * wide
-    back = run[-1] - run[::-1]
-    after = (np.minimum.accumulate(rank[::-1] - back * wide) + back * wide)[::-1]
-    return names[np.minimum(before, after)]
+    after = np.append(common[1:], 0)[::-1]
+    return np.maximum(_before(docs, common, least), _before(docs[::-1], after, least)[::-1])
 
 
 def factor_masks(contents: list[bytes], firsts: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
-    """Masks of the windows of each row's stretch that also start in an earlier document.
+    """Masks of the windows of each row's stretch whose longest previous factor is ``length`` or more.
 
-    Sorts the suffixes that start a window by their first ``length`` bytes, which is as deep as a
-    match must reach: the previous factor of a suffix is long enough if a smaller document stands
-    in the run of suffixes that share these bytes.
+    Suffixes that start a window are sorted by their first ``length`` bytes, so factors are cut there. Equal
+    stretches are one, of their first document: a later one has all of it as its factor.
     """
     least = np.full(len(contents), NO_ID, np.int64)
     np.minimum.at(least, rows, firsts)
@@ -49,14 +72,15 @@ def factor_masks(contents: list[bytes], firsts: np.ndarray, rows: np.ndarray, le
     starts = np.repeat(np.cumsum(sizes) - sizes, widths) + step
     suffixes = np.ndarray(len(buffer) - length + 1, f"S{length}", buffer=buffer, strides=(1,))[starts]
     order = np.argsort(suffixes, kind="stable")
-    ordered = suffixes[order]
-    same = np.concatenate(([False], ordered[1:] == ordered[:-1]))
-    first = np.empty(len(order), np.int64)
-    first[order] = first_documents(same, np.repeat(least, widths)[order])
+    factors = np.empty(len(order), np.int64)
+    factors[order] = factor_lengths(
+        np.repeat(least, widths)[order], common_lengths(suffixes[order], length), least=length
+    )
     # The rows of a stretch differ in their own first document.
     each = widths[rows]
     window = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    earlier = first[np.repeat(edges[rows], each) + window] < np.repeat(firsts, each)
+    copied = np.repeat(least[rows] < firsts, each)
+    earlier = copied | (factors[np.repeat(edges[rows], each) + window] >= length)
     masks = np.zeros(len(rows), np.uint64)
     np.bitwise_or.at(masks, np.repeat(np.arange(len(rows)), each)[earlier], np.uint64(1) << window[earlier].astype(np.uint64))
     return masks
