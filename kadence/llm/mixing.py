@@ -79,7 +79,7 @@ def balanced_rates(
     meet the token constraint of each source are min(most, exp(tilt * size / mean size)), with one
     tilt per source. Newton steps run for all sources at once; each is one aggregation over
     classes of equal source and size. A step that leaves the bracket of a source is replaced by
-    its middle, so the search always ends.
+    its middle, so the search ends; if it has not after ``rounds`` steps, it raises.
     """
     means = classes.groupBy("source").agg(
         (F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean")
@@ -130,6 +130,8 @@ def balanced_rates(
         state = state.drop("open")
         if not still:
             break
+    else:
+        raise RuntimeError(f"tilts still move after {rounds} steps")
     solved = _meet(classes, state.select("source", "mean", "tilt"), "left")
     rate = F.coalesce(_rate(F.col("tilt"), x, most), F.lit(1.0))
     return solved.withColumn("rate", rate).drop("mean", "tilt")
@@ -141,14 +143,13 @@ def _meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(other, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def rounded_copies(
-    rated: DataFrame, targets: DataFrame, most: int = MOST, rounds: int = 40
-) -> DataFrame:
+def rounded_copies(rated: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
     """Whole copies per class: adds copies, the number that the ``n`` documents of a class share.
 
     Along falling sizes of a source, the running sum of rates is rounded, which leaves an error of
     about the largest size. What is left is settled by the largest class that fits, adding or
-    taking copies, until no class fits or the target is met to the word.
+    taking copies, until no class fits or the target is met to the word. Each move leaves less, and a
+    class of a source moves once at most for each larger one, so this ends by itself.
     """
     along = Window.partitionBy("source").orderBy(F.col("size").desc())
     running = F.sum(F.col("n") * F.col("rate")).over(along)
@@ -158,7 +159,7 @@ def rounded_copies(
     whole = whole.withColumn("copies", F.least(F.col("copies"), F.col("n") * most)).drop("_to")
     whole = checkpointed(whole)
     goals = targets.select("source", F.round("target").cast("long").alias("goal"))
-    for _ in range(rounds):
+    while True:
         left = _meet(whole.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")), goals)
         left = left.select("source", (F.col("goal") - F.col("got")).alias("left"))
         open_ = _meet(whole.where("size > 0"), left)
