@@ -115,6 +115,12 @@ def space(*settings) -> GramSpace:
     return _SPACES[settings]
 
 
+def forgotten() -> None:
+    """Drop the vectors at the end of a task: they are large in many dimensions, and workers stay for other work."""
+    _SPACES.clear()
+    released()
+
+
 class LanguageProfiles:
     """Learned prototypes: ``languages`` and one vector each."""
 
@@ -206,7 +212,7 @@ def learn_profiles(
                         yield from bundled()
                         per, pending = {}, 0
         yield from bundled()
-        released()
+        forgotten()
 
     shipped(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -239,19 +245,19 @@ def identify(
     if label is None:
 
         @F.pandas_udf("lang_pred string, score double, has_letter boolean")
-        def predicted(texts: pd.Series) -> pd.DataFrame:
-            found = pd.DataFrame([f[:3] for f in shared.value.predict_all(texts.tolist())], columns=names)
-            released()
-            return found
+        def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield pd.DataFrame([f[:3] for f in shared.value.predict_all(texts.tolist())], columns=names)
+            forgotten()
 
         return predicted(text)
 
     @F.pandas_udf("lang_pred string, score double, has_letter boolean, n_grams int, clean_score double")
-    def with_clean(texts: pd.Series, labels: pd.Series) -> pd.DataFrame:
-        found = shared.value.predict_all(texts.tolist(), labels.tolist())
-        found = pd.DataFrame(found, columns=[*names, "n_grams", "clean_score"])
-        released()
-        return found
+    def with_clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, labels in batches:
+            found = shared.value.predict_all(texts.tolist(), labels.tolist())
+            yield pd.DataFrame(found, columns=[*names, "n_grams", "clean_score"])
+        forgotten()
 
     return with_clean(text, label)
 
