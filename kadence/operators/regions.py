@@ -1,9 +1,10 @@
 """Road distances over a network cut into regions: rounds go over region borders only.
 
 Border nodes are the ends of roads between regions, and the target. One pass over the regions finds the
-ways between the borders of each, which with the roads between regions make a small overlay network. Its distances
-are found in rounds as ever (``roads.distances_to``), and a second pass carries them into the regions. So the
-rounds follow the number of regions a way crosses, not the number of its roads.
+ways between the borders of each, which with the roads between regions make a small overlay network. That is cut
+into larger regions again, until one is left or cutting does not pay; there, distances are found in rounds as ever
+(``roads.distances_to``). Passes back carry them into the regions, level by level. So the passes follow the logarithm
+of the number of regions a way crosses.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Roads of a region, which one task searches, and the share of roads that may lead out of regions.
 REGION_EDGES = 1_000_000
 CROSSING = 0.25
+#: Neighbouring regions that make one on the next level.
+FAN = 64
 
 
 def _roads_back(inner: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
@@ -34,8 +37,13 @@ def _roads_back(inner: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
     return back
 
 
-def _walk(back: dict, start: list[tuple[float, int]], stops: frozenset | set) -> dict[int, float]:
-    """Shortest ways back from labelled nodes; a stop that is reached is labelled and not passed."""
+def _walk(
+    back: dict, start: list[tuple[float, int]], stops: frozenset | set, ends: bool = True
+) -> dict[int, float]:
+    """Shortest ways back from labelled nodes; a stop that is reached is labelled and not passed.
+
+    Without ``ends``, nodes that are no stop and that no road leads to are left out: no way goes on from there.
+    """
     labels: dict[int, float] = {}
     heap = sorted(start)
     first = {node for _, node in start}
@@ -47,7 +55,7 @@ def _walk(back: dict, start: list[tuple[float, int]], stops: frozenset | set) ->
         if node in stops and node not in first:
             continue
         for prev, length in back.get(node, ()):
-            if prev not in labels:
+            if prev not in labels and (ends or prev in back or prev in stops):
                 heappush(heap, (dist + length, prev))
     return labels
 
@@ -56,7 +64,7 @@ def border_ways(inner: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
     """Shortest ways inside a region from border to border that pass no third one: ``network, u, v, length``."""
     back, stops = _roads_back(inner), set(borders["node"].tolist())
     out = [
-        (u, v, dist) for v in sorted(stops) for u, dist in _walk(back, [(0.0, v)], stops).items() if u != v and u in stops
+        (u, v, dist) for v in sorted(stops) for u, dist in _walk(back, [(0.0, v)], stops, ends=False).items() if u != v and u in stops
     ]
     ways = pd.DataFrame(out, columns=["u", "v", "length"])
     ways.insert(0, "network", borders["network"].iloc[0] if len(borders) else None)
@@ -79,14 +87,15 @@ def region_distances(
     *,
     region_edges: int = REGION_EDGES,
     crossing: float = CROSSING,
+    fan: int = FAN,
     **rounds,
 ) -> DataFrame:
     """``network, node_id, road_m`` as ``distances_to`` finds them, for networks in which ways are long.
 
     ``region`` names the region of a ``node`` (whole number), for instance its cube or a range of its number. If a
     region has more than ``region_edges`` roads, or more than the share ``crossing`` of all leads out of regions,
-    cutting does not pay and the network is solved as a whole; the answer is the same. ``rounds`` go to
-    ``distances_to``.
+    cutting does not pay and the network is solved as a whole; the answer is the same. ``fan`` regions of
+    neighbouring numbers make a region of the overlay. ``rounds`` go to ``distances_to``.
     """
     spark = edges.sparkSession
     folder = work_dir(spark, "regions")
@@ -104,7 +113,9 @@ def region_distances(
     by_region = roads.groupBy("network", "region").agg(
         F.count("*").alias("n"), F.count_if(leads_out).alias("out"), F.min("length").alias("least")
     )
-    most, total, out, least = by_region.agg(F.max("n"), F.sum("n"), F.sum("out"), F.min("least")).first()
+    most, total, out, least, widest = by_region.agg(
+        F.max("n"), F.sum("n"), F.sum("out"), F.min("least"), F.max(F.abs("region"))
+    ).first()
     if not total or least < 0 or most > region_edges or out > crossing * total:
         remove(spark, folder)
         return distances_to(edges, targets, **rounds)
@@ -123,7 +134,13 @@ def region_distances(
     )
     overlay = ways.unionByName(between.select("network", F.col("prev").alias("u"), F.col("node").alias("v"), F.col("length").cast("double")))
     overlay.write.parquet(f"{folder}/overlay")
-    reached = distances_to(spark.read.parquet(f"{folder}/overlay"), targets, **rounds)
+    overlay = spark.read.parquet(f"{folder}/overlay")
+    if widest:
+        larger = F.call_function("div", region, F.lit(fan))
+        options = {"region_edges": region_edges, "crossing": crossing, "fan": fan}
+        reached = region_distances(overlay, targets, larger, **options, **rounds)
+    else:
+        reached = distances_to(overlay, targets, **rounds)
     labelled = placed(reached.withColumnRenamed("node_id", "node"), "node", "region")
     found = (
         inner.groupBy(*keys).cogroup(labelled.groupBy(*keys))

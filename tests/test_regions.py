@@ -76,3 +76,14 @@ def test_where_cutting_does_not_pay_and_empty_networks(spark):
     negative, _ = frames(spark, [("walk", 1, 2, -1)], [])
     with pytest.raises(ValueError, match="negative"):
         region_distances(negative, goal, by_range(10))
+
+
+@pytest.mark.parametrize("options", [{}, {"fan": 4}])
+def test_regions_of_regions_keep_the_rounds_few(spark, options):
+    """Thirty regions in a row, with side roads: the overlay is cut again, so rounds do not follow them."""
+    roads = [("walk", i + 1, i, 1 + i % 3) for i in range(-60, 60)] + [("walk", 1000 + i, i, 5) for i in range(0, 60, 7)]
+    roads += [("walk", 40, 52, 2), ("walk", -50, 7, 1)]
+    edges, goal = frames(spark, roads, [("walk", -60)])
+    place = F.when(F.col("node") >= 1000, F.col("node") - 1000).otherwise(F.col("node"))
+    got = region_distances(edges, goal, F.floor(place / 4), max_rounds=8, crossing=0.5, **options)
+    assert rows(got) == relaxed(roads, [("walk", -60)])
