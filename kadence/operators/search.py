@@ -2,8 +2,9 @@
 
 Terms of an address are its numbers, whole, and the trigrams of its words, in any order. A term weighs the more the
 fewer addresses have it. The score of two texts is the weight they share, twice, over the weight of both,
-in thousandths. Texts that can reach the asked score share one of their rarest terms, so only those
-are looked up (see ``_rarest``), and no list of a frequent term meets another.
+in thousandths. Texts that can reach the asked score share one of their rarest terms (see ``_rarest``), and the found one
+has all numbers of the wanted one. So a text with numbers looks up its rarest number together with each of its
+rarest terms; only texts without a number look up terms alone.
 """
 
 from __future__ import annotations
@@ -55,6 +56,28 @@ def _rarest(weighted: DataFrame, least: int) -> DataFrame:
     return left.where((2000 - least) * F.col("left") >= least * F.col("weight")).select("key", "term")
 
 
+def _looked_up(weighted: DataFrame, least: int) -> DataFrame:
+    """``key, number, term`` to look up for each wanted text: a match has the number, if there is one, and one of the terms."""
+    rank = F.when(F.col("term").startswith("#"), F.struct("w", "term"))
+    numbers = weighted.groupBy("key").agg(F.max(rank)["term"].alias("number"))
+    return _rarest(weighted, least).join(numbers, "key").select("key", F.coalesce("number", F.lit("")).alias("number"), "term")
+
+
+def _listed(weighted: DataFrame, least: int) -> DataFrame:
+    """``found, number, term`` under which an address stands: each rarest term with each of its numbers, and with none."""
+    digits = F.collect_list(F.when(F.col("term").startswith("#"), F.col("term")))
+    numbers = weighted.groupBy("key").agg(F.array_append(digits, F.lit("")).alias("numbers"))
+    return _rarest(weighted, least).join(numbers, "key").select(
+        F.col("key").alias("found"), F.explode("numbers").alias("number"), "term"
+    )
+
+
+def candidates(asked: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """``key, found`` of weighted texts that may match: all that do are among them."""
+    pairs = _looked_up(asked, least).join(_listed(index, least), ["number", "term"])
+    return pairs.select("key", "found").distinct()
+
+
 def search(wanted: DataFrame, addresses: DataFrame, least: int = LEAST) -> DataFrame:
     """``key, found, match`` for each distinct text ``key`` of ``wanted`` that has a match among ``key`` of ``addresses``.
 
@@ -65,10 +88,7 @@ def search(wanted: DataFrame, addresses: DataFrame, least: int = LEAST) -> DataF
     # One number; the index itself is never collected.
     total = addresses.count()
     asked, index = (_weighted(t, known, total) for t in (wanted, addresses))
-    pairs = (
-        _rarest(asked, least).join(_rarest(index, least).withColumnRenamed("key", "found"), "term")
-        .select("key", "found").distinct()
-    )
+    pairs = candidates(asked, index, least)
     mine = _whole(asked).withColumnsRenamed({"terms": "asked", "weight": "asked_weight"})
     theirs = _whole(index).withColumnRenamed("key", "found")
     both = pairs.join(mine, "key").join(theirs, "found")

@@ -81,6 +81,18 @@ def test_search_equals_scoring_all_pairs(spark, least):
     assert rows(search(frame(asked), frame(index), least)) == sorted(want, key=repr)
 
 
+def test_texts_with_numbers_meet_no_other_house_of_their_street(spark):
+    """One street of many houses: all texts share its terms, but only those with the number are scored."""
+    from kadence.operators import search as S
+
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "key string")
+    index, asked = frame([f"{k} rue machinery" for k in range(400)]), frame([f"{k} rue machinry" for k in range(0, 800, 2)])
+    known = index.select(S.F.explode(S.address_terms(S.F.col("key"))).alias("term")).groupBy("term").agg(S.F.count("*").alias("n"))
+    pairs = S.candidates(S._weighted(asked, known, 400), S._weighted(index, known, 400), 300)
+    assert rows(pairs) == sorted(((f"{k} rue machinry", f"{k} rue machinery") for k in range(0, 400, 2)), key=repr)
+    assert {r["key"] for r in search(asked, index, 300).collect()} == {f"{k} rue machinry" for k in range(0, 400, 2)}
+
+
 def test_empty_sides(spark):
     assert located(spark, []) == {}
     assert located(spark, ["12 rue foch", None], []) == {0: (None, None, NO_CANDIDATE), 1: (None, None, None)}
