@@ -68,3 +68,54 @@ def test_quantiles_of_merged_hours(spark):
         for share, found in zip(shares, quantiles):
             rank = sum(v <= found for v in mine) / len(mine)
             assert abs(rank - share) < 0.02
+
+
+def test_employees_of_a_bucket_share_the_calls_of_the_store():
+    import pandas as pd
+
+    from kadence.streaming.keyed import History
+
+    class Kept:
+        def __init__(self):
+            self.value, self.values, self.calls = None, [], 0
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        getListState = getValueState  # noqa: N815
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value if self.value is not None else iter(self.values)
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def appendValue(self, value):  # noqa: N802
+            self.calls += 1
+            self.values.append(value)
+
+    history, newest, listed = History(), Kept(), Kept()
+    history.newest, history.rows = newest, listed
+
+    def lot(ids, day):
+        names = ["bucket", "id_salarie", "at_us", "topic", "partition", "offset", "valid_us", "flag", "opens"]
+        return pd.DataFrame([(0, i, day, "t", 0, 1000 * day + i, day, i % 2 == 0, True) for i in ids], columns=names)
+
+    def sent(*parts):
+        found = pd.concat([*history.handleInputRows((0,), iter(parts), None)])
+        return sorted((r.id_salarie, r.debut_us, None if pd.isna(r.fin_us) else r.fin_us, r.revision) for r in found.itertuples())
+
+    assert sent(lot(range(200), 5), lot(range(200, 300), 5)) == [(i, 5, None, 0) for i in range(300)]
+    assert sent(lot(range(300), 8)) == sorted(
+        [(i, 5, 8, 1) for i in range(300)] + [(i, 8, None, 1) for i in range(300)], key=lambda r: (r[0], r[1])
+    )
+    assert newest.calls == 3 and listed.calls == 2
+    # One row comes late, one again, and one is in time: only the first has its employee's rows read and sent anew.
+    assert sent(pd.concat([lot([7], 6), lot([9], 5), lot([11], 9)])) == [
+        (7, 5, 6, 2), (7, 6, 8, 2), (7, 8, None, 2), (11, 8, 9, 2), (11, 9, None, 2),
+    ]
+    assert list(history.handleInputRows((0,), iter([lot(range(300), 5)]), None)) == []
