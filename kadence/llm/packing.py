@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpointed, released, with_rank
+from .common import checkpointed, released, with_rank
 from .token_counts import default_path
 
 #: Tokens in a sequence at most.
@@ -22,7 +22,7 @@ LIMIT = 2048
 SMALL = 1 / 8
 #: Groups of equal cardinality among the large pieces.
 GROUPS = 192
-#: Pieces that a Python worker remembers, twice over, in some 200 bytes each.
+#: Pieces that a Python worker remembers, in some 200 bytes each.
 _KEPT = 800_000
 #: Texts that are encoded together, and their characters, at most.
 _ROWS, _CHARS = 512, 1 << 21
@@ -37,7 +37,8 @@ class Encoder:
     """Token ids of whole texts by the tokenizers library, as little-endian bytes.
 
     With a byte-level tokenizer, a word starts at each space before a character that is none. A
-    text is cut there; pieces not seen lately are encoded, many at a time.
+    text is cut there; pieces not seen lately are encoded, many at a time. Beyond ``remembered`` pieces, those of
+    the last texts stay.
     """
 
     def __init__(self, path: str, remembered: int = _KEPT):
@@ -46,7 +47,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Memo(remembered)
+        self.remembered, self.known = remembered, {}
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """What stands before the first cut, and the pieces behind it without their space."""
@@ -65,6 +68,17 @@ class Encoder:
         """Ids of pieces behind a space."""
         for i in range(0, len(pieces), 4096):
             some = pieces[i : i + 4096]
+            joined = "\n ".join(some)
+            # A line end before a space is a token of its own, so pieces without white space are encoded as lines.
+            if joined.split() == some:
+                ids = np.array(self.library.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(ids == self.line)
+                if self.line is not None and len(ends) == len(some) - 1:
+                    data, at = ids.tobytes(), 0
+                    for p, end in zip(some, [*(4 * ends).tolist(), len(data)], strict=True):
+                        yield p, data[at:end]
+                        at = end + 4
+                    continue
             found = self.library.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
             for p, encoded in zip(some, found, strict=True):
                 yield p, _packed(encoded.ids)
@@ -72,20 +86,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         heads = self.library.encode_batch_fast([h for h, _ in cut], add_special_tokens=False)
-        here, new = {}, []
-        for p in set().union(*(rest for _, rest in cut)):
-            try:
-                here[p] = self.known[p]
-            except KeyError:
-                new.append(p)
-        for p, ids in self.answers(new):
-            here[p] = ids
-            if len(p) <= 64:
-                self.known.put(p, ids)
-        return [
-            _packed(head.ids) + b"".join([here[p] for p in rest])
-            for head, (_, rest) in zip(heads, cut, strict=True)
+        here, known = set().union(*(rest for _, rest in cut)), self.known
+        plain, other = [], []
+        for p in here.difference(known):
+            (plain if len(p.split()) == 1 else other).append(p)
+        for new in (plain, other):
+            known.update(self.answers(new))
+        ids = [
+            _packed(head.ids) + b"".join(map(known.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)
         ]
+        if len(known) > self.remembered:
+            self.known = {p: known[p] for p in here if len(p) <= 64}
+        else:
+            for p in (*plain, *other):
+                if len(p) > 64:
+                    del known[p]
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -299,7 +315,7 @@ def pack_documents(
 
     A null text counts as empty and has one piece, the separator. Each input row is packed, also
     if it repeats another or its id is null. No rows give none; other columns are ignored.
-    ``remembered`` pieces of words are kept by a Python worker, twice over: fewer take less memory and more time.
+    ``remembered`` pieces of words are kept by a Python worker: fewer take less memory and more time.
     """
     spark = docs.sparkSession
     pieces = checkpointed(token_pieces(docs, tokenizer, limit, 0, id_col, text_col, remembered))

@@ -196,3 +196,28 @@ def test_profiles():
     assert profiles.predict("The HOUSE of the hen") == ("a", pytest.approx(1.0), True)
     assert profiles.predict(None) == profiles.predict("12 .") == ("und", 0.0, False)
     assert LanguageProfiles([], np.zeros((0, 512)), settings_).predict("abc") == ("und", 0.0, True)
+
+
+def test_unseen_pieces_are_encoded_as_lines_of_one_text():
+    """Two calls for many words, heads and lines; odd pieces give what the library gives, also beyond what is remembered."""
+    from kadence.llm.packing import Encoder
+    from kadence.llm.token_counts import default_path
+
+    made = Encoder(default_path("byte_bpe_50k.json"), remembered=50)
+    library, calls = made.library, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(library, name)
+
+    made.library = Counted()
+    texts = [" ".join(f"w{i}x{k}," for i in range(300)) for k in range(2)]
+    odd = ["a <|endoftext|> b<|endoftext|>c \n d\ne  f  g h\x1ci j\x85 it's 's ,\n", "", " ", "x " + "y" * 70 + " z", "é 　ü \r\n\t."]
+    for some in (texts, odd, texts + odd):
+        calls.clear()
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert made.encode(some) == want
+        if some is texts:
+            assert len(calls) == 2
+    assert all(len(p) <= 64 for p in made.known)
