@@ -8,18 +8,18 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import shipped
+from .common import checkpointed, shipped
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the trees are fitted on at most, and the precision a threshold must reach.
-MAX_LABELLED = 20_000
+#: The precision a threshold must reach.
 PRECISION = 0.98
+#: Cells of equal width that scores are summed up by.
+CELLS = 4096
 #: Context that features see on either side of a span.
 CONTEXT = 24
 
@@ -227,17 +227,37 @@ def _examples(text: str) -> list[tuple[list[float], int, int]]:
     return out
 
 
-def learn_spans(
-    docs: DataFrame, text_col: str = "text", most: int = MAX_LABELLED, precision: float = PRECISION
-) -> SpanModel:
-    """Fit the trees on at most ``most`` candidates, those of smallest hash among all documents.
+def _thresholds(scored: DataFrame, precision: float) -> dict[int, float]:
+    """By kind, a threshold from all rows of ``kind, score, y``.
+
+    It lies halfway between the lowest score from which on ``precision`` of the rows are right and the next wrong one below, at 0.5
+    at least. Scores are counted, then summed up by cells, so the rows of a kind do not meet in one task.
+    """
+    counts = scored.groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("right"))
+    counts = checkpointed(counts.withColumn("cell", F.floor(F.col("score") * CELLS)))
+    above = Window.partitionBy("kind").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy("kind", "cell").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    cells = cells.select("kind", "cell", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "right")))
+    inside = Window.partitionBy("kind", "cell").orderBy(F.desc("score"))
+    from_here = counts.join(cells, ["kind", "cell"]).withColumns(
+        {c: F.col(f"{c}_above") + F.sum(c).over(inside) for c in ("n", "right")}
+    )
+    good = (F.col("right") >= F.lit(precision) * F.col("n")) & (F.col("right") > 0)
+    lows = from_here.filter(good).groupBy("kind").agg(F.min("score").alias("low"))
+    wrong = F.max(F.when((F.col("right") < F.col("n")) & (F.col("score") < F.col("low")), F.col("score")))
+    found = counts.join(F.broadcast(lows), "kind").groupBy("kind", "low").agg(F.coalesce(wrong, F.lit(0.0)).alias("wrong"))
+    return {r["kind"]: max(0.5, (r["low"] + r["wrong"]) / 2) for r in found.collect()}
+
+
+def learn_spans(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> SpanModel:
+    """Fit the trees on the candidates of all documents, equal ones counted once.
 
     Candidates that the fixed patterns confirm are right, as is each of them in disguised forms; near misses
     made of them and candidates that they do not confirm are wrong, unless only their format does it (see ``only_formatted``): such
-    ones are what is to be found, however frequent. A fifth is held out; the threshold of a kind lies
+    ones are what is to be found, however frequent. A fifth, by hash, is held out for the thresholds; a kind's lies
     halfway between the lowest score from which on that fifth reaches ``precision`` and the next wrong one
     below, at 0.5 at least. Without candidates of both sorts
-    the model adds nothing.
+    the model adds nothing. Candidates stay with Spark: sums by node, feature and bin come back, and a few numbers a kind.
     """
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,27 +272,22 @@ def learn_spans(
 
     shipped(docs.sparkSession)
     found = docs.select(F.col(text_col).alias("text")).mapInPandas(examples, "x array<double>, y int, kind int, hash long")
-    # Equal examples are one, so that copies do not fill the sample.
-    rows = found.distinct().orderBy("hash", "x", "y").limit(most).collect()
-    if len({r["y"] for r in rows}) < 2:
-        return SpanModel()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
-    kind, held = np.array([r["kind"] for r in rows]), np.array([r["hash"] for r in rows]) % 5 == 0
-    if not held.any() or len(set(y[~held])) < 2:
+    # Equal examples are one, so that copies do not outweigh the rest.
+    rows = checkpointed(found.distinct())
+    is_held = F.col("hash") % 5 == 0
+    held, fitted = rows.filter(is_held), rows.filter(~is_held)
+    parts = {r["held"]: r["sorts"] for r in rows.groupBy(is_held.alias("held")).agg(F.count_distinct("y").alias("sorts")).collect()}
+    if parts.get(True, 0) == 0 or parts.get(False, 0) < 2:
         return SpanModel()
-    trees = BoostedTrees().fit(x[~held], y[~held])
-    scores = np.array([trees.score(row) for row in x[held].tolist()])
-    model = SpanModel(trees)
-    for k in range(4):
-        mine = kind[held] == k
-        order = np.argsort(-scores[mine], kind="stable")
-        right, sorted_scores = np.cumsum(y[held][mine][order]), scores[mine][order]
-        last = np.append(sorted_scores[1:] != sorted_scores[:-1], True)[: len(order)]
-        good = np.flatnonzero((right >= precision * np.arange(1, len(order) + 1)) & last)
-        if len(good) and right[good[-1]] > 0:
-            low = float(sorted_scores[good[-1]])
-            wrong = [v for v in scores[mine][y[held][mine] == 0].tolist() if v < low]
-            model.thresholds[k] = max(0.5, (low + max(wrong, default=0.0)) / 2)
+    model = SpanModel(BoostedTrees().fit_rows(fitted))
+    shared = docs.sparkSession.sparkContext.broadcast(model.trees)
+
+    @F.pandas_udf("double")
+    def score(xs: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(x) for x in xs.map(list)], dtype=float)
+
+    for kind, threshold in _thresholds(held.select("kind", "y", score("x").alias("score")), precision).items():
+        model.thresholds[kind] = threshold
     return model
 
 
