@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kadence.workspace import checkpointed, remove, work_dir
@@ -12,18 +14,39 @@ HOPS = 2
 PIECES = 32
 HUB_EDGES = 100_000
 COMPACT_EVERY = 8
+#: Hashes by which the roads of nodes are counted first.
+CELLS = 1 << 16
+#: Labels that are all sent on at once; of more, the shortest go first.
+FEW = 100_000
+
+
+def _backwards(edges: DataFrame) -> DataFrame:
+    """``network, node, prev, length``: roads walked backwards."""
+    return edges.select("network", F.col("v").alias("node"), F.col("u").alias("prev"), "length")
 
 
 def _reversed_edges(edges: DataFrame) -> DataFrame:
-    """``network, node, prev, length``: roads walked backwards, the shortest of parallel ones."""
-    return edges.groupBy("network", F.col("v").alias("node"), F.col("u").alias("prev")).agg(
-        F.min("length").alias("length")
-    )
+    """The same, the shortest of parallel ones."""
+    return _backwards(edges).groupBy("network", "node", "prev").agg(F.min("length").alias("length"))
 
 
-def _hubs(incoming: DataFrame, hub_edges: int) -> DataFrame:
-    counts = incoming.groupBy("network", "node").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > hub_edges).select("network", "node", F.lit(True).alias("hub"))
+def _hubs(incoming: DataFrame, hub_edges: int) -> tuple[float | None, DataFrame | None]:
+    """The shortest length, and nodes with more than ``hub_edges`` roads, None if there is none.
+
+    Roads are counted by a hash of their node, so as many rows as there are hashes are shuffled, and then by node
+    where a hash has enough of them.
+    """
+    cell = F.pmod(F.xxhash64("network", "node"), F.lit(CELLS).cast("bigint")).cast("int")
+    counts = incoming.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("shortest"))
+    counts = checkpointed(counts)
+    shortest = counts.agg(F.min("shortest")).first()[0]
+    full = counts.filter(F.col("n") > hub_edges).select("cell")
+    if full.isEmpty():
+        return shortest, None
+    nodes = incoming.withColumn("cell", cell).join(F.broadcast(full), "cell").groupBy("network", "node")
+    counted = nodes.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_edges)
+    hubs = checkpointed(counted.select("network", "node", F.lit(True).alias("hub")))
+    return shortest, None if hubs.isEmpty() else hubs
 
 
 def _in_pieces(incoming: DataFrame, hubs: DataFrame | None) -> DataFrame:
@@ -33,19 +56,19 @@ def _in_pieces(incoming: DataFrame, hubs: DataFrame | None) -> DataFrame:
     over the pieces, and the frontier visits every piece.
     """
     if hubs is None:
-        return incoming.withColumn("piece", F.lit(0))
+        return incoming
     cut = F.pmod(F.xxhash64("prev"), F.lit(PIECES).cast("bigint")).cast("int")
-    marked = incoming.join(hubs, ["network", "node"], "left")
+    marked = incoming.join(F.broadcast(hubs), ["network", "node"], "left")
     return marked.withColumn("piece", F.when(F.col("hub"), cut).otherwise(F.lit(0))).drop("hub")
 
 
 def _sent(labels: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """Labels with the pieces of edges they go to."""
     if hubs is None:
-        return labels.withColumn("piece", F.lit(0))
+        return labels
     all_pieces = F.sequence(F.lit(0), F.lit(PIECES - 1))
     pieces = F.when(F.col("hub"), all_pieces).otherwise(F.array(F.lit(0)))
-    return labels.join(hubs, ["network", "node"], "left").select(
+    return labels.join(F.broadcast(hubs), ["network", "node"], "left").select(
         "network", "node", "dist", F.explode(pieces).alias("piece")
     )
 
@@ -63,42 +86,38 @@ def distances_to(
     ``edges`` has ``network, u, v, length`` with lengths of at least 0; ``targets`` one
     ``network, node_id`` per network. Nodes without a path are absent.
 
-    All nodes are solved at once by walking back from the target. A round relaxes ``hops``
-    edges from the labels that last improved, and appends the improved labels to a table in the
-    shared folder. Every ``COMPACT_EVERY`` rounds the best label of each node is written anew and
-    the rounds before are deleted, so a round reads one label per node and the few rounds since.
-    The table cuts the lineage and survives lost executors. The loop ends with the first round
-    without rows, or raises after ``max_rounds``: a partial answer is never returned. A negative
-    length, which could shorten a way without end, raises too.
+    All nodes are solved at once by walking back from the target. A round sends on the labels that
+    improved and have not been sent, and appends the labels that improve thereby to a table in the
+    shared folder. Up to ``FEW`` labels all go, ``hops`` roads far. Of more, those below a limit go, one road far: a
+    label less than the shortest road above the least one cannot improve any more, so it is sent once, and
+    a quarter of the labels goes at least, so that short roads do not make many rounds. Every ``COMPACT_EVERY``
+    rounds the best label of each node is written anew and the rounds before are deleted, so a round reads one
+    label per node and the few rounds since. The table cuts the lineage and survives lost executors. The
+    loop ends when no label is left to send, or raises after ``max_rounds``: a partial answer is never
+    returned. A negative length, which could shorten a way without end, raises too.
     """
     spark = edges.sparkSession
     folder = work_dir(spark, "roads")
-    _reversed_edges(edges).write.parquet(f"{folder}/edges")
-    stored_edges = spark.read.parquet(f"{folder}/edges")
-    shortest = stored_edges.agg(F.min("length")).first()[0]
+    # Parallel roads stay: the shortest wins when labels meet, before they are shuffled.
+    reversed_edges = _backwards(edges)
+    shortest, hubs = _hubs(reversed_edges, hub_edges)
     if shortest is not None and shortest < 0:
-        remove(spark, folder)
         raise ValueError(f"a road has the negative length {shortest}")
-    hubs = _hubs(stored_edges, hub_edges)
-    if hubs.isEmpty():
-        hubs = None
-    # Shuffled once and kept, so that a round only moves labels. A lost block is read again
-    # from the written table.
+    meet = ["network", "node"] if hubs is None else ["network", "node", "piece"]
+    # Shuffled and sorted once and kept, so that a round only moves labels. A lost block is computed again.
     incoming = (
-        _in_pieces(stored_edges, hubs)
-        .repartition(
-            int(spark.conf.get("spark.sql.shuffle.partitions")), "network", "node", "piece"
-        )
+        _in_pieces(reversed_edges, hubs)
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *meet)
+        .sortWithinPartitions(*meet)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
-    def relax(labels: DataFrame) -> DataFrame:
-        return (
-            _sent(labels, hubs)
-            .join(incoming, ["network", "node", "piece"])
-            .groupBy("network", F.col("prev").alias("node"))
-            .agg(F.min(F.col("dist") + F.col("length")).alias("dist"))
-        )
+    def sent_on(labels: DataFrame) -> DataFrame:
+        ways = _sent(labels, hubs).join(incoming, meet)
+        return ways.select("network", F.col("prev").alias("node"), (F.col("dist") + F.col("length")).alias("dist"))
+
+    def shortest_of(found: DataFrame) -> DataFrame:
+        return found.groupBy("network", "node").agg(F.min("dist").alias("dist"))
 
     schema = "network string, node bigint, dist double, round int"
 
@@ -106,8 +125,12 @@ def distances_to(
         kept = [*base, *(f"{folder}/labels/round={r}" for r in range(first, done + 1))]
         return spark.read.schema(schema).option("basePath", f"{folder}/labels").parquet(*kept)
 
-    def shortest_labels() -> DataFrame:
-        return labels().groupBy("network", "node").agg(F.min("dist").alias("dist"))
+    def unsent() -> Column:
+        """Labels of the last round, and those since round ``all_sent`` that no limit has reached."""
+        later = F.col("round") > all_sent
+        if merged_unsent:
+            later |= F.col("round") < 0
+        return (F.col("round") == done) | (later & (F.col("dist") >= limit))
 
     start = targets.select(
         "network", F.col("node_id").alias("node"), F.lit(0.0).alias("dist")
@@ -116,37 +139,51 @@ def distances_to(
 
     # Rounds from ``first`` on stand by themselves; those before, in ``base``.
     done, first, base = 0, 0, []
+    all_sent, merged_unsent, limit = -1, False, float("-inf")
     while True:
         stored = labels()
-        reached = frontier = stored.filter(F.col("round") == done).drop("round")
-        for _ in range(hops):
-            frontier = relax(frontier)
-            reached = reached.unionByName(frontier)
-        best = shortest_labels().withColumnRenamed("dist", "known")
-        fresh = reached.groupBy("network", "node").agg(F.min("dist").alias("dist"))
-        improved = (
-            fresh.join(best, ["network", "node"], "left")
-            .filter(F.col("known").isNull() | (F.col("dist") < F.col("known")))
-            .select("network", "node", "dist")
+        left, least, quarter = (
+            stored.filter(unsent())
+            .agg(F.count(F.lit(1)), F.min("dist"), F.percentile_approx("dist", 0.25, 1000))
+            .first()
         )
+        if left == 0:
+            break
         if max_rounds is not None and done >= max_rounds:
             raise RuntimeError(f"labels still improve after {done} rounds")
+        # A node's labels fall from round to round, so its last one is its best.
+        best = stored.groupBy("network", "node").agg(F.min("dist").alias("dist"), F.max("round").alias("round"))
+        frontier = best.filter(unsent())
+        if left <= FEW:
+            frontier, all_sent, merged_unsent, limit = frontier.drop("round"), done, False, float("-inf")
+            sent = reached = sent_on(frontier)
+            for _ in range(hops - 1):
+                sent = sent_on(shortest_of(sent))
+                reached = reached.unionByName(sent)
+        else:
+            limit = max(limit, least + (shortest or 0.0), quarter, math.nextafter(least, math.inf))
+            reached = sent_on(frontier.filter(F.col("dist") < limit).drop("round"))
+        known = stored.select("network", "node", F.lit(None).cast("double").alias("dist"), F.col("dist").alias("known"))
+        improved = (
+            reached.withColumn("known", F.lit(None).cast("double"))
+            .unionByName(known)
+            .groupBy("network", "node")
+            .agg(F.min("dist").alias("dist"), F.min("known").alias("known"))
+            .filter(F.col("dist").isNotNull() & (F.col("known").isNull() | (F.col("dist") < F.col("known"))))
+        )
         done += 1
-        seen = Observation()
-        counted = improved.observe(seen, F.count(F.lit(1)).alias("rows"))
-        counted.write.parquet(f"{folder}/labels/round={done}")
-        if seen.get["rows"] == 0:
-            break
+        improved.drop("known").write.parquet(f"{folder}/labels/round={done}")
         if done - first >= COMPACT_EVERY:
-            # The last round stays apart: it is the next frontier. Merged ones have a number below all rounds.
+            # The last round stays apart: all of it is to be sent. Merged ones have a number below all rounds.
             older = [*base, *(f"{folder}/labels/round={r}" for r in range(first, done))]
             merged = spark.read.schema(schema).option("basePath", f"{folder}/labels").parquet(*older)
             base, first = [f"{folder}/labels/round={-done}"], done
-            merged.groupBy("network", "node").agg(F.min("dist").alias("dist")).write.parquet(base[0])
+            merged_unsent = all_sent < done - 1
+            shortest_of(merged).write.parquet(base[0])
             for path in older:
                 remove(spark, path)
     found = checkpointed(
-        shortest_labels().select("network", F.col("node").alias("node_id"), F.col("dist").alias("road_m"))
+        shortest_of(labels()).select("network", F.col("node").alias("node_id"), F.col("dist").alias("road_m"))
     )
     incoming.unpersist()
     remove(spark, folder)

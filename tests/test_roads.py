@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kadence.functions.geodesy import haversine
 from kadence.operators import places as P
+from kadence.operators import roads as R
 from kadence.operators.places import best_candidates, geocode_join, nearest_node
 from kadence.operators.roads import distances_to
 
@@ -44,6 +45,41 @@ def test_distances_equal_a_search_per_node(spark, hops, hub_edges):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_many_labels_are_sent_shortest_first_and_hardly_twice(spark, monkeypatch):
+    rng = random.Random(3)
+    # Ways over many short roads are shorter than those over few long ones, so early labels are poor.
+    edges = [(rng.randint(0, 299), rng.randint(0, 299), rng.choice([10.0, 12.0, 15.0, 90.0])) for _ in range(3000)]
+    roads = spark.createDataFrame([("walk", *e) for e in edges], "network string, u int, v int, length double")
+    targets = spark.createDataFrame([("walk", 0)], "network string, node_id int")
+    sent, passed_on = [], R._sent
+
+    def counted(labels, hubs):
+        sent.append(labels.count())
+        return passed_on(labels, hubs)
+
+    monkeypatch.setattr(R, "FEW", 20, raising=False)
+    monkeypatch.setattr(R, "_sent", counted)
+    got = distances_to(roads, targets)
+    want = shortest(edges, 0)
+    assert rows(got) == sorted((("walk", n, d) for n, d in want.items()), key=repr)
+    assert sum(sent) <= 1.5 * len(want)
+
+
+def test_roads_are_shuffled_once(spark, monkeypatch):
+    """What is kept of the roads reads them through one exchange, and hubs are not counted node by node."""
+    roads = spark.range(5000).selectExpr("'walk' network", "id u", "id div 3 v", "1d length")
+    targets = spark.createDataFrame([("walk", 0)], "network string, node_id int")
+    plans, persist = [], type(roads).persist
+
+    def kept(df, *level):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return persist(df, *level)
+
+    monkeypatch.setattr(type(roads), "persist", kept)
+    assert distances_to(roads, targets).count() == 5000
+    assert len(plans) == 1 and plans[0].count("Repartition") == 1 and "Sort" in plans[0] and "Range" in plans[0]
+
+
 def test_a_bounded_search_never_returns_part_of_the_answer(spark):
     roads = spark.createDataFrame(
         [("walk", i, i + 1, 1.0) for i in range(9)], "network string, u int, v int, length double"
