@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kadence.sinks.compaction import FAN, compact
 from kadence.sinks.kept import KeptTable
 from kadence.sinks.tables import append_batch, exists, names_in, read_batches
-from kadence.streaming.consumed import BUCKETS, SOURCE, consumed_table, unseen, with_offsets
+from kadence.streaming.consumed import SOURCE, consumed_table, in_blocks, positions, unseen
 
 log = logging.getLogger(__name__)
 
@@ -125,21 +125,42 @@ def guarded(root: str, work: Work, *, once: bool = True, compact_fan: int | None
             if epoch_id % compact_fan == 0:
                 for dataset in appended(spark, root):
                     compact(spark, f"{root}/{dataset}", epoch_id, fan=compact_fan)
-        taken = consumed_table(root)
-        earlier = taken.rows(spark, before=epoch_id) if once else None
-        fresh = unseen(batch, earlier) if once else batch
-        if fresh is not batch and fresh.isEmpty():
+        if not once:
+            store_or_blame(batch, epoch_id, batch, None)
             return
+        if exists(spark, f"{root}/consumed/_index"):
+            raise ValueError(f"the consumed offsets in {root} are of an earlier form: start with a new root")
+        taken = consumed_table(root)
+        placed = positions(batch).persist()
+        try:
+            buckets = taken.touched(placed)
+            earlier = taken.rows(spark, buckets, before=epoch_id)
+            fresh = unseen(batch, earlier, placed)
+            if fresh is not batch and fresh.isEmpty():
+                return
+
+            def keep(writer: BatchWriter, left_out: list[Span]) -> None:
+                # What an earlier batch took is among the intervals already.
+                stored = placed.where(~_inside(left_out, "first")) if left_out else placed
+                writer.keep(taken, in_blocks(earlier, stored), buckets)
+
+            store_or_blame(batch, epoch_id, fresh, keep)
+        finally:
+            placed.unpersist()
+
+    def store_or_blame(
+        batch: DataFrame, epoch_id: int, fresh: DataFrame, keep: Callable[[BatchWriter, list[Span]], None] | None
+    ) -> None:
         writer = BatchWriter(root, epoch_id)
 
-        def store(part: DataFrame) -> None:
+        def store(part: DataFrame, left_out: list[Span]) -> None:
             work(part, writer)
-            if once:
-                writer.keep(taken, with_offsets(earlier, part), list(range(BUCKETS)))
+            if keep:
+                keep(writer, left_out)
             writer.write_counts(batch)
 
         try:
-            store(fresh)
+            store(fresh, [])
         except Rejected as error:
             log.exception("batch %s is rejected", epoch_id)
             writer.take_back(batch)
@@ -147,11 +168,12 @@ def guarded(root: str, work: Work, *, once: bool = True, compact_fan: int | None
             if bad:
                 letters = [fresh.where(_inside([span])).withColumn("error", F.lit(why)) for span, why in bad]
                 dead_letter(reduce(DataFrame.unionByName, letters), f"{root}/dead_letter", epoch_id)
-            rest = fresh.where(~_inside([span for span, _ in bad]))
+            spans = [span for span, _ in bad]
+            rest = fresh.where(~_inside(spans))
             writer = BatchWriter(root, epoch_id)
             if not rest.isEmpty():
                 try:
-                    store(rest)
+                    store(rest, spans)
                 except Rejected as again:
                     # Messages that pass piece by piece and fail together.
                     writer.take_back(batch)
@@ -171,15 +193,15 @@ def appended(spark: SparkSession, root: str) -> list[str]:
     ]
 
 
-def _inside(spans: list[Span]) -> Column:
+def _inside(spans: list[Span], offset: str = "offset") -> Column:
     """Whether a message's position is in one of ``spans``."""
     inside = F.lit(False)
     for topic, partition, low, high in spans:
         at = F.col("topic").eqNullSafe(F.lit(topic)) & F.col("partition").eqNullSafe(F.lit(partition))
         if low is None:
-            inside |= at & F.col("offset").isNull()
+            inside |= at & F.col(offset).isNull()
         else:
-            inside |= F.coalesce(at & F.col("offset").between(low, high), F.lit(False))
+            inside |= F.coalesce(at & F.col(offset).between(low, high), F.lit(False))
     return inside
 
 

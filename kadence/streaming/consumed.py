@@ -1,7 +1,7 @@
 """Which messages a job has taken: consumed offsets of each topic partition, as intervals.
 
-The set grows with the gaps between offsets, not with the messages, so it is kept for good and a message that comes
-again after any time is known.
+The set grows with the gaps between offsets (and by one for every million of them), not with the messages, so it is
+kept for good and a message that comes again after any time is known.
 """
 
 from __future__ import annotations
@@ -25,50 +25,60 @@ SOURCE = ["topic", "partition"]
 BLOCK_BITS = 20
 
 
-#: Buckets of the kept intervals; a batch replaces all of them.
-BUCKETS = 8
+#: Buckets of the kept intervals; a batch replaces those of the blocks it has offsets in.
+BUCKETS = 32
+
+
+def _block(offset: str) -> Column:
+    return F.shiftright(offset, BLOCK_BITS)
 
 
 def consumed_table(root: str) -> KeptTable:
-    dealt = F.coalesce(F.pmod("partition", F.lit(BUCKETS)), F.lit(0)).cast("int")
-    return KeptTable(f"{root}/consumed", CONSUMED, dealt)
+    """Intervals within blocks of offsets, in buckets by block, so that a large partition is in many."""
+    dealt = F.pmod(F.xxhash64(*SOURCE, _block("first")), F.lit(BUCKETS).cast("bigint")).cast("int")
+    return KeptTable(f"{root}/consumed_blocks", CONSUMED, dealt)
 
 
-def _block(offset: str) -> Column:
-    return F.shiftright(offset, BLOCK_BITS)
+def positions(messages: DataFrame) -> DataFrame:
+    """Where messages stand, as intervals of one offset; those without a position are left out."""
+    placed = messages.where(F.col("offset").isNotNull())
+    return placed.select(*SOURCE, F.col("offset").alias("first"), F.col("offset").alias("last"))
 
 
-def unseen(messages: DataFrame, consumed: DataFrame) -> DataFrame:
+def _by_block(intervals: DataFrame) -> DataFrame:
+    """Intervals with their block, cut where one ends."""
+    start = F.shiftleft("block", BLOCK_BITS)
+    blocks = F.explode(F.sequence(_block("first"), _block("last"))).alias("block")
+    return intervals.select(*CONSUMED.fieldNames(), blocks).select(
+        *SOURCE, "block", F.greatest("first", start).alias("first"),
+        F.least("last", start + F.lit((1 << BLOCK_BITS) - 1)).alias("last"),
+    )
+
+
+def unseen(messages: DataFrame, consumed: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """Messages whose offset is in no consumed interval of their topic partition.
 
     Only intervals that meet the offsets of the batch are looked at; in order, as a rule, there is none and
-    nothing is shuffled but two numbers per topic partition. Otherwise each message finds the last interval
-    that starts at or before it, within a block of offsets, so that a large partition is many tasks. Messages
+    nothing is shuffled but two numbers per topic partition. Otherwise each position (``placed``, by default
+    taken from ``messages``) finds the last interval that starts at or before it, within a block of offsets, so
+    that a large partition is many tasks and no interval meets another block's messages. Messages
     without a position are never seen. Runs a job when it is built.
     """
-    reach = messages.groupBy(*SOURCE).agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
-    met = consumed.join(reach, SOURCE).where((F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low")))
+    placed = positions(messages) if placed is None else placed
+    reach = placed.groupBy(*SOURCE).agg(F.min("first").alias("low"), F.max("last").alias("high"))
+    met = consumed.join(F.broadcast(reach), SOURCE)  # one row per topic partition
+    met = met.where((F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low")))
     met = met.select(*CONSUMED.fieldNames()).persist()
     try:
         if met.isEmpty():
             return messages
-        blocks = messages.select(*SOURCE, _block("offset").alias("block")).distinct()
-        start, size = F.shiftleft("block", BLOCK_BITS), F.lit(1 << BLOCK_BITS)
-        within = (F.col("first") < start + size) & (F.col("last") >= start)
-        cut = blocks.join(met, SOURCE).where(within).select(
-            *SOURCE, "block", F.greatest("first", start).alias("at"), F.col("last").alias("until"),
-            F.lit(None).cast(messages.schema).alias("message"),
-        )
-        whole = F.struct(*messages.columns).cast(messages.schema)
-        asked = messages.select(
-            *SOURCE, _block("offset").alias("block"), F.col("offset").alias("at"), F.lit(None).cast("long").alias("until"),
-            whole.alias("message"),
-        )
-        order = Window.partitionBy(*SOURCE, "block").orderBy("at", F.col("message").isNotNull())
-        reached = F.last("until", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        judged = cut.unionByName(asked).withColumn("reached", reached).where(F.col("message").isNotNull())
-        fresh = F.col("reached").isNull() | F.col("at").isNull() | (F.col("reached") < F.col("at"))
-        return judged.where(fresh).select("message.*")
+        asked = placed.select(*SOURCE, _block("first").alias("block"), F.col("first"), F.lit(None).cast("long").alias("last"))
+        order = Window.partitionBy(*SOURCE, "block").orderBy("first", F.col("last").isNull())
+        reached = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        judged = _by_block(met).unionByName(asked).withColumn("reached", reached)
+        seen = judged.where(F.col("last").isNull() & (F.col("reached") >= F.col("first")))
+        seen = seen.select(*SOURCE, F.col("first").alias("offset"))
+        return messages.join(seen, [*SOURCE, "offset"], "left_anti").select(messages.columns)
     finally:
         met.unpersist()
 
@@ -83,15 +93,24 @@ def _runs(df: DataFrame, within: list[str]) -> DataFrame:
     return grouped.agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
+def in_blocks(consumed: DataFrame, placed: DataFrame) -> DataFrame:
+    """``consumed`` with positions, as it is kept: joined within a block, each in a task of its own."""
+    both = _by_block(consumed.unionByName(placed))
+    return _runs(both, [*SOURCE, "block"]).select(*CONSUMED.fieldNames())
+
+
+def whole(pieces: DataFrame) -> DataFrame:
+    """Intervals within blocks as whole ones. Only those that reach an end of their block meet, two per block at most."""
+    mask = F.lit((1 << BLOCK_BITS) - 1)
+    edge = (F.col("first").bitwiseAND(mask) == 0) | (F.col("last").bitwiseAND(mask) == mask)
+    return pieces.where(~edge).unionByName(_runs(pieces.where(edge), SOURCE).select(*CONSUMED.fieldNames()))
+
+
 def with_offsets(consumed: DataFrame, messages: DataFrame) -> DataFrame:
-    """``consumed`` with the offsets of ``messages``: runs are found per block, then joined to what is there."""
-    placed = messages.where(F.col("offset").isNotNull()).select(
-        *SOURCE, _block("offset").alias("block"), F.col("offset").alias("first"), F.col("offset").alias("last")
-    )
-    fresh = _runs(placed, [*SOURCE, "block"]).drop("block")
-    return _runs(consumed.unionByName(fresh), SOURCE).select(*CONSUMED.fieldNames())
+    """``consumed`` with the offsets of ``messages``, as whole intervals."""
+    return whole(in_blocks(consumed, positions(messages)))
 
 
 def consumed_offsets(spark: SparkSession, root: str) -> DataFrame:
     """What the job under ``root`` has taken so far."""
-    return consumed_table(root).rows(spark)
+    return whole(consumed_table(root).rows(spark))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from kadence.sinks.compaction import compact, planned
 from kadence.sinks.kept import KeptTable, bucket_of
 from kadence.sinks.tables import Unit, append_batch, read_batches, units
-from kadence.streaming.consumed import CONSUMED, unseen, with_offsets
+from kadence.streaming.consumed import CONSUMED, consumed_table, unseen, with_offsets
 
 KEYED = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.LongType())])
 ONE = T.StructType([T.StructField("v", T.LongType())])
@@ -135,6 +135,21 @@ def test_the_set_grows_with_gaps_and_not_with_messages(spark):
     assert sorted(rows(left, "offset")) == [(7,), (2_000_000,)]
 
 
+def test_no_interval_meets_messages_of_another_block(spark):
+    """Every other offset of 64 blocks is taken: messages find theirs by block, and each block is a bucket's."""
+    taken = spark.range(64 * 16).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"),
+        (F.floor(F.col("id") / 16) * (1 << 20) + F.col("id") % 16 * 2).alias("first"),
+    ).withColumn("last", F.col("first"))
+    batch = taken.select(F.lit("v").alias("value"), "topic", "partition", (F.col("first") + F.col("first") % 4 / 2).cast("long").alias("offset"))
+    left = unseen(batch, taken)
+    assert left.where("offset % 2 = 0").isEmpty() and left.count() == 64 * 8
+    # A join of intervals and blocks by partition would let each meet every other.
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Join Inner") == 1
+    assert len(consumed_table("/nowhere").touched(taken)) > 16
+
+
 def test_messages_without_a_position_are_never_seen(spark):
     batch = spark.createDataFrame([("v", "t", 0, None), ("v", None, 0, 1), ("v", "t", 0, 1)], MESSAGES)
     consumed = spark.createDataFrame([("t", 0, 0, 5)], CONSUMED)
