@@ -1221,7 +1221,8 @@ LOTS = 4
 
 def _by_quarters(v: Views) -> Column:
     """Lots by time: changes of a key spread over them, and copies of a message share one."""
-    spans = v.fx_topic.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b"))
+    # Each state is a message of the topic at its time, and the rest are copies.
+    spans = v.fx_state.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b"))
     low, high = spans.first()
     share = (F.col("ts").cast("double") - F.lit(low)) / F.lit(high - low or 1.0)
     return F.least(F.floor(share * LOTS), F.lit(LOTS - 1)).cast("int")
