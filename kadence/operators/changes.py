@@ -85,6 +85,12 @@ def decode(df: DataFrame, image: T.StructType) -> DataFrame:
     return df.withColumn(PARSED, F.from_json("value", schema, options))
 
 
+def without_text(decoded: DataFrame) -> DataFrame:
+    """Decoded messages to be kept: a readable one has its envelope, and an empty text beside it."""
+    readable = F.col("value").isNotNull() & F.col(f"{PARSED}._corrupt").isNull()
+    return decoded.withColumn("value", F.when(readable, F.lit("")).otherwise(F.col("value")))
+
+
 def malformed_of(decoded: DataFrame) -> DataFrame:
     """Messages that are no JSON of the expected types."""
     return decoded.filter(F.col(f"{PARSED}._corrupt").isNotNull()).drop(PARSED)

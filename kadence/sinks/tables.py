@@ -21,6 +21,16 @@ def append_batch(df: DataFrame, path: str, epoch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{EPOCH}={epoch_id}")
 
 
+def spooled(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df``, computed once and read from ``path``, where they replace what is there.
+
+    For rows that several tables are made of: unlike persisted ones they take no memory, however many they are, and
+    a reader takes only the columns it needs.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

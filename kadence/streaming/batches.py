@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kadence.sinks.compaction import FAN, compact
 from kadence.sinks.kept import KeptTable
-from kadence.sinks.tables import append_batch, exists, names_in, read_batches
+from kadence.sinks.tables import EPOCH, append_batch, exists, names_in, read_batches
 from kadence.streaming.consumed import SOURCE, consumed_table, in_blocks, positions, unseen
 
 log = logging.getLogger(__name__)
@@ -44,11 +44,21 @@ class BatchWriter:
         append_batch(counted, f"{self.root}/{dataset}", self.epoch_id)
         self.counts[dataset] = seen
 
+    def written(self, dataset: str, df: DataFrame) -> DataFrame:
+        """Write rows and give them as they are stored, so that what follows from them neither computes nor holds them."""
+        self.write(dataset, df)
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.root}/{dataset}/{EPOCH}={self.epoch_id}")
+
     def keep(self, table: KeptTable, df: DataFrame, touched: list[int], note: object = None) -> None:
         """Replace buckets of a kept table, as of this batch."""
         self.kept.append(table)
         table.replace(df, touched, self.epoch_id, note)
 
+    def held(self, table: KeptTable, df: DataFrame, touched: list[int]) -> DataFrame:
+        """Replace buckets of a kept table and give their rows as they are stored."""
+        self.keep(table, df, touched)
+        return table.rows(df.sparkSession, touched, before=self.epoch_id + 1)
+
     def then(self, act: Callable[[], None]) -> None:
         """Do what follows from a stored batch, such as refreshing a product."""
         act()
@@ -74,9 +84,16 @@ class Probe(BatchWriter):
     def write(self, dataset: str, df: DataFrame) -> None:
         df.write.format("noop").mode("overwrite").save()
 
+    def written(self, dataset: str, df: DataFrame) -> DataFrame:
+        self.write(dataset, df)
+        return df
+
     def keep(self, table: KeptTable, df: DataFrame, touched: list[int], note: object = None) -> None:
         pass
 
+    def held(self, table: KeptTable, df: DataFrame, touched: list[int]) -> DataFrame:
+        return df
+
     def then(self, act: Callable[[], None]) -> None:
         pass
 

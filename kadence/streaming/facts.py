@@ -17,6 +17,7 @@ from kadence.operators.changes import (
     first_delivery,
     malformed_of,
     route_fact_inserts,
+    without_text,
 )
 from kadence.operators.gold import sort_gold, wellbeing_from_counts
 from kadence.operators.notify import activity_measures, build_messages, message_errors
@@ -31,9 +32,11 @@ from kadence.sinks.tables import (
     overwrite_table,
     read_batches,
     read_table,
+    spooled,
     units,
 )
 from kadence.streaming.batches import BatchWriter, SettledQuery, gold_error_row, guarded
+from kadence.workspace import remove
 
 # Every change of an activity: what counts is the last one of an id.
 FACT_LOG = T.StructType(
@@ -162,17 +165,19 @@ def run_fact_stream(
     def work(batch: DataFrame, writer: BatchWriter) -> None:
         spark = batch.sparkSession
         time = F.current_timestamp() if at is None else at
-        decoded = decode(dedupe_redelivered(batch), ACTIVITY_IMAGE).persist()
-        rows = activity_rows(decoded)
-        messages = build_messages(rows, employees, templates).persist()
-        errors = message_errors(rows, employees, templates, time).persist()
+        # Rows of a batch are many: what several tables need is read from files, and nothing of it stays in memory.
+        spool = f"{root}/_decoded"
+        light = without_text(decode(dedupe_redelivered(batch), ACTIVITY_IMAGE))
         try:
+            decoded = spooled(light, spool)
+            rows = activity_rows(decoded)
+            messages = build_messages(rows, employees, templates)
+            errors = message_errors(rows, employees, templates, time)
             bad = malformed_of(decoded)
             writer.write("malformed", bad.select("value", "topic", "partition", "offset"))
-            changes = fact_changes(decoded, time)
-            writer.write("facts", changes)
+            changes = writer.written("facts", fact_changes(decoded, time))
             writer.write("notifications", notification_table(messages, time))
-            writer.write("notification_errors", errors)
+            errors = writer.written("notification_errors", errors)
             batch_id = batch_offset_ranges(
                 decoded, F.unix_millis(F.current_timestamp())
             ).first()["batch_id"]
@@ -180,8 +185,7 @@ def run_fact_stream(
             writer.write("quality", failed_rows(errors, suite, batch_id, "notification_errors"))
             _count(spark, writer, changes, width)
         finally:
-            for frame in (decoded, messages, errors):
-                frame.unpersist()
+            remove(spark, spool)
         if writer.epoch_id % refresh_every == refresh_every - 1:
             writer.then(lambda: refresh(batch, writer, batch_id))
 
@@ -220,27 +224,18 @@ def _count(spark: SparkSession, writer: BatchWriter, changes: DataFrame, width:
     """Bring last changes and pair counts up to a batch: what its activities counted for goes, what they do comes."""
     latest, pairs = last_table(writer.root, width), pair_table(writer.root, width)
     # By the position that a log row carries, the kept row may well be the later one.
-    new = last_changes(changes).persist()
+    buckets = latest.touched(changes)
+    before = latest.rows(spark, buckets, before=writer.epoch_id)
+    after = writer.held(latest, last_changes(before.unionByName(changes)), buckets)
+    # All of a bucket is counted: what the batch leaves as it is goes and comes, so no ids are matched.
+    changed = pair_deltas(before, after).where(F.col("by") != 0).persist()
     try:
-        buckets = latest.touched(new)
-        held = latest.rows(spark, buckets, before=writer.epoch_id)
-        merged = last_changes(held.unionByName(new)).persist()
-        ids = new.select("id_evenement_sport")
-        before = held.join(ids, "id_evenement_sport", "left_semi")
-        after = merged.join(ids, "id_evenement_sport", "left_semi")
-        deltas = pair_deltas(before, after).persist()
-        try:
-            writer.keep(latest, merged, buckets)
-            changed = deltas.where(F.col("by") != 0)
-            buckets = pairs.touched(changed)
-            counted = pairs.rows(spark, buckets, before=writer.epoch_id).withColumnRenamed("nb_activites", "by")
-            total = counted.unionByName(changed).groupBy(*TOUCHED.fieldNames()).agg(F.sum("by").alias("nb_activites"))
-            writer.keep(pairs, total.where(F.col("nb_activites") != 0), buckets)
-        finally:
-            deltas.unpersist()
-            merged.unpersist()
+        buckets = pairs.touched(changed)
+        counted = pairs.rows(spark, buckets, before=writer.epoch_id).withColumnRenamed("nb_activites", "by")
+        total = counted.unionByName(changed).groupBy(*TOUCHED.fieldNames()).agg(F.sum("by").alias("nb_activites"))
+        writer.keep(pairs, total.where(F.col("nb_activites") != 0), buckets)
     finally:
-        new.unpersist()
+        changed.unpersist()
 
 
 def stored_facts(spark: SparkSession, root: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kadence.operators import changes as C
 from kadence.plans.views import IMAGE
+from kadence.sinks.tables import spooled
 
 A = {
     "id_salarie": 1, "nom": "N", "adresse_domicile": "1 Rue A",
@@ -79,6 +80,16 @@ def test_redelivered_messages_count_once(topic):
     assert C.dedupe_redelivered(topic.union(topic)).count() == len(MESSAGES)
 
 
+def test_a_spooled_batch_is_split_like_the_decoded_one(topic, tmp_path):
+    """Only what is no JSON keeps its text, and missing images stay missing."""
+    decoded = C.decode(topic, IMAGE)
+    light = spooled(C.without_text(decoded), str(tmp_path / "batch"))
+    assert rows(C.malformed_of(light)) == rows(C.malformed_of(decoded))
+    assert rows(C.changes_of(light)) == rows(C.changes_of(decoded))
+    texts = {r["offset"]: r["value"] for r in light.collect()}
+    assert texts[0] == "" and texts[7] is None and texts[8] == "no json"
+
+
 def test_batch_id(topic):
     got = C.batch_offset_ranges(topic, F.lit(1768571234567)).first()["batch_id"]
     assert got == "1768571234567_p0:0-10_p1:1-11"

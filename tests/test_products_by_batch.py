@@ -112,6 +112,20 @@ def test_the_tail_of_a_run_is_refreshed(spark, tmp_path):
     assert rows(facts.stored_wellbeing(spark, lake)) == counted_anew(spark, live)
 
 
+def test_rows_of_a_batch_are_not_held_in_memory(spark, tmp_path, monkeypatch):
+    """Messages, their images and texts are as many as a batch has: they are read from files, not persisted."""
+    lots, live = lots_of_activities(8)
+    for lot in lots:
+        topic = land(spark, tmp_path, lot)
+    held, frame = [], type(spark.range(0))
+    real = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, *level: held.append(set(df.columns)) or real(df, *level))
+    lake = run_facts(spark, tmp_path, topic)
+    assert rows(facts.stored_wellbeing(spark, lake)) == counted_anew(spark, live)
+    assert held and all(h <= {"topic", "partition", "first", "last", "salarie_id", "annee", "by"} for h in held)
+    assert not (tmp_path / "lake/_decoded").exists()
+
+
 def test_empty_and_rejected_epochs_lose_no_pairs(spark, tmp_path, monkeypatch):
     lots, live = lots_of_activities(3)
     # All of the second lot comes again as the third, so its epoch, which should refresh, is empty.
